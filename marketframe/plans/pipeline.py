@@ -1,0 +1,48 @@
+"""End-to-end plans over the given tables: book, joined bars, features."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.scan import with_row_index
+from ..functions.storage import materialise
+from ..operators import bars as ob, book as bk
+from . import views as v
+
+SAMPLE_EVERY = 5
+LEVELS = 50
+TIMEFRAME = "5m"
+BOOK_COLUMNS = [
+    "ob_spread_mean", "ob_micro_dev_mean", "ob_micro_dev_std", "ob_micro_dev_last",
+    "ob_imbalance_mean", "ob_imbalance_last", "ob_bid_depth_mean", "ob_ask_depth_mean",
+    "ob_bid_slope_mean", "ob_ask_slope_mean", "ob_bid_integrity_mean", "ob_ask_integrity_mean",
+]
+
+
+def sampled_book(spark: SparkSession, d: str) -> DataFrame:
+    msgs = v.book_msgs(spark, d)
+    return bk.book_at(
+        bk.book_intervals(msgs), bk.count_samples(msgs, SAMPLE_EVERY), bucket=SAMPLE_EVERY
+    )
+
+
+def book_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return bk.book_metrics(bk.top_levels(sampled_book(spark, d), LEVELS))
+
+
+def indexed_bars(spark: SparkSession, d: str, timeframe: str = TIMEFRAME) -> DataFrame:
+    """Trade bars with dense row numbers.
+
+    Bars are written once: they are orders of magnitude fewer than trades and
+    every later step reads them more than once.
+    """
+    bars = ob.time_bars(v.trades(spark, d), timeframe, order=("seq",))
+    return with_row_index(materialise(bars, "bars"), "bar")
+
+
+def joined_bars(spark: SparkSession, d: str, timeframe: str = TIMEFRAME) -> DataFrame:
+    """Bars with forward-filled book columns (0 before the first book bar)."""
+    bars = ob.time_bars(v.trades(spark, d), timeframe, order=("seq",))
+    book = bk.book_bars(book_metrics(spark, d), timeframe)
+    joined = materialise(bk.bars_with_book(bars, book), "joined")
+    return with_row_index(joined, "bar", fill=BOOK_COLUMNS).fillna(0.0, subset=BOOK_COLUMNS)
