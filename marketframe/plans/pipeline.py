@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.scan import with_row_index
 from ..functions.storage import materialise
 from ..operators import bars as ob, book as bk
+from ..operators.features import add_features
 from . import views as v
 
 SAMPLE_EVERY = 5
@@ -46,3 +47,9 @@ def joined_bars(spark: SparkSession, d: str, timeframe: str = TIMEFRAME) -> Data
     book = bk.book_bars(book_metrics(spark, d), timeframe)
     joined = materialise(bk.bars_with_book(bars, book), "joined")
     return with_row_index(joined, "bar", fill=BOOK_COLUMNS).fillna(0.0, subset=BOOK_COLUMNS)
+
+
+def features(spark: SparkSession, d: str, groups=("trend", "flow", "book", "regime")) -> DataFrame:
+    """Feature frame; the book side is built only if a group needs it."""
+    bars = joined_bars(spark, d) if "book" in groups else indexed_bars(spark, d)
+    return add_features(bars, groups)
