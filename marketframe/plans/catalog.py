@@ -1,6 +1,6 @@
 """All registered queries; importing a catalog module registers its queries."""
 
-from . import catalog_bars, catalog_features  # noqa: F401
+from . import catalog_bars, catalog_features, catalog_labels, catalog_signals  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

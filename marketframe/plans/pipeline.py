@@ -53,3 +53,7 @@ def features(spark: SparkSession, d: str, groups=("trend", "flow", "book", "regi
     """Feature frame; the book side is built only if a group needs it."""
     bars = joined_bars(spark, d) if "book" in groups else indexed_bars(spark, d)
     return add_features(bars, groups)
+
+
+def bars_with_atr(spark: SparkSession, d: str) -> DataFrame:
+    return add_features(indexed_bars(spark, d), groups=())
