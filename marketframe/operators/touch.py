@@ -46,9 +46,11 @@ def first_touch(bars: DataFrame, queries: DataFrame, width: int, chunk: int = CH
     the bar ``stop - 1``, NULL if the series ends before it.
     """
     prices = ["open", "high", "low", "close"]
-    series = chunk_with_future(
-        bars.select("symbol", "bar", "idx", "n", *prices), chunk, width
-    ).drop("_own", "n")
+    # fresh names: a cogroup of two plans over one table must not share columns
+    spread = chunk_with_future(bars.select("symbol", "bar", "idx", "n", *prices), chunk, width)
+    series = spread.select(
+        *[F.col(c).alias(f"b_{c}") for c in ("symbol", "_chunk", "bar", "idx", *prices)]
+    )
     asked = queries.withColumn("_chunk", F.floor(F.col("start") / chunk))
     schema = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields
@@ -59,8 +61,10 @@ def first_touch(bars: DataFrame, queries: DataFrame, width: int, chunk: int = CH
         if q.empty:
             return pd.DataFrame(columns=[*names, *[h.split()[0] for h in HIT]])
         q = q[names].reset_index(drop=True)
-        b = b.sort_values("idx", ignore_index=True)
-        base = int(b["idx"].iloc[0]) if len(b) else 0
+        if b.empty:  # the window starts after the last bar
+            return q.reindex(columns=[*names, *[h.split()[0] for h in HIT]])
+        b = b.rename(columns=lambda c: c[2:]).sort_values("idx", ignore_index=True)
+        base = int(b["idx"].iloc[0])
         start = q["start"].to_numpy(np.int64) - base
         wanted = q["stop"].to_numpy(np.int64) - base
         stop = np.minimum(wanted, len(b))
@@ -81,6 +85,6 @@ def first_touch(bars: DataFrame, queries: DataFrame, width: int, chunk: int = CH
 
     return (
         asked.groupBy("symbol", "_chunk")
-        .cogroup(series.groupBy("symbol", "_chunk"))
+        .cogroup(series.groupBy("b_symbol", "b__chunk"))
         .applyInPandas(per_chunk, schema + ", " + ", ".join(HIT))
     )

@@ -89,7 +89,7 @@ LEDGER_SQL = """dec AS (SELECT e.*, CASE WHEN x.sid IS NOT NULL THEN CASE WHEN x
       WHEN eidx + hold < n THEN 'time' END AS xkind,
       coalesce(x.xidx, CASE WHEN eidx + hold < n THEN eidx + hold END) AS xidx FROM ent e LEFT JOIN x1 x USING (sid)),
     dec2 AS (SELECT d.*, b.bar AS xbar, CASE xkind WHEN 'stop' THEN sl WHEN 'target' THEN tp WHEN 'time' THEN b.close END AS xpx,
-      10000.0::DOUBLE * 0.013 / (atr * slm) AS sz FROM dec d LEFT JOIN fa b ON b.symbol = d.symbol AND b.idx = d.xidx),
+      10000.0::DOUBLE * 0.013 / (d.atr * slm) AS sz FROM dec d LEFT JOIN fa b ON b.symbol = d.symbol AND b.idx = d.xidx),
     ledger AS (SELECT set_id, symbol, bar, idx, side, kind, eidx AS entry_idx, ebar AS entry_bar, epx AS entry_price,
       xidx AS exit_idx, xbar AS exit_bar, xkind AS exit_kind, xpx AS exit_price, sz AS size,
       epx * sz * CASE WHEN kind = 'limit' THEN 0.0002 ELSE 0.0006 END AS entry_fee,
