@@ -1,6 +1,13 @@
 """All registered queries; importing a catalog module registers its queries."""
 
-from . import catalog_bars, catalog_features, catalog_labels, catalog_signals  # noqa: F401
+from . import (  # noqa: F401
+    catalog_bars,
+    catalog_features,
+    catalog_history,
+    catalog_labels,
+    catalog_ledger,
+    catalog_signals,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .rounding import rnd
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -92,8 +94,8 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(buy, "Buy").otherwise("Sell").alias("side"),
         (F.lit(1) + F.col("o_custkey") % 50).alias("size"),
         p.alias("entry_price"),
-        F.round(F.when(buy, p * 0.99).otherwise(p * 1.01), 2).alias("stop_loss"),
-        F.round(F.when(buy, p * 1.02).otherwise(p * 0.98), 2).alias("take_profit"),
+        rnd(F.when(buy, p * 0.99).otherwise(p * 1.01), 2).alias("stop_loss"),
+        rnd(F.when(buy, p * 1.02).otherwise(p * 0.98), 2).alias("take_profit"),
         F.col("o_orderdate").alias("entry_time"),
         F.when(F.col("o_orderstatus") == "P", "closed").otherwise("open").alias("status"),
     )
