@@ -27,6 +27,21 @@ def with_trade_metrics(trades: DataFrame) -> DataFrame:
     )
 
 
+def trade_bar_aggs(order: Sequence[str]) -> list[Column]:
+    key, price = _order_key(order), F.col("price")
+    return [
+        F.min_by(price, key).alias("open"),
+        F.max(price).alias("high"),
+        F.min(price).alias("low"),
+        F.max_by(price, key).alias("close"),
+        F.sum("size").alias("volume"),
+        F.sum("vol_buy").alias("vol_buy"),
+        F.sum("vol_sell").alias("vol_sell"),
+        F.count(F.lit(1)).alias("trade_count"),
+        F.sum("dollar_val").alias("dollar_val"),
+    ]
+
+
 def time_bars(
     trades: DataFrame,
     timeframe: str,
@@ -39,23 +54,11 @@ def time_bars(
     sequence number) keeps the aggregate hash based; a tuple breaks timestamp
     ties exactly but makes Spark aggregate by sorting (about 3x slower).
     """
-    key = _order_key(order)
-    price = F.col("price")
-    aggs = [
-        F.min_by(price, key).alias("open"),
-        F.max(price).alias("high"),
-        F.min(price).alias("low"),
-        F.max_by(price, key).alias("close"),
-        F.sum("size").alias("volume"),
-        F.sum("vol_buy").alias("vol_buy"),
-        F.sum("vol_sell").alias("vol_sell"),
-        F.count(F.lit(1)).alias("trade_count"),
-        F.sum("dollar_val").alias("dollar_val"),
-    ]
+    aggs = trade_bar_aggs(order)
     if with_path:
         aggs.append(price_path_agg(order).alias("price_path"))
     return (
-        with_trade_metrics(trades.filter(price.isNotNull()))
+        with_trade_metrics(trades.filter(F.col("price").isNotNull()))
         .groupBy("symbol", bar_of(F.col("ts"), timeframe).alias("bar"))
         .agg(*aggs)
         .withColumns(

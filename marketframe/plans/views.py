@@ -21,8 +21,12 @@ def prop_k() -> Column:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trades_of(table(spark, sf_dir, "events"))
+
+
+def trades_of(events: DataFrame) -> DataFrame:
     third = F.col("event_id") % 3
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_type").alias("symbol"),
         "ts",
         F.col("event_id").alias("seq"),

@@ -13,7 +13,6 @@ BOOK_SCHEMA = (
     f"topic string, type string, ts long, data struct<s:string,b:{LEVELS},a:{LEVELS}>,"
     " u long, seq long, cts long"
 )
-DEPTH_SCHEMA = f"e string, s string, T long, E long, U long, u long, b {LEVELS}, a {LEVELS}"
 SNAPSHOT_SCHEMA = f"s string, T long, E long, lastUpdateId long, bids {LEVELS}, asks {LEVELS}"
 
 
@@ -67,12 +66,23 @@ def _message(kind: str, s: Column, ts: Column, b: Column, a: Column, u: Column,
 
 
 def normalise_depth(raw: DataFrame) -> DataFrame:
-    """Raw incremental depth JSON (column ``value``) to delta messages."""
+    """Raw incremental depth JSON (column ``value``) to delta messages.
+
+    The payload tells ``e`` from ``E`` and ``u`` from ``U``, so it is read as a
+    map, whose keys keep their case.
+    """
     m = F.col("m")
+    levels = lambda k: F.from_json(m[k], LEVELS)
+    number = lambda k: m[k].cast("long")
     return (
-        raw.select(F.from_json("value", DEPTH_SCHEMA).alias("m"))
+        raw.select(F.from_json("value", "map<string,string>").alias("m"))
         .filter(m["e"] == "depthUpdate")
-        .select(*_message("delta", m["s"], m["T"], m["b"], m["a"], m["u"], m["U"], m["E"]))
+        .select(
+            *_message(
+                "delta", m["s"], number("T"), levels("b"), levels("a"), number("u"), number("U"),
+                number("E"),
+            )
+        )
     )
 
 
