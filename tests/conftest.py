@@ -20,6 +20,10 @@ def make_session():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
