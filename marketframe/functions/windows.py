@@ -73,7 +73,7 @@ def add_long_rolling(df: DataFrame, specs: Sequence[Long]) -> DataFrame:
     for s in specs:
         total = F.col(f"_ps_{s.col}") - F.coalesce(lag(F.col(f"_ps_{s.col}"), s.n), F.lit(0.0))
         count = F.col(f"_pc_{s.col}") - F.coalesce(lag(F.col(f"_pc_{s.col}"), s.n), F.lit(0))
-        value = total / count if s.kind == "mean" else total
+        value = total / F.nullif(count, F.lit(0)) if s.kind == "mean" else total
         out[s.out] = F.when(count >= s.min_periods, value)
     return df.withColumns(out).drop(*[f"_p{k}_{c}" for c in cols for k in "sc"])
 

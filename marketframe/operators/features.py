@@ -141,7 +141,7 @@ def _book() -> dict[str, Column]:
         "bid_depth_chg": _pct_change(bid),
         "ask_depth_chg": _pct_change(ask),
         "spread_z": _zscore(spread, 24),
-        "ob_spread_bps": spread / close * 10000,
+        "ob_spread_bps": ratio_or_null(spread, close) * 10000,
         "ob_depth_log_ratio": F.ln(F.when(depth == 0, 1e-9).otherwise(depth)),
         "ob_imbalance_z": _zscore(imb, 16),
         "price_liq_div": F.signum("_chg") * F.signum(imb - lag(imb)),
