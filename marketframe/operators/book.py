@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scan import Running, running
 from ..functions.timeutil import bar_of
 
 # Fixed value: keeps size-weighted quotients finite.
@@ -31,11 +30,11 @@ def level_updates(msgs: DataFrame) -> DataFrame:
     )
     return (
         msgs.select(
-            "symbol", "seq", "epoch", "epoch_end",
+            "symbol", "seq", "epoch", "epoch_end", "last_seq",
             F.explode(F.concat(tagged("b", "b"), tagged("a", "a"))).alias("u"),
         )
         .select(
-            "symbol", "seq", "epoch", "epoch_end", "u.side", "u.pos",
+            "symbol", "seq", "epoch", "epoch_end", "last_seq", "u.side", "u.pos",
             F.col("u.lv")[0].cast("double").alias("price"),
             F.col("u.lv")[1].cast("double").alias("size"),
         )
@@ -43,37 +42,48 @@ def level_updates(msgs: DataFrame) -> DataFrame:
 
 
 def with_epochs(
-    msgs: DataFrame, chunk_seqs: int = 10_000, require_snapshot: bool = True
+    msgs: DataFrame, bucket_seqs: int = 10_000, require_snapshot: bool = True
 ) -> DataFrame:
     """Add the sequence numbers of the governing and the next snapshot.
 
-    Deltas before the first snapshot are dropped, or kept in epoch -1 when
-    ``require_snapshot`` is off.
+    One row per bucket of sequence numbers lists its snapshots and carries the
+    neighbouring ones; messages look up their bucket.  ``last_seq`` is the
+    symbol's last message.  Deltas before the first snapshot are dropped, or
+    kept in epoch -1 when ``require_snapshot`` is off.
     """
+    bucket = F.floor(F.col("seq") / bucket_seqs)
     snap = F.when(F.col("type") == "snapshot", F.col("seq"))
-    marked = running(
-        msgs,
-        ["symbol"],
-        F.floor(F.col("seq") / chunk_seqs),
-        ["seq"],
-        [Running("epoch", "max", snap)],
-    )
-    snaps = msgs.filter(F.col("type") == "snapshot").select("symbol", F.col("seq").alias("epoch"))
-    first = (
-        snaps.groupBy("symbol")
-        .agg(F.min("epoch").alias("epoch_end"))
-        .withColumn("epoch", F.lit(-1).cast("long"))
-    )
-    nxt = F.lead("epoch").over(Window.partitionBy("symbol").orderBy("epoch"))
-    ends = snaps.withColumn("epoch_end", nxt).unionByName(first)
-    marked = marked.withColumn("epoch", F.coalesce("epoch", F.lit(-1).cast("long")))
-    if require_snapshot:
-        marked = marked.filter(F.col("epoch") >= 0)
-    return marked.join(ends, ["symbol", "epoch"], "left")
+    per_bucket = msgs.groupBy("symbol", bucket.alias("_eb")).agg(
+        F.collect_set(snap).alias("_snaps"), F.max("seq").alias("_max")
+    )
+    by = Window.partitionBy("symbol")
+    before = by.orderBy("_eb").rowsBetween(Window.unboundedPreceding, -1)
+    after = by.orderBy("_eb").rowsBetween(1, Window.unboundedFollowing)
+    lookup = per_bucket.select(
+        "symbol", "_eb", "_snaps",
+        F.max(F.array_max("_snaps")).over(before).alias("_prev"),
+        F.min(F.array_min("_snaps")).over(after).alias("_next"),
+        F.max("_max").over(by).alias("last_seq"),
+    )
+    seq = F.col("seq")
+    at_or_before = F.array_max(F.filter("_snaps", lambda s: s <= seq))
+    later = F.array_min(F.filter("_snaps", lambda s: s > seq))
+    marked = (
+        msgs.withColumn("_eb", bucket)
+        .join(lookup, ["symbol", "_eb"])
+        .withColumns(
+            {
+                "epoch": F.coalesce(at_or_before, "_prev", F.lit(-1).cast("long")),
+                "epoch_end": F.coalesce(later, "_next"),
+            }
+        )
+        .drop("_eb", "_snaps", "_prev", "_next")
+    )
+    return marked.filter(F.col("epoch") >= 0) if require_snapshot else marked
 
 
 def book_intervals(
-    msgs: DataFrame, chunk_seqs: int = 10_000, require_snapshot: bool = True
+    msgs: DataFrame, bucket_seqs: int = 10_000, require_snapshot: bool = True
 ) -> DataFrame:
     """Validity ``[seq_from, seq_to)`` of every level; open ends are NULL.
 
@@ -82,11 +92,14 @@ def book_intervals(
     """
     level = Window.partitionBy("symbol", "epoch", "side", "price").orderBy("seq", "pos")
     return (
-        level_updates(with_epochs(msgs, chunk_seqs, require_snapshot))
+        level_updates(with_epochs(msgs, bucket_seqs, require_snapshot))
         .withColumn("nxt", F.lead("seq").over(level))
         .withColumn("seq_to", F.coalesce("nxt", "epoch_end"))
         .filter((F.col("size") != 0) & (F.col("seq_to").isNull() | (F.col("seq_to") > F.col("seq"))))
-        .select("symbol", "epoch", "side", "price", "size", F.col("seq").alias("seq_from"), "seq_to")
+        .select(
+            "symbol", "epoch", "side", "price", "size", F.col("seq").alias("seq_from"), "seq_to",
+            "last_seq",
+        )
     )
 
 
@@ -108,42 +121,39 @@ def book_at(
     intervals: DataFrame,
     samples: DataFrame,
     bucket: int = 50,
-    side: str | None = None,
 ) -> DataFrame:
     """Live levels at each sample: an interval join as an equi-join on buckets.
 
     An interval is copied to each bucket of sequence numbers it overlaps.  With
     ``bucket`` near the sampling step the copies are about the output itself.
-    Open intervals end at the last sample of their symbol.
+    The bucket stays as a column: later steps that name it reuse the join's
+    partitioning.
     """
-    last = samples.groupBy("symbol").agg(F.max("seq").alias("_last"))
-    cut = (
-        intervals.join(last, "symbol")
-        .withColumn("_to", F.coalesce("seq_to", F.col("_last") + 1))
-        .filter((F.col("_to") > F.col("seq_from")) & (F.col("seq_from") <= F.col("_last")))
-        .withColumn(
-            "_b",
-            F.explode(
-                F.sequence(
-                    F.floor(F.col("seq_from") / bucket),
-                    F.floor((F.least("_to", F.col("_last") + 1) - 1) / bucket),
-                )
-            ),
-        )
-        .drop("_last")
+    first = F.floor(F.col("seq_from") / bucket)
+    end = F.coalesce("seq_to", F.col("last_seq") + 1)
+    cut = intervals.withColumn(
+        "bucket", F.explode(F.sequence(first, F.floor((end - 1) / bucket)))
+    )
+    at = samples.withColumn("bucket", F.floor(F.col("seq") / bucket))
+    inside = (F.col("seq") >= F.col("seq_from")) & (
+        F.col("seq_to").isNull() | (F.col("seq") < F.col("seq_to"))
     )
-    at = samples.withColumn("_b", F.floor(F.col("seq") / bucket))
     return (
-        at.join(cut, ["symbol", "_b"])
-        .filter((F.col("seq") >= F.col("seq_from")) & (F.col("seq") < F.col("_to")))
-        .select("symbol", "seq", "ts", "side", "price", "size")
+        at.join(cut, ["symbol", "bucket"])
+        .filter(inside)
+        .select("symbol", "bucket", "seq", "ts", "side", "price", "size")
     )
 
 
+def _sample_keys(df: DataFrame) -> list[str]:
+    """Columns of one sample; the join bucket first where it is known."""
+    return ["symbol", *(["bucket"] if "bucket" in df.columns else []), "seq"]
+
+
 def top_levels(levels: DataFrame, k: int = 50) -> DataFrame:
     """Best ``k`` levels per side of each sample, ranked from 1."""
     toward = F.when(F.col("side") == "b", -F.col("price")).otherwise(F.col("price"))
-    w = Window.partitionBy("symbol", "seq", "side").orderBy(toward)
+    w = Window.partitionBy(*_sample_keys(levels), "side").orderBy(toward)
     return levels.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -157,7 +167,7 @@ def _at_rank(side: str, col: str, extreme) -> Column:
 
 def book_metrics(ranked: DataFrame) -> DataFrame:
     """Nine liquidity measures per sample; one-sided books are left out."""
-    agg = ranked.groupBy("symbol", "seq", "ts").agg(
+    agg = ranked.groupBy(*_sample_keys(ranked), "ts").agg(
         _at_rank("b", "price", F.min_by).alias("bb"),
         _at_rank("b", "size", F.min_by).alias("bs"),
         _at_rank("a", "price", F.min_by).alias("ba"),

@@ -105,7 +105,7 @@ def taker_flow(spark, d):
     f"WITH {q.INTERVALS} SELECT symbol, epoch, side, price, size, seq_from, seq_to FROM intervals",
 )
 def book_intervals(spark, d):
-    return bk.book_intervals(v.book_msgs(spark, d))
+    return bk.book_intervals(v.book_msgs(spark, d)).drop("last_seq")
 
 
 @query("book_samples", f"WITH {q.LEVELS} SELECT symbol, seq, ts FROM msgs WHERE seq % 50 = 0")
@@ -124,7 +124,7 @@ def book_samples_timed(spark, d):
 
 @query("book_at", f"WITH {q.BOOK_AT} SELECT symbol, seq, ts, side, price, size FROM book")
 def book_at(spark, d):
-    return pipeline.sampled_book(spark, d)
+    return pipeline.sampled_book(spark, d).drop("bucket")
 
 
 @query(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.parse import expand
 from ..functions.timeutil import epoch_number_to_ntz
 
 LEVELS = "array<array<string>>"
@@ -23,22 +24,21 @@ def parse_book_lines(lines: DataFrame) -> DataFrame:
     of ``lines`` (file, line number) stay.
     """
     keep = [c for c in lines.columns if c != "value"]
-    m = F.col("m")
-    empty = F.array().cast(LEVELS)
+    data, empty = F.col("data"), F.array().cast(LEVELS)
     return (
-        lines.withColumn("m", F.from_json("value", BOOK_SCHEMA))
-        .filter(m["type"].isNotNull() & m["data"].isNotNull())
+        expand(lines, F.from_json("value", BOOK_SCHEMA), keep)
+        .filter(F.col("type").isNotNull() & data.isNotNull())
         .select(
             *keep,
-            m["data"]["s"].alias("symbol"),
-            m["type"].alias("type"),
-            m["ts"].alias("ts_ms"),
-            epoch_number_to_ntz(m["ts"].cast("double")).alias("ts"),
-            m["seq"].alias("seq"),
-            m["u"].alias("u"),
-            m["cts"].alias("cts"),
-            F.coalesce(m["data"]["b"], empty).alias("b"),
-            F.coalesce(m["data"]["a"], empty).alias("a"),
+            data["s"].alias("symbol"),
+            "type",
+            F.col("ts").alias("ts_ms"),
+            epoch_number_to_ntz(F.col("ts").cast("double")).alias("ts"),
+            "seq",
+            "u",
+            "cts",
+            F.coalesce(data["b"], empty).alias("b"),
+            F.coalesce(data["a"], empty).alias("a"),
         )
         .filter((F.size("b") > 0) | (F.size("a") > 0) | (F.col("type") == "snapshot"))
     )
@@ -75,7 +75,7 @@ def normalise_depth(raw: DataFrame) -> DataFrame:
     levels = lambda k: F.from_json(m[k], LEVELS)
     number = lambda k: m[k].cast("long")
     return (
-        raw.select(F.from_json("value", "map<string,string>").alias("m"))
+        expand(raw, F.struct(F.from_json("value", "map<string,string>").alias("m")))
         .filter(m["e"] == "depthUpdate")
         .select(
             *_message(
@@ -92,10 +92,10 @@ def normalise_snapshots(raw: DataFrame, now_ms: Column) -> DataFrame:
     A payload without time takes ``now_ms``; one without event time its time.
     """
     m = F.col("m")
-    ts = F.coalesce(m["T"], now_ms)
+    ts = F.coalesce(m["T"], F.col("now"))
     last = m["lastUpdateId"]
     return (
-        raw.withColumn("m", F.from_json("value", SNAPSHOT_SCHEMA))
+        expand(raw, F.struct(F.from_json("value", SNAPSHOT_SCHEMA).alias("m"), now_ms.alias("now")))
         .filter(m["s"].isNotNull())
         .select(
             *_message(

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.parse import expand
+
 # Strategy and model defaults a parameter set may override.
 PARAM_DEFAULTS = {
     "base_limit_offset_atr": 0.88,
@@ -49,8 +51,7 @@ def resolve_params(raw: DataFrame) -> DataFrame:
 def parse_params(lines: DataFrame) -> DataFrame:
     """Parameter JSON in column ``value``; other columns are kept."""
     keep = [c for c in lines.columns if c != "value"]
-    parsed = lines.withColumn("p", F.from_json("value", params_schema())).select(*keep, "p.*")
-    return resolve_params(parsed)
+    return resolve_params(expand(lines, F.from_json("value", params_schema()), keep))
 
 
 def read_params(spark: SparkSession, paths) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.parse import expand
 from ..functions.timeutil import epoch_number_to_ntz
 
 # Column order of the trade files.
@@ -41,7 +42,7 @@ def project_trades(raw: DataFrame, seq: Column) -> DataFrame:
 
 def parse_trade_lines(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
     """CSV lines (column ``value``) of files that share one header."""
-    parsed = lines.select(F.from_csv("value", ddl(columns)).alias("r")).select("r.*")
+    parsed = expand(lines, F.from_csv("value", ddl(columns)))
     return project_trades(
         parsed.filter(F.col("timestamp").isNotNull() & F.col("price").isNotNull()),
         F.col("trdMatchID"),
@@ -99,17 +100,17 @@ def write_trades(trades: DataFrame, path: str, mode: str = "append") -> None:
     day.write.mode(mode).partitionBy("symbol", "dt").parquet(path)
 
 
-def agg_trade(msg: Column) -> list[Column]:
-    """Trade-file columns from a raw aggregate-trade struct."""
-    price, size = msg["p"].cast("double"), msg["q"].cast("double")
+def agg_trade() -> list[Column]:
+    """Trade-file columns from the fields of a raw aggregate trade."""
+    price, size = F.col("p").cast("double"), F.col("q").cast("double")
     return [
-        (msg["T"] / 1000.0).alias("timestamp"),
-        msg["s"].alias("symbol"),
-        F.when(msg["m"], "Sell").otherwise("Buy").alias("side"),
+        (F.col("T") / 1000.0).alias("timestamp"),
+        F.col("s").alias("symbol"),
+        F.when(F.col("m"), "Sell").otherwise("Buy").alias("side"),
         size.alias("size"),
         price.alias("price"),
         F.lit("ZeroPlusTick").alias("tickDirection"),
-        msg["a"].alias("trdMatchID"),
+        F.col("a").alias("trdMatchID"),
         (price * size).alias("grossValue"),
         size.alias("homeNotional"),
         (price * size).alias("foreignNotional"),
@@ -119,12 +120,8 @@ def agg_trade(msg: Column) -> list[Column]:
 
 def normalise_agg_trades(raw: DataFrame) -> DataFrame:
     """Raw JSON (column ``value``) of aggregate trades to trade-file rows."""
-    msg = F.from_json("value", AGG_TRADE_SCHEMA)
-    return (
-        raw.select(msg.alias("m"))
-        .filter((F.col("m.e") == "aggTrade") & F.col("m.p").isNotNull())
-        .select(*agg_trade(F.col("m")))
-    )
+    parsed = expand(raw, F.from_json("value", AGG_TRADE_SCHEMA))
+    return parsed.filter((F.col("e") == "aggTrade") & F.col("p").isNotNull()).select(*agg_trade())
 
 
 def route_events(raw: DataFrame) -> DataFrame:
