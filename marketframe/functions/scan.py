@@ -168,3 +168,85 @@ def chunk_with_future(df: DataFrame, chunk: int, halo: int) -> DataFrame:
     return df.withColumn("_chunk", F.explode(both)).withColumn(
         "_own", F.col("_chunk") == F.floor(F.col("idx") / chunk)
     )
+
+
+def running_peak(
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: Column,
+    order: Sequence[str],
+    sums: dict[str, Column],
+    peak_of: str,
+) -> DataFrame:
+    """Running sums, and the running maximum ``peak`` of one of them.
+
+    ``peak_before`` is the maximum up to the row before; both are NULL where no
+    row has been seen.  A chunk hands on its totals and its highest local sum,
+    so the maximum of a sum needs no second pass.
+    """
+    keys, order = list(keys), list(order)
+    inside = Window.partitionBy(*keys, "_ck").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    prior = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = (
+        df.withColumn("_ck", chunk)
+        .withColumns({f"_l_{o}": F.sum(e).over(upto) for o, e in sums.items()})
+        .withColumns(
+            {
+                "_hi": F.max(f"_l_{peak_of}").over(upto),
+                "_hi0": F.max(f"_l_{peak_of}").over(prior),
+            }
+        )
+    )
+    totals = local.groupBy(*keys, "_ck").agg(
+        *[F.sum(e).alias(f"_t_{o}") for o, e in sums.items()], F.max("_hi").alias("_top")
+    )
+    before = Window.partitionBy(*keys).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumns(
+        {f"_o_{o}": F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)) for o in sums}
+    ).withColumn("_past", F.max(F.col(f"_o_{peak_of}") + F.col("_top")).over(before))
+    base = F.col(f"_o_{peak_of}")
+    out = local.join(
+        offsets.select(*keys, "_ck", "_past", *[f"_o_{o}" for o in sums]), [*keys, "_ck"]
+    )
+    return out.select(
+        *df.columns,
+        *[(F.col(f"_o_{o}") + F.col(f"_l_{o}")).alias(o) for o in sums],
+        F.greatest("_past", base + F.col("_hi")).alias("peak"),
+        F.greatest("_past", base + F.col("_hi0")).alias("peak_before"),
+    )
+
+
+def islands(
+    df: DataFrame, keys: Sequence[str], chunk: Column, value: str, breaks
+) -> DataFrame:
+    """Add ``island``: the first ``value`` of the run a row belongs to.
+
+    Rows are ordered by ``value``; ``breaks(previous, current)`` says where a
+    new run starts.  Chunks hand on their ends and their last inner break.
+    """
+    keys = list(keys)
+    v = F.col(value)
+    inside = Window.partitionBy(*keys, "_ck").orderBy(value)
+    # equal values share a run, so frames end at the last equal value
+    upto = inside.rangeBetween(Window.unboundedPreceding, 0)
+    prev = F.lag(value).over(inside)
+    local = df.withColumn("_ck", chunk).withColumn("_brk", F.when(breaks(prev, v), v))
+    ends = local.groupBy(*keys, "_ck").agg(
+        F.min(value).alias("_first"), F.max(value).alias("_last"), F.max("_brk").alias("_inner")
+    )
+    by_chunk = Window.partitionBy(*keys).orderBy("_ck")
+    left = F.lag("_last").over(by_chunk)
+    opens = F.when(left.isNull() | breaks(left, F.col("_first")), F.col("_first"))
+    ends = ends.withColumn("_opens", opens)
+    newest = F.coalesce("_inner", "_opens")
+    ends = ends.withColumn(
+        "_carry",
+        F.last(newest, ignorenulls=True).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)),
+    )
+    start = F.coalesce(F.max("_brk").over(upto), F.col("_opens"), F.col("_carry"))
+    return (
+        local.join(ends.select(*keys, "_ck", "_opens", "_carry"), [*keys, "_ck"])
+        .withColumn("island", start)
+        .select(*df.columns, "island")
+    )

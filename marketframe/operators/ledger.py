@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.num import to_step
-from ..functions.scan import Running, running
+from ..functions.scan import islands, running_peak
 from ..functions.storage import materialise
 from ..functions.timeutil import ntz_micros
 
@@ -128,24 +128,17 @@ def fifo_reduce(
     events = materialise(opens.unionByName(closes), "fifo-events")
     opened = F.when(F.col("kind") == 0, F.col("q")).otherwise(0)
     executed = F.when(F.col("kind") == 1, F.col("q")).otherwise(0)
-    both = materialise(
-        running(
-            events, keys, day, order,
-            [Running("A", "sum", opened), Running("E", "sum", executed)],
-        ),
-        "fifo-sums",
-    )
-    wasted = running(
-        both, keys, day, order, [Running("W", "max", F.greatest(F.col("E") - F.col("A"), F.lit(0)))]
-    )
-    used_by = F.col("E") - F.col("W")
-    prior = running(
-        materialise(wasted.withColumn("C", used_by), "fifo-used"),
-        keys, day, order, [Running("C0", "max", F.col("C"), inclusive=False)],
-    )
-    lo = F.when(F.col("kind") == 0, F.col("A") - F.col("q")).otherwise(F.coalesce("C0", F.lit(0)))
-    hi = F.when(F.col("kind") == 0, F.col("A")).otherwise(F.col("C"))
-    spans = prior.withColumns({"lo": lo, "hi": hi}).filter(F.col("hi") > F.col("lo"))
+    sums = running_peak(
+        events, keys, day, order,
+        {"A": opened, "E": executed, "excess": executed - opened}, "excess",
+    )
+    wasted = lambda c: F.greatest(F.col(c), F.lit(0))
+    is_open = F.col("kind") == 0
+    lo = F.when(is_open, F.col("A") - F.col("q")).otherwise(
+        F.col("E") - F.col("q") - wasted("peak_before")
+    )
+    hi = F.when(is_open, F.col("A")).otherwise(F.col("E") - wasted("peak"))
+    spans = sums.withColumns({"lo": lo, "hi": hi}).filter(F.col("hi") > F.col("lo"))
     cut = spans.withColumn(
         "b", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor((F.col("hi") - 1) / bucket)))
     )
@@ -198,16 +191,8 @@ def admit_trades(
     seconds = materialise(
         requests.groupBy(*keys, second.alias("sec")).agg(F.min("id").alias("id")), "requests"
     )
-    hour = F.floor(F.col("sec") / 3600)
-    prev = running(
-        seconds, keys, hour, ["sec"], [Running("_prev", "last", F.col("sec"), inclusive=False)]
-    )
-    breaks = F.when(
-        F.col("_prev").isNull() | (F.col("sec") - F.col("_prev") >= debounce), F.col("sec")
-    )
-    runs = running(
-        materialise(prev.withColumn("_brk", breaks), "request-gaps"),
-        keys, hour, ["sec"], [Running("_run", "last", F.col("_brk"))],
+    runs = islands(
+        seconds, keys, F.floor(F.col("sec") / 3600), "sec", lambda a, b: b - a >= debounce
     )
     fold = F.aggregate(
         F.array_sort(F.collect_list("sec")),
@@ -218,7 +203,7 @@ def admit_trades(
         ).otherwise(s),
         lambda s: s["kept"],
     )
-    kept = runs.groupBy(*keys, "_run").agg(fold.alias("kept")).select(
+    kept = runs.groupBy(*keys, "island").agg(fold.alias("kept")).select(
         *keys, F.explode("kept").alias("sec")
     )
     slots = F.lit(max_open)
@@ -345,24 +330,18 @@ def match_stops(
         F.col("qty").cast("double").alias("qty"),
         F.lit(None).cast(a.schema["rank"].dataType).alias("rank"), F.col("order_id").cast("long"),
     )
-    rows = materialise(
-        a.unionByName(b).withColumn("uid", F.monotonically_increasing_id()), "stop-rows"
-    )
-    order = ["price", "src", "uid"]
-    band = F.floor(F.ln("price") * 100)
-    near = running(rows, k, band, order, [Running("_prev", "last", F.col("price"), inclusive=False)])
-    fresh = F.col("_prev").isNull() | (
-        F.col("price") - F.col("_prev") > F.col("price") * PRICE_TOLERANCE * 1.01
+    rows = materialise(a.unionByName(b), "stop-rows")
+    clusters = islands(
+        rows, k, F.floor(F.ln("price") * 100), "price",
+        lambda a, b: b - a > b * PRICE_TOLERANCE * 1.01,
     )
-    marked = materialise(near.withColumn("_brk", F.when(fresh, F.col("price"))), "stop-marks")
-    clusters = running(marked, k, band, order, [Running("cluster", "last", F.col("_brk"))])
     want = F.array_sort(
         F.collect_list(F.when(F.col("src") == 0, F.struct("rank", "price", "qty")))
     )
     have = F.array_sort(
         F.collect_list(F.when(F.col("src") == 1, F.struct("order_id", "price", "qty")))
     )
-    grouped = clusters.groupBy(*k, "cluster").agg(want.alias("want"), have.alias("have"))
+    grouped = clusters.groupBy(*k, "island").agg(want.alias("want"), have.alias("have"))
     pair = f"array<struct<rank:{a.schema['rank'].dataType.simpleString()},order_id:bigint>>"
 
     def take(state, stop):

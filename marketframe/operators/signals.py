@@ -12,7 +12,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.num import ratio_or_null, to_step, to_tick
-from ..functions.scan import Running, running
+from ..functions.scan import Running, running, running_peak
 from .touch import first_touch
 
 START_EQUITY = 10_000.0
@@ -265,20 +265,23 @@ def equity_curve(ledger: DataFrame, keys: Sequence[str] = ("set_id", "symbol"))
     The peak starts at the initial equity.  Chunks are exit days.
     """
     closed = ledger.filter(F.col("exit_bar").isNotNull())
-    order = ["exit_bar", "idx", "side"]
     day = F.col("exit_bar").cast("date")
-    with_eq = running(closed, keys, day, order, [Running("_pnl", "sum", F.col("pnl"))])
-    with_eq = with_eq.withColumn("equity", START_EQUITY + F.col("_pnl")).drop("_pnl")
-    return drawdown(with_eq, keys, day, order)
+    sums = running_peak(
+        closed, keys, day, ["exit_bar", "idx", "side"], {"_pnl": F.col("pnl")}, "_pnl"
+    )
+    equity = START_EQUITY + F.col("_pnl")
+    peak = START_EQUITY + F.greatest("peak", F.lit(0.0))
+    return (
+        sums.withColumns({"equity": equity, "peak": peak})
+        .withColumn("drawdown", (F.col("equity") - F.col("peak")) / F.col("peak"))
+        .drop("_pnl", "peak_before")
+    )
 
 
 def drawdown(curve: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[str]) -> DataFrame:
     """Distance of ``equity`` from its running maximum, as a share of it."""
     peaked = running(curve, keys, chunk, order, [Running("peak", "max", F.col("equity"))])
-    peak = F.greatest("peak", F.lit(START_EQUITY))
-    return peaked.withColumn("peak", peak).withColumn(
-        "drawdown", (F.col("equity") - F.col("peak")) / F.col("peak")
-    )
+    return peaked.withColumn("drawdown", (F.col("equity") - F.col("peak")) / F.col("peak"))
 
 
 def trade_stats(curve: DataFrame, keys: Sequence[str] = ("set_id", "symbol")) -> DataFrame:
