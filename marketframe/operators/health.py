@@ -55,16 +55,22 @@ def silences(
 ) -> DataFrame:
     """Stretches longer than the limit without a message.
 
-    With ``until`` the time from a key's last message to it counts too.
+    Two messages of one limit-long slot are never a silence apart, so only the
+    first and last message of each slot matter; the slots are aggregated map
+    side before anything is ordered.  With ``until`` the time from a key's last
+    message to it counts too.
     """
     keys = list(keys)
-    times = messages.select(*keys, "ts").distinct()
+    slot = F.floor(ntz_micros(F.col("ts")) / (limit_seconds * 1_000_000))
+    slots = messages.groupBy(*keys, slot.alias("_slot")).agg(
+        F.min("ts").alias("_from"), F.max("ts").alias("_to")
+    )
     seen = running(
-        times, keys, F.col("ts").cast("date"), ["ts"],
-        [Running("silent_from", "last", F.col("ts"), inclusive=False)],
-    ).select(*keys, "silent_from", F.col("ts").alias("silent_to"))
+        slots, keys, F.col("_from").cast("date"), ["_slot"],
+        [Running("silent_from", "last", F.col("_to"), inclusive=False)],
+    ).select(*keys, "silent_from", F.col("_from").alias("silent_to"))
     if until is not None:
-        tail = times.groupBy(*keys).agg(F.max("ts").alias("silent_from")).withColumn(
+        tail = messages.groupBy(*keys).agg(F.max("ts").alias("silent_from")).withColumn(
             "silent_to", until
         )
         seen = seen.unionByName(tail)

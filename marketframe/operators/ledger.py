@@ -102,7 +102,7 @@ def check_protection(trades: DataFrame) -> DataFrame:
 
 
 def fifo_reduce(
-    trades: DataFrame, executions: DataFrame, bucket: int = 2048
+    trades: DataFrame, executions: DataFrame, bucket: int = 2048, chunk: Column | None = None
 ) -> DataFrame:
     """Lots closed first-in-first-out: one row per trade and execution that meet.
 
@@ -114,7 +114,8 @@ def fifo_reduce(
     With running opened ``A`` and executed ``E`` quantity, the part of ``E``
     that found nothing to close is the running maximum of ``E - A``; the rest
     is consumption.  Lots are overlaps of opening and consumption intervals,
-    joined on quantity buckets.
+    joined on quantity buckets.  ``chunk`` splits the time order (``ts, kind,
+    id``) of a symbol and side; the default is the hour.
     """
     opens = trades.select(
         "symbol", "side", F.lit(0).alias("kind"), F.col("trade_id").alias("id"),
@@ -124,12 +125,14 @@ def fifo_reduce(
         "symbol", F.when(is_buy(), "Sell").otherwise("Buy").alias("side"), F.lit(1).alias("kind"),
         F.col("exec_id").alias("id"), F.col("qty").cast("long").alias("q"), "ts",
     )
-    keys, order, day = ["symbol", "side"], ["ts", "kind", "id"], F.col("ts").cast("date")
+    keys, order = ["symbol", "side"], ["ts", "kind", "id"]
+    if chunk is None:
+        chunk = F.window("ts", "1 hour").getField("start")
     events = materialise(opens.unionByName(closes), "fifo-events")
     opened = F.when(F.col("kind") == 0, F.col("q")).otherwise(0)
     executed = F.when(F.col("kind") == 1, F.col("q")).otherwise(0)
     sums = running_peak(
-        events, keys, day, order,
+        events, keys, chunk, order,
         {"A": opened, "E": executed, "excess": executed - opened}, "excess",
     )
     wasted = lambda c: F.greatest(F.col(c), F.lit(0))

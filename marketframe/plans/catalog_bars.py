@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import num
 from ..operators import bars as ob, book as bk
-from . import pipeline, sqltext as q, views as v
+from . import frames, sqltext as q, views as v
 from .registry import query
 from .rounding import rnd, sql_rnd as R
 
@@ -124,7 +124,7 @@ def book_samples_timed(spark, d):
 
 @query("book_at", f"WITH {q.BOOK_AT} SELECT symbol, seq, ts, side, price, size FROM book")
 def book_at(spark, d):
-    return pipeline.sampled_book(spark, d).drop("bucket")
+    return frames.sampled_book(spark, d).drop("bucket")
 
 
 @query(
@@ -132,7 +132,7 @@ def book_at(spark, d):
     f"WITH {q.BOOK_AT} SELECT symbol, seq, side, rank, price, size FROM ranked WHERE rank <= 5",
 )
 def book_topk(spark, d):
-    return bk.top_levels(pipeline.sampled_book(spark, d), 5).select(
+    return bk.top_levels(frames.sampled_book(spark, d), 5).select(
         "symbol", "seq", "side", F.col("rank").cast("long").alias("rank"), "price", "size"
     )
 
@@ -143,7 +143,7 @@ def book_topk(spark, d):
     {", ".join(f"{R(m, 6)} AS {m}" for m in bk.METRICS)} FROM metrics""",
 )
 def book_metrics(spark, d):
-    return pipeline.book_metrics(spark, d).select(
+    return frames.book_metrics(spark, d).select(
         "symbol", "seq", "ts", *[rnd(m, 6).alias(m) for m in bk.METRICS]
     )
 
@@ -154,7 +154,7 @@ def book_metrics(spark, d):
     {", ".join(f"{R(m, 6)} AS {m}" for m in q.OB_COLUMNS)} FROM book_bars""",
 )
 def book_bars(spark, d):
-    return bk.book_bars(pipeline.book_metrics(spark, d), "1h").select(
+    return bk.book_bars(frames.book_metrics(spark, d), "1h").select(
         "symbol", "bar", *[rnd(m, 6).alias(m) for m in q.OB_COLUMNS]
     )
 
@@ -171,7 +171,7 @@ LIVE_BOOK = q.book_bars("1 day", std="stddev_pop")
 )
 def book_bars_live(spark, d):
     # every sample twice: the repeated timestamp must not count
-    metrics = pipeline.book_metrics(spark, d)
+    metrics = frames.book_metrics(spark, d)
     again = metrics.withColumns({"seq": F.col("seq") + 1, "spread": F.col("spread") + 1})
     return bk.book_bars_live(metrics.unionByName(again), "1d").select(
         "symbol", "bar", "ob_update_count", *[rnd(m, 6).alias(m) for m in q.OB_COLUMNS]
@@ -188,12 +188,12 @@ def book_bars_live(spark, d):
          WHEN pct > 0.002 THEN 'pause_spread' ELSE 'ok' END AS verdict FROM p""",
 )
 def spread_guard(spark, d):
-    book = pipeline.sampled_book(spark, d)
+    book = frames.sampled_book(spark, d)
     best = lambda s, f: f(F.when(F.col("side") == s, F.col("price")))
     tops = book.groupBy("symbol", "seq").agg(
         best("b", F.max).alias("best_bid"), best("a", F.min).alias("best_ask")
     )
-    samples = bk.count_samples(v.book_msgs(spark, d), pipeline.SAMPLE_EVERY).select("symbol", "seq")
+    samples = bk.count_samples(v.book_msgs(spark, d), frames.SAMPLE_EVERY).select("symbol", "seq")
     guarded = bk.spread_guard(samples.join(tops, ["symbol", "seq"], "left"))
     return guarded.withColumn("spread_pct", rnd("spread_pct", 6))
 
@@ -204,7 +204,7 @@ def spread_guard(spark, d):
     {", ".join(f"{R(m, 6)} AS {m}" for m in q.OB_COLUMNS)} FROM ix""",
 )
 def bars_joined(spark, d):
-    return pipeline.joined_bars(spark, d).select(
+    return frames.joined_bars(spark, d).select(
         "symbol", "bar", "close", "idx", "n", *[rnd(m, 6).alias(m) for m in q.OB_COLUMNS]
     )
 
@@ -224,7 +224,7 @@ def live_bars(spark, d):
     rows = ob.live_bars(
         ob.time_bars(trades, "5m", order=("seq",)),
         ob.taker_flow(trades, "5m"),
-        bk.book_bars_live(pipeline.book_metrics(spark, d), "5m"),
+        bk.book_bars_live(frames.book_metrics(spark, d), "5m"),
     )
     return rows.select(
         "symbol", "bar", "open", "close", rnd("volume").alias("volume"),
@@ -237,22 +237,18 @@ def live_bars(spark, d):
 
 @query(
     "sanitize",
-    f"""WITH {q.TRADES}, c AS (SELECT symbol, seq, price,
-      lag(price) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY seq) AS prev FROM trades),
-    x AS (SELECT symbol, seq, CASE WHEN prev IS NULL THEN 'nan' WHEN price > 100 THEN 'inf'
-      WHEN price < 1 THEN 'ninf' ELSE 'num' END AS kind, price FROM c)
+    f"""WITH {q.TRADES}, x AS (SELECT symbol, seq, CASE WHEN size = 14 THEN 'null' WHEN size < 10 THEN 'nan'
+      WHEN price > 100 THEN 'inf' WHEN price < 1 THEN 'ninf' ELSE 'num' END AS kind, price FROM trades)
     SELECT symbol, seq, CASE WHEN kind = 'num' THEN price ELSE 0 END AS live,
-    CASE kind WHEN 'nan' THEN 0 WHEN 'inf' THEN 1.7976931348623157e308
+    CASE kind WHEN 'nan' THEN 0 WHEN 'null' THEN 0 WHEN 'inf' THEN 1.7976931348623157e308
       WHEN 'ninf' THEN -1.7976931348623157e308 ELSE price END AS model_input FROM x""",
 )
 def sanitize(spark, d):
-    # first trade of a day is NaN, extreme prices are infinities
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("symbol", F.col("ts").cast("date")).orderBy("seq")
+    """Prices with NULL, NaN and infinities put in by size and price."""
     raw = v.trades(spark, d).withColumn(
         "x",
-        F.when(F.lag("price").over(w).isNull(), float("nan"))
+        F.when(F.col("size") == 14, None)
+        .when(F.col("size") < 10, float("nan"))
         .when(F.col("price") > 100, float("inf"))
         .when(F.col("price") < 1, float("-inf"))
         .otherwise(F.col("price")),

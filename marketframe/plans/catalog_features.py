@@ -7,7 +7,7 @@ over all earlier bars) and rolling statistics with plain frames.
 from __future__ import annotations
 
 from ..operators import features as ft
-from . import pipeline, sqltext as q
+from . import frames, sqltext as q
 from .registry import query
 from .rounding import rnd, sql_rnd as R
 
@@ -93,7 +93,7 @@ TREND_SQL = (
 
 
 def _shown(spark, d, groups, names):
-    frame_ = pipeline.features(spark, d, groups)
+    frame_ = frames.features(spark, d, groups)
     return frame_.select("symbol", "bar", *[rnd(n, DIGITS).alias(n) for n in names])
 
 

@@ -16,7 +16,7 @@ from ..functions.timeutil import epoch_number_to_ntz, ntz_micros
 from ..operators import bars as ob
 from ..sources import book as sb, state as st, trades as tr, venue as vn
 from ..streaming import feeds
-from . import pipeline, sqltext as q, views as v
+from . import frames, sqltext as q, views as v
 from .registry import query
 from .rounding import rnd, sql_rnd as R
 
@@ -322,7 +322,7 @@ def book_sanitize(spark, d):
 )
 def feature_select(spark, d):
     """Model inputs among the joined bar columns, with their filled row counts."""
-    bars = pipeline.joined_bars(spark, d).drop("vol_buy")
+    bars = frames.joined_bars(spark, d).drop("vol_buy")
     chosen = select_features(bars.columns)
     counts = bars.agg(*[F.count(c).alias(c) for c in chosen])
     return counts.unpivot([], chosen, "feature", "rows")

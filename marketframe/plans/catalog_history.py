@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
 from ..operators import health as hl, history as hs
-from . import pipeline, sqltext as q, views as v
+from . import frames, sqltext as q, views as v
 from .registry import query
 from .rounding import rnd, sql_rnd as R
 
@@ -25,7 +25,7 @@ HIST = f"""{IX}, full_h AS (SELECT symbol, bar, idx, n, close, volume, taker_buy
 
 
 def full_history(spark, d):
-    bars = pipeline.indexed_bars(spark, d, TF)
+    bars = frames.indexed_bars(spark, d, TF)
     booked = (F.col("trade_count") > 1) | (F.hour("bar") > 2)
     missing = (F.hour("bar") == 13) & (F.dayofmonth("bar") % 7 == 3)
     rows = bars.filter(~missing).select(

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..operators import labels as lb, splits as sp
-from . import pipeline, sqltext as q
+from . import frames, sqltext as q
 from .catalog_features import PLAIN, WITH_ATR
 from .registry import query
 from .rounding import rnd, sql_rnd as R
@@ -62,7 +62,7 @@ TARGETS = ["target_long", "target_short", "target_dir_long", "target_dir_short"]
 
 @query("label_dir", f"{ONE} SELECT symbol, bar, target_dir_long, target_dir_short FROM lab")
 def label_dir(spark, d):
-    out = lb.labels(pipeline.bars_with_atr(spark, d))
+    out = lb.labels(frames.bars_with_atr(spark, d))
     return out.select("symbol", "bar", "target_dir_long", "target_dir_short")
 
 
@@ -72,7 +72,7 @@ def label_dir(spark, d):
     fill_short_idx, {R('fill_short_price')} AS fill_short_price FROM lab""",
 )
 def label_fill(spark, d):
-    out = lb.labels(pipeline.bars_with_atr(spark, d))
+    out = lb.labels(frames.bars_with_atr(spark, d))
     return out.select(
         "symbol", "bar", "fill_long_idx", rnd("fill_long_price").alias("fill_long_price"),
         "fill_short_idx", rnd("fill_short_price").alias("fill_short_price"),
@@ -81,7 +81,7 @@ def label_fill(spark, d):
 
 @query("label_barrier", f"{ONE} SELECT symbol, bar, target_long, target_short FROM lab")
 def label_barrier(spark, d):
-    return lb.labels(pipeline.bars_with_atr(spark, d)).select(
+    return lb.labels(frames.bars_with_atr(spark, d)).select(
         "symbol", "bar", "target_long", "target_short"
     )
 
@@ -97,7 +97,7 @@ def _sweep_sql() -> str:
 
 @query("label_sweep", f"{_sweep_sql()} SELECT * FROM every")
 def label_sweep(spark, d):
-    return lb.label_sweep(pipeline.bars_with_atr(spark, d), SETS).select(
+    return lb.label_sweep(frames.bars_with_atr(spark, d), SETS).select(
         "set_id", "symbol", "bar", *TARGETS
     )
 
@@ -110,7 +110,7 @@ def label_sweep(spark, d):
 )
 def label_counts(spark, d):
     return lb.label_counts(
-        lb.label_sweep(pipeline.bars_with_atr(spark, d), SETS), ["set_id", "symbol"]
+        lb.label_sweep(frames.bars_with_atr(spark, d), SETS), ["set_id", "symbol"]
     )
 
 
@@ -122,7 +122,7 @@ SPLIT = """CASE WHEN idx < floor(n * 0.7::DOUBLE) THEN 'train'
 
 @query("split_chrono", f"{BASE} SELECT symbol, bar, {SPLIT} AS split FROM ix")
 def split_chrono(spark, d):
-    return sp.split_chrono(pipeline.indexed_bars(spark, d), CUTS).select("symbol", "bar", "split")
+    return sp.split_chrono(frames.indexed_bars(spark, d), CUTS).select("symbol", "bar", "split")
 
 
 def _folds_sql(n_groups: int, n_test: int, purge: int) -> str:
@@ -146,7 +146,7 @@ def _folds_sql(n_groups: int, n_test: int, purge: int) -> str:
     FROM roles WHERE role IS NOT NULL""",
 )
 def cpcv(spark, d):
-    return sp.cpcv(pipeline.indexed_bars(spark, d), 5, 2, 50).select("symbol", "bar", "fold", "role")
+    return sp.cpcv(frames.indexed_bars(spark, d), 5, 2, 50).select("symbol", "bar", "fold", "role")
 
 
 @query(
@@ -158,7 +158,7 @@ def cpcv(spark, d):
     FROM ix JOIN tr USING (symbol)""",
 )
 def scaler(spark, d):
-    rows = sp.split_chrono(pipeline.indexed_bars(spark, d), CUTS)
+    rows = sp.split_chrono(frames.indexed_bars(spark, d), CUTS)
     cols = ["close", "volume"]
     fit = sp.fit_scaler(rows, cols, F.col("split") == "train")
     return sp.apply_scaler(rows, fit, cols).select(
@@ -173,7 +173,7 @@ def scaler(spark, d):
     WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS 59 PRECEDING) QUALIFY idx >= 59""",
 )
 def sequences(spark, d):
-    rows = sp.sequences(pipeline.indexed_bars(spark, d), ["close", "volume"], 60)
+    rows = sp.sequences(frames.indexed_bars(spark, d), ["close", "volume"], 60)
     text = F.transform("sequence", lambda x: x[0].cast("string"))
     return rows.select(
         "symbol", "bar", F.array_join(text, "|").alias("closes"),

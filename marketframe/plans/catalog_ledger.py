@@ -146,6 +146,12 @@ def fifo_executions(spark, d):
     ).agg(F.sum("qty").cast("long").alias("qty"))
 
 
+def _lots(spark, d):
+    # times are whole days here, so a day is split further by id
+    chunk = F.struct("ts", "kind", F.floor(F.col("id") / 1_000_000).alias("part"))
+    return lg.fifo_reduce(open_positions(spark, d), fifo_executions(spark, d), chunk=chunk)
+
+
 FIFO_SQL = f"""WITH {POSITIONS}, {EXECUTIONS}, ex AS (SELECT order_id AS exec_id, symbol,
     CASE side WHEN 'Buy' THEN 'Sell' ELSE 'Buy' END AS side, ts, CAST(sum(qty) AS BIGINT) AS q FROM executions GROUP BY 1, 2, 3, 4),
   ev AS (SELECT symbol, side, 0 AS kind, trade_id AS id, size AS q, entry_time AS ts FROM open_pos
@@ -163,7 +169,7 @@ FIFO_SQL = f"""WITH {POSITIONS}, {EXECUTIONS}, ex AS (SELECT order_id AS exec_id
 
 @query("fifo_reduce", f"{FIFO_SQL} SELECT * FROM lots")
 def fifo_reduce(spark, d):
-    return lg.fifo_reduce(open_positions(spark, d), fifo_executions(spark, d))
+    return _lots(spark, d)
 
 
 @query(
@@ -174,7 +180,7 @@ def fifo_reduce(spark, d):
     FROM open_pos p LEFT JOIN z USING (trade_id)""",
 )
 def fifo_remaining(spark, d):
-    lots = lg.fifo_reduce(open_positions(spark, d), fifo_executions(spark, d))
+    lots = _lots(spark, d)
     return lg.apply_reductions(open_positions(spark, d), lots).select("trade_id", "size", "status")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
 from ..operators import bars as ob, signals as sg
-from . import pipeline, sqltext as q, views as v
+from . import frames, sqltext as q, views as v
 from .catalog_labels import BARS_ATR
 from .registry import query
 from .rounding import rnd, sql_rnd as R
@@ -23,7 +23,7 @@ def scored(spark, d):
     """Bars with deterministic scores in [0, 1)."""
     cents = F.round(F.col("close") * 100).cast("long")
     mix = lambda a, b: ((cents * a + F.col("idx") * b) % 100) / 100.0
-    return pipeline.bars_with_atr(spark, d).withColumns(
+    return frames.bars_with_atr(spark, d).withColumns(
         {
             "pred_long": mix(37, 11), "pred_short": mix(53, 7),
             "pred_dir_long": mix(29, 13), "pred_dir_short": mix(41, 17),
@@ -141,7 +141,7 @@ TICK_SQL = f"""{signals_sql(ONE)},
 @query("outcomes_tick", f"WITH {TICK_SQL}, {LEDGER_SQL} {SHOWN_SQL}")
 def outcomes_tick(spark, d):
     bars = materialise(scored(spark, d), "scored")
-    paths = ob.price_paths(v.trades(spark, d), pipeline.TIMEFRAME, order=("seq",)).join(
+    paths = ob.price_paths(v.trades(spark, d), frames.TIMEFRAME, order=("seq",)).join(
         bars.select("symbol", "bar", "idx"), ["symbol", "bar"]
     )
     out = sg.outcomes_tick(bars, paths, sg.signals(bars, ONE), ONE[0].reach)
@@ -294,7 +294,7 @@ def blend(spark, d):
 @query(
     "auc",
     f"""WITH {SCORED}, lb AS (SELECT symbol, pred_long AS s,
-      CASE WHEN lead(close) OVER (PARTITION BY symbol ORDER BY idx) > close THEN 1 ELSE 0 END AS y FROM sc),
+      CASE WHEN close > open THEN 1 ELSE 0 END AS y FROM sc),
     g AS (SELECT symbol, s, sum(y) AS p, count(*) - sum(y) AS m FROM lb GROUP BY 1, 2),
     w AS (SELECT a.symbol, sum(a.p * CASE WHEN b.s < a.s THEN b.m WHEN b.s = a.s THEN b.m / 2.0 ELSE 0 END) AS wins
       FROM g a JOIN g b USING (symbol) GROUP BY 1)
@@ -302,9 +302,6 @@ def blend(spark, d):
     JOIN (SELECT symbol, sum(p) AS p, sum(m) AS m FROM g GROUP BY 1) USING (symbol)""",
 )
 def auc(spark, d):
-    from pyspark.sql import Window
-
-    nxt = F.lead("close").over(Window.partitionBy("symbol").orderBy("idx"))
-    rows = scored(spark, d).withColumn("y", F.when(nxt > F.col("close"), 1).otherwise(0))
+    rows = scored(spark, d).withColumn("y", F.when(F.col("close") > F.col("open"), 1).otherwise(0))
     out = sg.auc(materialise(rows.select("symbol", "pred_long", "y"), "auc"), ["symbol"], "pred_long", "y")
     return out.withColumn("auc", rnd("auc", 6))

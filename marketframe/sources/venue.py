@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.timeutil import epoch_number_to_ntz
 
 
+def _first_by(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row with the lowest ``order`` per key, combined map side."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_r"))
+    return first.select(*keys, "_r.*")
+
+
 def normalise_klines(payloads: DataFrame) -> DataFrame:
     """Nested string arrays (newest first) to typed bars.
 
@@ -23,11 +30,9 @@ def normalise_klines(payloads: DataFrame) -> DataFrame:
             for i, name in enumerate(["open", "high", "low", "close", "volume"])
         ],
     )
-    w = Window.partitionBy("symbol", "timestamp").orderBy("batch")
     return (
-        rows.withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") == 1)
-        .drop("_rn", "batch")
+        _first_by(rows, ["symbol", "timestamp"], "batch")
+        .drop("batch")
         .withColumn("bar", epoch_number_to_ntz(F.col("timestamp").cast("double")))
     )
 
@@ -145,5 +150,4 @@ def admit_bars(klines: DataFrame, now_ms: Column, last_processed: DataFrame | No
             .filter(F.col("last_start").isNull() | (F.col("start") > F.col("last_start")))
             .drop("last_start")
         )
-    w = Window.partitionBy("symbol", "start").orderBy("arrival")
-    return rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    return _first_by(rows, ["symbol", "start"], "arrival")
