@@ -109,16 +109,21 @@ def with_row_index(
     ts: str,
     keys: Sequence[str] = ("symbol",),
     fill: Sequence[str] = (),
+    valid: Column | None = None,
 ) -> DataFrame:
     """Dense 0-based ``idx`` and row count ``n`` per key in time order.
 
-    Rows are numbered inside a day; day counts give the offset.  Columns in
-    ``fill`` are forward filled on the way with the same two shuffles.
+    Rows are numbered inside a day; day counts give the offset.  On the way,
+    with the same two shuffles, columns in ``fill`` are forward filled and the
+    rows that satisfy ``valid`` get their own dense ``valid_idx`` and
+    ``valid_n``, for steps that later keep only those rows.
     """
     keys = list(keys)
     rows = df.withColumn("_day", F.col(ts).cast("date"))
+    good = F.when(F.lit(True) if valid is None else valid, 1).otherwise(0)
     days = rows.groupBy(*keys, "_day").agg(
         F.count(F.lit(1)).alias("_cnt"),
+        F.sum(good).alias("_vcnt"),
         *[
             F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_l_{c}")
             for c in fill
@@ -131,6 +136,8 @@ def with_row_index(
         "_day",
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(by).alias("n"),
+        F.coalesce(F.sum("_vcnt").over(before), F.lit(0)).alias("_voff"),
+        F.sum("_vcnt").over(by).alias("valid_n"),
         *[F.last(f"_l_{c}", ignorenulls=True).over(before).alias(f"_f_{c}") for c in fill],
     )
     inside = Window.partitionBy(*keys, "_day").orderBy(ts)
@@ -144,6 +151,11 @@ def with_row_index(
         *[filled.get(c, F.col(c)) for c in df.columns],
         (F.col("_off") + F.row_number().over(inside) - 1).alias("idx"),
         "n",
+        *(
+            []
+            if valid is None
+            else [(F.col("_voff") + F.sum(good).over(upto) - 1).alias("valid_idx"), "valid_n"]
+        ),
     )
 
 

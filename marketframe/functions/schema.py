@@ -31,7 +31,7 @@ CONTEXT_PARTS = ("atr", "vol", "rsi", "std", "slope")
 
 def select_features(
     columns: Sequence[str],
-    keys: Sequence[str] = ("symbol", "bar", "idx", "n"),
+    keys: Sequence[str] = ("symbol", "bar", "idx", "n", "valid_idx", "valid_n"),
     microstructure_only: bool = False,
 ) -> list[str]:
     """Model inputs among ``columns`` in their given order."""

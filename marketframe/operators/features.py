@@ -172,6 +172,8 @@ def add_features(
 ) -> DataFrame:
     """Add the feature columns of ``groups`` and drop rows without a price.
 
+    Row numbers stay dense after the drop if ``with_row_index`` was given
+    ``valid = close > 0``; forward searches and sequences rely on that.
     One exchange on (symbol, chunk) serves every window.  ``chunk`` and
     ``halo`` must be multiples of the slow block length.
     """
@@ -218,6 +220,9 @@ def add_features(
         if "ob_bid_integrity_mean" in columns:
             new |= _integrity()
     made += [m for m in new if m not in made]
-    kept = [c for c in columns if c not in ("vol_buy", "vol_sell", "volume", "dollar_val")]
+    used = ("vol_buy", "vol_sell", "volume", "dollar_val", "valid_idx", "valid_n")
+    kept = [c for c in columns if c not in used]
     df = df.withColumns(new).filter(_c("_own") & (_c("close") > 0))
+    if "valid_idx" in columns:
+        df = df.withColumns({"idx": _c("valid_idx"), "n": _c("valid_n")})
     return df.select(*kept, *[F.coalesce(_c(m), F.lit(0.0)).alias(m) for m in made])

@@ -18,7 +18,12 @@ SETS = [
     lb.LabelParams(offset=1.5, take_profit=1.0, stop_loss=2.5, horizon=40, max_hold=120),
 ]
 
-BARS_ATR = f"{PLAIN}, {WITH_ATR}"
+# Bars without a price are dropped after the ATR; the rest is numbered anew.
+BARS_ATR = (
+    PLAIN + ", " + WITH_ATR.replace("fa AS", "fa0 AS", 1)
+    + """, fa AS (SELECT * REPLACE (row_number() OVER (PARTITION BY symbol ORDER BY idx) - 1 AS idx,
+      count(*) OVER (PARTITION BY symbol) AS n) FROM fa0 WHERE close > 0)"""
+)
 
 
 def label_ctes(p: lb.LabelParams, suffix: str = "", source: str = "fa") -> str:

@@ -120,7 +120,7 @@ def outcomes(spark, d):
 
 # trades numbered inside their bar decide the order of crossings
 TICK_SQL = f"""{signals_sql(ONE)},
-  tk AS (SELECT i.symbol, i.idx, t.seq, t.price AS px FROM ix i JOIN trades t
+  tk AS (SELECT i.symbol, i.idx, t.seq, t.price AS px FROM fa i JOIN trades t
     ON t.symbol = i.symbol AND time_bucket(INTERVAL '5 minutes', t.ts) = i.bar),
   e1 AS (SELECT s.sid, min(b.idx) AS eidx FROM sig s JOIN fa b ON b.symbol = s.symbol
     AND b.idx BETWEEN s.idx + 1 AND s.idx + s.hor AND s.kind = 'limit'

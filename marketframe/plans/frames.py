@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scan import with_row_index
 from ..functions.storage import materialise
@@ -38,7 +38,7 @@ def indexed_bars(spark: SparkSession, d: str, timeframe: str = TIMEFRAME) -> Dat
     every later step reads them more than once.
     """
     bars = ob.time_bars(v.trades(spark, d), timeframe, order=("seq",))
-    return with_row_index(materialise(bars, "bars"), "bar")
+    return with_row_index(materialise(bars, "bars"), "bar", valid=F.col("close") > 0)
 
 
 def joined_bars(spark: SparkSession, d: str, timeframe: str = TIMEFRAME) -> DataFrame:
@@ -46,7 +46,9 @@ def joined_bars(spark: SparkSession, d: str, timeframe: str = TIMEFRAME) -> Data
     bars = ob.time_bars(v.trades(spark, d), timeframe, order=("seq",))
     book = bk.book_bars(book_metrics(spark, d), timeframe)
     joined = materialise(bk.bars_with_book(bars, book), "joined")
-    return with_row_index(joined, "bar", fill=BOOK_COLUMNS).fillna(0.0, subset=BOOK_COLUMNS)
+    return with_row_index(
+        joined, "bar", fill=BOOK_COLUMNS, valid=F.col("close") > 0
+    ).fillna(0.0, subset=BOOK_COLUMNS)
 
 
 def features(spark: SparkSession, d: str, groups=("trend", "flow", "book", "regime")) -> DataFrame:

@@ -39,8 +39,8 @@ def indexed(source: str = "bars") -> str:
 LEVELS = f"""levels AS (
   SELECT event_type AS symbol, event_id // 25 AS seq, ts, event_id AS pos,
          CASE WHEN user_id % 2 = 0 THEN 'b' ELSE 'a' END AS side,
-         CASE WHEN user_id % 2 = 0 THEN (1000 - (user_id // 2) % 25) / 10
-              ELSE (1001 + (user_id // 2) % 25) / 10 END AS price,
+         CASE WHEN user_id % 2 = 0 THEN (800 - (user_id // 2) % 25) / 8
+              ELSE (801 + (user_id // 2) % 25) / 8 END AS price,
          CASE WHEN {K} % 10 = 0 THEN 0.0 ELSE value END AS size
   FROM events),
 msgs AS (

@@ -52,14 +52,15 @@ def book_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per level update: 25 consecutive event ids form one message."""
     step = (F.floor(F.col("user_id") / 2) % 25).cast("int")
     bid = F.col("user_id") % 2 == 0
-    tenths = F.when(bid, 1000 - step).otherwise(1001 + step)
+    # eighths are exact in binary, so equal spreads compare equal
+    eighths = F.when(bid, 800 - step).otherwise(801 + step)
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"),
         F.floor(F.col("event_id") / 25).alias("seq"),
         "ts",
         F.col("event_id").alias("pos"),
         F.when(bid, "b").otherwise("a").alias("side"),
-        (tenths / 10).cast("decimal(10,1)").cast("string").alias("price"),
+        (eighths / 8).cast("decimal(10,3)").cast("string").alias("price"),
         F.when(prop_k() % 10 == 0, 0.0).otherwise(F.col("value")).cast("string").alias("size"),
     )
 

@@ -127,6 +127,16 @@ def test_no_look_ahead(spark):
             assert short[c] == pytest.approx(full[c], rel=1e-9, abs=1e-12), c
 
 
+def test_row_numbers_stay_dense_after_drops(spark):
+    from marketframe.functions.scan import with_row_index
+
+    pdf = walk(200).drop(columns=["idx", "n"])
+    pdf.loc[[5, 90, 199], "close"] = 0.0
+    rows = with_row_index(frame(spark, pdf), "bar", valid=F.col("close") > 0)
+    out = add_features(rows, ("trend",)).toPandas().sort_values("bar")
+    assert list(out["idx"]) == list(range(197)) and set(out["n"]) == {197}
+
+
 def test_optional_groups(spark):
     pdf = walk(60)[["symbol", "bar", "open", "high", "low", "close", "volume", "idx", "n"]]
     out = add_features(frame(spark, pdf))
