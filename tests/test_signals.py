@@ -173,3 +173,12 @@ def test_auc_with_ties(spark):
     pos, neg = s[y == 1], s[y == 0]
     want = np.mean((pos[:, None] > neg[None]) + 0.5 * (pos[:, None] == neg[None]))
     assert sg.auc(df, ["symbol"], "s", "y", 8).first()["auc"] == pytest.approx(want)
+
+
+def test_drawdown_across_days(spark):
+    eq = [100.0, 120.0, 90.0, 130.0, 104.0]
+    rows = [("A", datetime(2024, 1, 1) + timedelta(hours=20 * i), e) for i, e in enumerate(eq)]
+    df = spark.createDataFrame(rows, "run string, at timestamp_ntz, equity double")
+    out = sg.drawdown(df, ["run"], F.col("at").cast("date"), ["at"]).orderBy("at").collect()
+    assert [r["peak"] for r in out] == [100.0, 120.0, 120.0, 130.0, 130.0]
+    assert out[2]["drawdown"] == -0.25 and out[4]["drawdown"] == pytest.approx(-0.2)
