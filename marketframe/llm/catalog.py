@@ -1,9 +1,14 @@
 """All training-data queries; importing an operator registers its query."""
 
 from marketframe.llm import (  # noqa: F401
+    chat_format,
     exact_dedup,
+    html_extract,
+    line_dedup,
+    mixing,
     packing,
     token_files,
+    vector_search,
 )
 from marketframe.llm.registry import ORACLES, QUERIES
 
