@@ -4,6 +4,7 @@ from marketframe.llm import (  # noqa: F401
     chat_format,
     exact_dedup,
     html_extract,
+    language_id,
     line_dedup,
     mixing,
     packing,
