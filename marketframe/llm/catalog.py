@@ -7,6 +7,7 @@ from marketframe.llm import (  # noqa: F401
     language_id,
     line_dedup,
     mixing,
+    near_dedup,
     packing,
     token_files,
     vector_search,
