@@ -212,8 +212,11 @@ def classes(links: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours and then the label's own
     label; rounds end when nothing changes.  Only written tables carry over.
     """
+    # both directions come from one evaluation, so they always belong to the same links
+    there = F.struct(F.col("a").alias("node"), F.col("b").alias("near"))
+    back = F.struct(F.col("b").alias("node"), F.col("a").alias("near"))
     both = materialise(
-        links.union(links.select("b", "a")).distinct().toDF("node", "near"), "links"
+        links.select(F.inline(F.array(there, back))).distinct(), "links"
     )
     labels = materialise(
         both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("label")), "labels"
