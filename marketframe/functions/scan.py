@@ -104,6 +104,18 @@ def running(
     )
 
 
+def _by_key(rows: DataFrame, summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the summary of their key and chunk; a null key is a key."""
+    other = summaries.select(
+        *[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)],
+        *[c for c in summaries.columns if c not in keys],
+    )
+    on = F.lit(True)
+    for j, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{j}"))
+    return rows.join(other, on).drop(*[f"_k{j}" for j in range(len(keys))])
+
+
 def with_row_index(
     df: DataFrame,
     ts: str,
@@ -142,7 +154,7 @@ def with_row_index(
     )
     inside = Window.partitionBy(*keys, "_day").orderBy(ts)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(offsets, [*keys, "_day"])
+    joined = _by_key(rows, offsets, [*keys, "_day"])
     filled = {
         c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_f_{c}")).alias(c)
         for c in fill
@@ -218,8 +230,8 @@ def running_peak(
         {f"_o_{o}": F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)) for o in sums}
     ).withColumn("_past", F.max(F.col(f"_o_{peak_of}") + F.col("_top")).over(before))
     base = F.col(f"_o_{peak_of}")
-    out = local.join(
-        offsets.select(*keys, "_ck", "_past", *[f"_o_{o}" for o in sums]), [*keys, "_ck"]
+    out = _by_key(
+        local, offsets.select(*keys, "_ck", "_past", *[f"_o_{o}" for o in sums]), [*keys, "_ck"]
     )
     return out.select(
         *df.columns,
@@ -258,7 +270,7 @@ def islands(
     )
     start = F.coalesce(F.max("_brk").over(upto), F.col("_opens"), F.col("_carry"))
     return (
-        local.join(ends.select(*keys, "_ck", "_opens", "_carry"), [*keys, "_ck"])
+        _by_key(local, ends.select(*keys, "_ck", "_opens", "_carry"), [*keys, "_ck"])
         .withColumn("island", start)
         .select(*df.columns, "island")
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.num import to_step
-from ..functions.scan import islands, running_peak
+from ..functions.scan import Running, islands, running, running_peak
 from ..functions.storage import materialise
 from ..functions.timeutil import ntz_micros
 
@@ -101,29 +101,43 @@ def check_protection(trades: DataFrame) -> DataFrame:
 # --- FIFO -----------------------------------------------------------------
 
 
+def _steps(size: Column, step: float) -> Column:
+    """Size in whole steps; a size that ``step`` does not divide stops the job."""
+    units = F.round(size.cast("double") / step)
+    exact = F.abs(units * step - size.cast("double")) <= 1e-9 * F.greatest(F.abs(size.cast("double")), F.lit(step))
+    wrong = F.raise_error(F.concat(F.lit(f"size is no multiple of step {step}: "), size.cast("string")))
+    return F.when(exact | size.isNull(), units.cast("long")).otherwise(wrong.cast("long"))
+
+
 def fifo_reduce(
-    trades: DataFrame, executions: DataFrame, bucket: int = 2048, chunk: Column | None = None
+    trades: DataFrame,
+    executions: DataFrame,
+    step: float = 1.0,
+    chunk: Column | None = None,
+    chunk_rows: int = 50_000,
 ) -> DataFrame:
     """Lots closed first-in-first-out: one row per trade and execution that meet.
 
     ``trades``: ``symbol, side, trade_id, size, entry_time``; ``executions``:
-    ``symbol, side, exec_id, qty, ts``; sizes are whole steps (long).  An
-    execution closes opposite-side trades that are already open; what it cannot
-    close is dropped.
-
-    With running opened ``A`` and executed ``E`` quantity, the part of ``E``
-    that found nothing to close is the running maximum of ``E - A``; the rest
-    is consumption.  Lots are overlaps of opening and consumption intervals,
-    joined on quantity buckets.  ``chunk`` splits the time order (``ts, kind,
-    id``) of a symbol and side; the default is the hour.
+    ``symbol, side, exec_id, qty, ts``; sizes are multiples of ``step``, such as the
+    instrument's quantity step.  An execution closes opposite-side trades that are
+    already open; what it cannot close is dropped.
+
+    With running opened ``A`` and executed ``E`` quantity, the part of ``E`` that
+    found nothing to close is the running maximum of ``E - A``; the rest is
+    consumption.  Opened and consumed quantity each cut the same axis into
+    intervals, and a lot lies between two neighbouring cuts: it belongs to the first
+    trade and the first execution that end above it.  ``chunk`` splits the time order
+    (``ts, kind, id``) of a symbol and side; the default is the hour.  The quantity
+    axis is split into ranges with about ``chunk_rows`` cuts.
     """
     opens = trades.select(
         "symbol", "side", F.lit(0).alias("kind"), F.col("trade_id").alias("id"),
-        F.col("size").cast("long").alias("q"), F.col("entry_time").alias("ts"),
+        _steps(F.col("size"), step).alias("q"), F.col("entry_time").alias("ts"),
     )
     closes = executions.select(
         "symbol", F.when(is_buy(), "Sell").otherwise("Buy").alias("side"), F.lit(1).alias("kind"),
-        F.col("exec_id").alias("id"), F.col("qty").cast("long").alias("q"), "ts",
+        F.col("exec_id").alias("id"), _steps(F.col("qty"), step).alias("q"), "ts",
     )
     keys, order = ["symbol", "side"], ["ts", "kind", "id"]
     if chunk is None:
@@ -142,21 +156,41 @@ def fifo_reduce(
     )
     hi = F.when(is_open, F.col("A")).otherwise(F.col("E") - wasted("peak"))
     spans = sums.withColumns({"lo": lo, "hi": hi}).filter(F.col("hi") > F.col("lo"))
-    cut = spans.withColumn(
-        "b", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor((F.col("hi") - 1) / bucket)))
-    )
-    t = cut.filter(F.col("kind") == 0).select(
-        *keys, "b", F.col("id").alias("trade_id"), F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi")
-    )
-    e = cut.filter(F.col("kind") == 1).select(
-        *keys, "b", F.col("id").alias("exec_id"), F.col("ts").alias("exec_ts"),
-        F.col("lo").alias("e_lo"), F.col("hi").alias("e_hi"),
-    )
-    start, end = F.greatest("t_lo", "e_lo"), F.least("t_hi", "e_hi")
-    return (
-        t.join(e, [*keys, "b"])
-        .filter((start < end) & (F.floor(start / bucket) == F.col("b")))
-        .select(*keys, "trade_id", "exec_id", "exec_ts", (end - start).alias("closed_qty"))
+    # every interval end is a cut; zero opens the axis
+    trade = F.max(F.when(is_open, F.struct("id")))
+    execution = F.max(F.when(~is_open, F.struct("id", "ts")))
+    cuts = spans.groupBy(*keys, F.col("hi").alias("cut")).agg(
+        trade.alias("trade"), execution.alias("execution")
+    )
+    zero = cuts.select(
+        *keys, F.lit(0).cast("long").alias("cut"),
+        F.lit(None).cast(cuts.schema["trade"].dataType).alias("trade"),
+        F.lit(None).cast(cuts.schema["execution"].dataType).alias("execution"),
+    ).distinct()
+    cuts = materialise(cuts.unionByName(zero), "fifo-cuts")
+    widths = cuts.groupBy(*keys).agg(
+        F.greatest(F.max("cut") / F.ceil(F.count(F.lit(1)) / chunk_rows), F.lit(1.0)).alias("width")
+    )
+    widths = widths.toDF(*[f"_{k}" for k in keys], "width")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    ranged = cuts.join(widths, same).select(
+        *keys, (-F.col("cut")).alias("down"), "cut", "trade", "execution",
+        (-F.floor(F.col("cut") / F.col("width"))).alias("range"),
+    )
+    # from the top down, what ended last above a cut is the lot that starts at it
+    lots = running(
+        ranged, keys, F.col("range"), ["down"],
+        [
+            Running("upper", "last", F.col("cut"), inclusive=False),
+            Running("lot_trade", "last", F.col("trade"), inclusive=False),
+            Running("lot_execution", "last", F.col("execution"), inclusive=False),
+        ],
+    ).filter(F.col("lot_trade").isNotNull() & F.col("lot_execution").isNotNull())
+    units = F.col("upper") - F.col("cut")
+    closed = units if step == 1 else F.round(units * step, 12)
+    return lots.select(
+        *keys, F.col("lot_trade.id").alias("trade_id"), F.col("lot_execution.id").alias("exec_id"),
+        F.col("lot_execution.ts").alias("exec_ts"), closed.alias("closed_qty"),
     )
 
 
@@ -164,6 +198,9 @@ def apply_reductions(trades: DataFrame, lots: DataFrame) -> DataFrame:
     """Trades with their remaining size; fully closed ones become ``closed``."""
     closed = lots.groupBy("trade_id").agg(F.sum("closed_qty").alias("_closed"))
     left = F.col("size") - F.coalesce("_closed", F.lit(0))
+    # sums of fractions are compared on a grid finer than any quantity step
+    if dict(trades.dtypes)["size"] in ("double", "float"):
+        left = F.round(left, 9)
     return (
         trades.join(closed, "trade_id", "left")
         .withColumn("size", left)
@@ -323,15 +360,16 @@ def match_stops(
     the ordered fold runs inside one cluster.
     """
     k = [*keys, "side"]
+    order_type = orders.schema["order_id"].dataType
     a = stops.select(
         *k, F.lit(0).alias("src"), F.col("trigger_price").cast("double").alias("price"),
         F.col("qty").cast("double").alias("qty"),
-        F.struct("entry_time", "trade_id", "type").alias("rank"), F.lit(None).cast("long").alias("order_id"),
+        F.struct("entry_time", "trade_id", "type").alias("rank"), F.lit(None).cast(order_type).alias("order_id"),
     )
     b = orders.select(
         *k, F.lit(1).alias("src"), F.col("trigger_price").cast("double").alias("price"),
         F.col("qty").cast("double").alias("qty"),
-        F.lit(None).cast(a.schema["rank"].dataType).alias("rank"), F.col("order_id").cast("long"),
+        F.lit(None).cast(a.schema["rank"].dataType).alias("rank"), "order_id",
     )
     rows = materialise(a.unionByName(b), "stop-rows")
     clusters = islands(
@@ -345,7 +383,7 @@ def match_stops(
         F.collect_list(F.when(F.col("src") == 1, F.struct("order_id", "price", "qty")))
     )
     grouped = clusters.groupBy(*k, "island").agg(want.alias("want"), have.alias("have"))
-    pair = f"array<struct<rank:{a.schema['rank'].dataType.simpleString()},order_id:bigint>>"
+    pair = f"array<struct<rank:{a.schema['rank'].dataType.simpleString()},order_id:{order_type.simpleString()}>>"
 
     def take(state, stop):
         used = F.transform(state, lambda m: m["order_id"])
@@ -377,9 +415,12 @@ def stop_actions(
     2; nothing is placed for symbols without a positive price.
     """
     base = ["account", "symbol", "side"]
+    order_type, trade_type = (
+        df.schema[c].dataType for df, c in ((orders, "order_id"), (stops, "trade_id"))
+    )
     stale = orders.join(matches.select("order_id"), "order_id", "left_anti").select(
-        *base, F.lit("cancel").alias("action"), F.col("order_id").cast("long").alias("order_id"),
-        F.lit(None).cast("long").alias("trade_id"), F.lit(None).cast("string").alias("type"),
+        *base, F.lit("cancel").alias("action"), "order_id",
+        F.lit(None).cast(trade_type).alias("trade_id"), F.lit(None).cast("string").alias("type"),
         F.col("qty").cast("double").alias("qty"), "trigger_price",
         F.lit(None).cast("int").alias("trigger_direction"),
     )
@@ -387,8 +428,8 @@ def stop_actions(
         stops.join(matches.select("trade_id", "type"), ["trade_id", "type"], "left_anti")
         .join(prices.filter(F.col("price") > 0), "symbol")
         .select(
-            *base, F.lit("place").alias("action"), F.lit(None).cast("long").alias("order_id"),
-            F.col("trade_id").cast("long").alias("trade_id"), "type",
+            *base, F.lit("place").alias("action"), F.lit(None).cast(order_type).alias("order_id"),
+            "trade_id", "type",
             F.col("qty").cast("double").alias("qty"), "trigger_price",
             F.when(F.col("trigger_price") > F.col("price"), 1).otherwise(2).alias("trigger_direction"),
         )

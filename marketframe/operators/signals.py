@@ -259,22 +259,40 @@ def outcomes_tick(bars: DataFrame, paths: DataFrame, sigs: DataFrame, reach: int
 # --- ledger statistics ----------------------------------------------------
 
 
+def equity_events(ledger: DataFrame) -> DataFrame:
+    """What moves the equity: the entry fee at entry, the profit at exit.
+
+    Ledger rows with ``event_bar``, ``event`` (entry or exit), ``step`` and ``amount``.  Exits
+    of a bar come before its entries.  Positions still open have paid their fee.
+    """
+    entry = F.struct(
+        F.col("entry_bar").alias("event_bar"), F.lit(1).alias("step"), F.lit("entry").alias("event"),
+        (-F.col("entry_fee")).alias("amount"),
+    )
+    exit_ = F.struct(
+        F.col("exit_bar").alias("event_bar"), F.lit(0).alias("step"), F.lit("exit").alias("event"),
+        F.col("pnl").alias("amount"),
+    )
+    rows = ledger.withColumn("_e", F.explode(F.array(entry, exit_)))
+    return rows.filter(F.col("_e.event_bar").isNotNull()).select(*ledger.columns, "_e.*")
+
+
 def equity_curve(ledger: DataFrame, keys: Sequence[str] = ("set_id", "symbol")) -> DataFrame:
-    """Equity after each closed trade in exit order, and drawdown from its peak.
+    """Equity after each entry and exit in order, and drawdown from its peak.
 
-    The peak starts at the initial equity.  Chunks are exit days.
+    The peak starts at the initial equity.  Chunks are days.
     """
-    closed = ledger.filter(F.col("exit_bar").isNotNull())
-    day = F.col("exit_bar").cast("date")
+    day = F.col("event_bar").cast("date")
     sums = running_peak(
-        closed, keys, day, ["exit_bar", "idx", "side"], {"_pnl": F.col("pnl")}, "_pnl"
+        equity_events(ledger), keys, day, ["event_bar", "step", "idx", "side"],
+        {"_gain": F.col("amount")}, "_gain",
     )
-    equity = START_EQUITY + F.col("_pnl")
+    equity = START_EQUITY + F.col("_gain")
     peak = START_EQUITY + F.greatest("peak", F.lit(0.0))
     return (
         sums.withColumns({"equity": equity, "peak": peak})
         .withColumn("drawdown", (F.col("equity") - F.col("peak")) / F.col("peak"))
-        .drop("_pnl", "peak_before")
+        .drop("_gain", "peak_before")
     )
 
 
@@ -285,21 +303,26 @@ def drawdown(curve: DataFrame, keys: Sequence[str], chunk: Column, order: Sequen
 
 
 def trade_stats(curve: DataFrame, keys: Sequence[str] = ("set_id", "symbol")) -> DataFrame:
-    """Count, win rate, return, worst drawdown and Sortino ratio per key."""
-    pnl = F.col("pnl")
+    """Count, win rate, return, worst drawdown and Sortino ratio per key.
+
+    ``curve`` has entries and exits; trades are exits, return and drawdown include the
+    entry fees.  Keys without a closed trade have no row.
+    """
+    closed = F.col("event") == "exit"
+    pnl = F.when(closed, F.col("pnl"))
     lost = F.sqrt(F.avg(F.when(pnl < 0, pnl * pnl)))
     mean = F.avg(pnl)
     sortino = F.when(lost.isNull(), F.when(mean > 0, 10.0).otherwise(-10.0)).otherwise(
         F.coalesce(ratio_or_null(mean, lost), F.lit(0.0))
     )
     return curve.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("trades"),
-        F.avg(F.when(pnl > 0, 1.0).otherwise(0.0)).alias("win_rate"),
-        (F.sum(pnl) / START_EQUITY).alias("total_return"),
-        (F.lit(START_EQUITY) + F.sum(pnl)).alias("final_equity"),
+        F.count(F.when(closed, 1)).alias("trades"),
+        F.avg(F.when(pnl > 0, 1.0).when(closed, 0.0)).alias("win_rate"),
+        (F.sum("amount") / START_EQUITY).alias("total_return"),
+        (F.lit(START_EQUITY) + F.sum("amount")).alias("final_equity"),
         F.abs(F.min("drawdown")).alias("max_drawdown"),
         sortino.alias("sortino"),
-    )
+    ).filter("trades > 0")
 
 
 def complete_stats(stats: DataFrame, runs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -342,12 +342,16 @@ def prune_orphans(spark, d):
 
 @query(
     "positions_merge",
-    f"""WITH {POSITIONS}, cur AS (SELECT * REPLACE (size + 1 AS size) FROM open_pos WHERE symbol IN ('1-URGENT', '2-HIGH') AND entry_price > 250000)
+    f"""WITH {POSITIONS}, cur AS (SELECT * REPLACE (size + 1 AS size) FROM open_pos
+      WHERE symbol IN ('1-URGENT', '2-HIGH') AND trade_id % 3 > 0)
     SELECT trade_id, symbol, status, size FROM positions p
-    WHERE NOT (status = 'open' AND symbol IN (SELECT symbol FROM cur)) UNION ALL SELECT trade_id, symbol, status, size FROM cur""",
+    WHERE NOT (status = 'open' AND symbol IN ('1-URGENT', '2-HIGH', '5-LOW'))
+    UNION ALL SELECT trade_id, symbol, status, size FROM cur""",
 )
 def positions_merge(spark, d):
-    pos = v.positions(spark, d).select("trade_id", "symbol", "status", "size", "entry_price")
-    mine = F.col("symbol").isin("1-URGENT", "2-HIGH") & (F.col("entry_price") > 250_000)
+    """Three managed symbols: two with changed rows and closed ones, one closed altogether."""
+    pos = v.positions(spark, d).select("trade_id", "symbol", "status", "size")
+    mine = F.col("symbol").isin("1-URGENT", "2-HIGH") & (F.col("trade_id") % 3 > 0)
     current = pos.filter((F.col("status") == "open") & mine).withColumn("size", F.col("size") + 1)
-    return st.save_positions(pos, current).select("trade_id", "symbol", "status", "size")
+    managed = pos.filter(F.col("symbol").isin("1-URGENT", "2-HIGH", "5-LOW")).select("symbol")
+    return st.save_positions(pos, current, managed)

@@ -148,10 +148,14 @@ def outcomes_tick(spark, d):
     return _shown(out)
 
 
-CURVE_SQL = """curve0 AS (SELECT *, 10000.0::DOUBLE + sum(pnl) OVER (PARTITION BY set_id, symbol
-    ORDER BY exit_bar, idx, side ROWS UNBOUNDED PRECEDING) AS equity FROM ledger WHERE exit_bar IS NOT NULL),
+# the entry fee is charged at entry, the profit booked at exit
+CURVE_SQL = """ev AS (SELECT set_id, symbol, idx, side, entry_bar AS event_bar, 1 AS step, 'entry' AS event,
+    -entry_fee AS amount, NULL::DOUBLE AS pnl FROM ledger
+    UNION ALL SELECT set_id, symbol, idx, side, exit_bar, 0, 'exit', pnl, pnl FROM ledger WHERE exit_bar IS NOT NULL),
+  curve0 AS (SELECT *, 10000.0::DOUBLE + sum(amount) OVER (PARTITION BY set_id, symbol
+    ORDER BY event_bar, step, idx, side ROWS UNBOUNDED PRECEDING) AS equity FROM ev),
   curve AS (SELECT *, greatest(10000.0, max(equity) OVER (PARTITION BY set_id, symbol
-    ORDER BY exit_bar, idx, side ROWS UNBOUNDED PRECEDING)) AS peak FROM curve0)"""
+    ORDER BY event_bar, step, idx, side ROWS UNBOUNDED PRECEDING)) AS peak FROM curve0)"""
 ONE_CURVE = f"WITH {outcomes_sql(ONE)}, {LEDGER_SQL}, {CURVE_SQL}"
 
 
@@ -161,32 +165,34 @@ def curve(spark, d, sets):
 
 @query(
     "equity_curve",
-    f"{ONE_CURVE} SELECT symbol, exit_bar, idx, side, {R('pnl', 3)} AS pnl, {R('equity', 3)} AS equity FROM curve",
+    f"""{ONE_CURVE} SELECT symbol, event_bar, event, idx, side, {R('amount', 3)} AS amount, {R('equity', 3)} AS equity
+    FROM curve""",
 )
 def equity_curve(spark, d):
     return curve(spark, d, ONE).select(
-        "symbol", "exit_bar", "idx", "side", rnd("pnl", 3).alias("pnl"), rnd("equity", 3).alias("equity")
+        "symbol", "event_bar", "event", "idx", "side", rnd("amount", 3).alias("amount"),
+        rnd("equity", 3).alias("equity"),
     )
 
 
 @query(
     "drawdown",
-    f"""{ONE_CURVE} SELECT symbol, count(*) AS trades, {R('max(peak)')} AS peak,
+    f"""{ONE_CURVE} SELECT symbol, count(pnl) AS trades, {R('max(peak)')} AS peak,
     {R('min((equity - peak) / peak)', 5)} AS worst FROM curve GROUP BY 1""",
 )
 def drawdown(spark, d):
     return curve(spark, d, ONE).groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("trades"), rnd(F.max("peak")).alias("peak"),
+        F.count(F.when(F.col("event") == "exit", 1)).alias("trades"), rnd(F.max("peak")).alias("peak"),
         rnd(F.min("drawdown"), 5).alias("worst"),
     )
 
 
-STATS_SQL = """stats AS (SELECT set_id, symbol, count(*) AS trades,
-    avg(CASE WHEN pnl > 0 THEN 1.0::DOUBLE ELSE 0 END) AS win_rate, sum(pnl) / 10000.0::DOUBLE AS total_return,
-    10000.0::DOUBLE + sum(pnl) AS final_equity, abs(min((equity - peak) / peak)) AS max_drawdown,
+STATS_SQL = """stats AS (SELECT set_id, symbol, count(pnl) AS trades,
+    avg(CASE WHEN pnl > 0 THEN 1.0::DOUBLE WHEN event = 'exit' THEN 0 END) AS win_rate,
+    sum(amount) / 10000.0::DOUBLE AS total_return, 10000.0::DOUBLE + sum(amount) AS final_equity, abs(min((equity - peak) / peak)) AS max_drawdown,
     CASE WHEN count(CASE WHEN pnl < 0 THEN 1 END) = 0 THEN CASE WHEN avg(pnl) > 0 THEN 10.0::DOUBLE ELSE -10.0 END
       ELSE coalesce(avg(pnl) / nullif(sqrt(avg(CASE WHEN pnl < 0 THEN pnl * pnl END)), 0), 0) END AS sortino
-    FROM curve GROUP BY 1, 2)"""
+    FROM curve GROUP BY 1, 2 HAVING count(pnl) > 0)"""
 STAT_COLS = ["win_rate", "total_return", "final_equity", "max_drawdown", "sortino"]
 
 

@@ -59,13 +59,18 @@ def read_params(spark: SparkSession, paths) -> DataFrame:
     return resolve_params(raw)
 
 
-def save_positions(stored: DataFrame, current: DataFrame) -> DataFrame:
-    """Stored ledger with the open rows of the current symbols replaced.
-
-    ``current`` holds the complete open positions of its symbols; rows of other
-    symbols and closed rows stay.
+def save_positions(
+    stored: DataFrame, current: DataFrame, managed: DataFrame | None = None
+) -> DataFrame:
+    """Stored ledger with the open rows of the managed symbols replaced by ``current``.
+
+    ``managed`` (column ``symbol``) names the symbols whose open positions
+    ``current`` holds completely, also those with none left; without it only the
+    symbols found in ``current`` are replaced.  Rows of other symbols and closed
+    rows stay.
     """
-    symbols = current.select("symbol").distinct().withColumn("status", F.lit("open"))
+    names = current.select("symbol") if managed is None else managed.select("symbol")
+    symbols = names.distinct().withColumn("status", F.lit("open"))
     return stored.join(symbols, ["symbol", "status"], "left_anti").unionByName(current)
 
 

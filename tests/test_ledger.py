@@ -39,7 +39,7 @@ def test_fifo_equals_loop(spark, seed):
                 left -= take
     t = spark.createDataFrame(opens, "trade_id long, symbol string, side string, size long, entry_time timestamp_ntz")
     e = spark.createDataFrame(execs, "exec_id long, symbol string, side string, qty long, ts timestamp_ntz")
-    lots = lg.fifo_reduce(t, e, bucket=16)
+    lots = lg.fifo_reduce(t, e, chunk_rows=8)
     got = sorted((r["trade_id"], r["exec_id"], r["closed_qty"]) for r in lots.collect())
     assert got == sorted(want)
     after = lg.apply_reductions(t.withColumn("status", F.lit("open")), lots).collect()
@@ -47,6 +47,71 @@ def test_fifo_equals_loop(spark, seed):
     assert all(r["size"] == left[r["trade_id"]] and (r["status"] == "closed") == (r["size"] == 0) for r in after)
 
 
+def fifo_loop(opens, execs):
+    """Open lots reduced one execution after the other."""
+    events = sorted([(o[4], 0, o[0], o) for o in opens] + [(e[4], 1, e[0], e) for e in execs])
+    queue, want = [], []
+    for _, kind, i, r in events:
+        if kind == 0:
+            queue.append([i, r[1], r[2], r[3]])
+            continue
+        left, target = r[3], "Buy" if r[2] == "Sell" else "Sell"
+        for q in queue:
+            take = min(left, q[3])
+            if (q[1], q[2]) == (r[1], target) and take > 1e-9:
+                want.append((q[0], i, round(take, 6)))
+                q[3], left = q[3] - take, left - take
+    return sorted(want)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fifo_of_fractional_sizes_equals_loop(spark, seed):
+    rng = np.random.default_rng(seed)
+    row = lambda i: (i, ["X", None][rng.integers(2)], ["Buy", "Sell"][rng.integers(2)],
+                     int(rng.integers(1, 4000)) / 1000, T0 + timedelta(hours=int(rng.integers(0, 90))))
+    opens, execs = [row(i) for i in range(50)], [row(i) for i in range(50)]
+    t = spark.createDataFrame(opens, "trade_id long, symbol string, side string, size double, entry_time timestamp_ntz")
+    e = spark.createDataFrame(execs, "exec_id long, symbol string, side string, qty double, ts timestamp_ntz")
+    lots = lg.fifo_reduce(t, e, step=0.001, chunk_rows=7)
+    got = sorted((r["trade_id"], r["exec_id"], round(r["closed_qty"], 6)) for r in lots.collect())
+    assert got == fifo_loop(opens, execs)
+
+
+def test_fifo_closes_half_lots_and_refuses_a_wrong_step(spark):
+    t = spark.createDataFrame(
+        [("a-1", "X", "Buy", 0.5, T0), ("b-2", "X", "Buy", 1.7, T0 + timedelta(hours=1))],
+        "trade_id string, symbol string, side string, size double, entry_time timestamp_ntz",
+    ).withColumn("status", F.lit("open"))
+    e = spark.createDataFrame(
+        [("e", "X", "Sell", 2.2, T0 + timedelta(hours=2))],
+        "exec_id string, symbol string, side string, qty double, ts timestamp_ntz",
+    )
+    lots = lg.fifo_reduce(t, e, step=0.1)
+    assert sorted((r.trade_id, r.closed_qty) for r in lots.collect()) == [("a-1", 0.5), ("b-2", 1.7)]
+    assert {r.status for r in lg.apply_reductions(t, lots).collect()} == {"closed"}
+    with pytest.raises(Exception, match="no multiple of step"):
+        lg.fifo_reduce(t, e, step=1.0).collect()
+
+
+def test_protection_with_string_ids(spark):
+    stops = spark.createDataFrame(
+        [("t-1", 1, "X", "Sell", 2.0, "sl", 90.0, T0), ("t-2", 1, "X", "Sell", 3.0, "sl", 80.0, T0)],
+        "trade_id string, account long, symbol string, side string, qty double, type string,"
+        " trigger_price double, entry_time timestamp_ntz",
+    )
+    orders = spark.createDataFrame(
+        [("a1b2-uuid", 1, "X", "Sell", 2.0, 90.01), ("c3d4-uuid", 1, "X", "Sell", 9.0, 70.0)],
+        "order_id string, account long, symbol string, side string, qty double, trigger_price double",
+    )
+    prices = spark.createDataFrame([("X", 100.0)], "symbol string, price double")
+    matches = lg.match_stops(stops, orders)
+    assert [(r.trade_id, r.order_id) for r in matches.collect()] == [("t-1", "a1b2-uuid")]
+    actions = lg.stop_actions(stops, orders, matches, prices).collect()
+    assert sorted((r.action, r.order_id or r.trade_id) for r in actions) == [
+        ("cancel", "c3d4-uuid"), ("place", "t-2")
+    ]
+
+
 def greedy(stops, orders):
     used, out = set(), []
     for s in stops:

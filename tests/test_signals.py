@@ -131,10 +131,58 @@ def test_aggressive_only(spark, data):
     assert kinds == {"market"}  # missing direction counts as 1
 
 
+LEDGER = ("set_id int, symbol string, idx long, side string, entry_bar timestamp_ntz,"
+          " entry_fee double, exit_bar timestamp_ntz, pnl double")
+
+
+def at(hours):
+    return datetime(2024, 1, 1) + timedelta(hours=int(hours))
+
+
+def test_entry_fee_is_charged_once(spark):
+    led = spark.createDataFrame([(0, "A", 0, "Buy", at(0), 2.0, at(5), 5.0)], LEDGER)
+    curve = sg.equity_curve(led).orderBy("event_bar").collect()
+    assert [(r.event, r.equity) for r in curve] == [("entry", 9998.0), ("exit", 10003.0)]
+    s = sg.trade_stats(sg.equity_curve(led)).first()
+    assert (s.trades, s.final_equity) == (1, 10003.0)
+    assert s.max_drawdown == pytest.approx(2 / 10000) and s.total_return == pytest.approx(0.0003)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_equity_with_fees_equals_loop(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(80):
+        start = int(rng.integers(0, 500))
+        done = rng.random() < 0.9
+        rows.append((0, "A", i, ["Buy", "Sell"][i % 2], at(start), float(rng.random() * 3),
+                     at(start + rng.integers(0, 60)) if done else None,
+                     float(rng.normal() * 20) if done else None))
+    events = sorted(
+        [(r[4], 1, r[2], r[3], -r[5]) for r in rows] + [(r[6], 0, r[2], r[3], r[7]) for r in rows if r[6]]
+    )
+    equity = peak = 10_000.0
+    want, worst = [], 0.0
+    for *_, amount in events:
+        equity += amount
+        peak = max(peak, equity)
+        worst = min(worst, (equity - peak) / peak)
+        want.append(equity)
+    led = spark.createDataFrame(rows, LEDGER)
+    curve = sg.equity_curve(led)
+    got = [r.equity for r in curve.orderBy("event_bar", "step", "idx", "side").collect()]
+    assert got == pytest.approx(want)
+    s = sg.trade_stats(curve).first()
+    assert s.final_equity == pytest.approx(equity) and s.max_drawdown == pytest.approx(-worst)
+    assert s.total_return == pytest.approx((equity - 10_000) / 10_000)
+    assert s.trades == sum(r[6] is not None for r in rows)
+
+
 def test_stats_by_hand(spark):
     pnl = [100.0, -50.0, 30.0, -80.0]
-    rows = [(0, "A", i, "Buy", datetime(2024, 1, 1) + timedelta(hours=20 * i), p) for i, p in enumerate(pnl)]
-    led = spark.createDataFrame(rows, "set_id int, symbol string, idx long, side string, exit_bar timestamp_ntz, pnl double")
+    led = spark.createDataFrame(
+        [(0, "A", i, "Buy", at(20 * i), 0.0, at(20 * i), p) for i, p in enumerate(pnl)], LEDGER
+    )
     s = sg.trade_stats(sg.equity_curve(led)).first()
     assert (s["trades"], s["win_rate"], s["final_equity"]) == (4, 0.5, 10000.0)
     assert s["max_drawdown"] == pytest.approx(100 / 10100)
@@ -179,6 +227,6 @@ def test_drawdown_across_days(spark):
     eq = [100.0, 120.0, 90.0, 130.0, 104.0]
     rows = [("A", datetime(2024, 1, 1) + timedelta(hours=20 * i), e) for i, e in enumerate(eq)]
     df = spark.createDataFrame(rows, "run string, at timestamp_ntz, equity double")
-    out = sg.drawdown(df, ["run"], F.col("at").cast("date"), ["at"]).orderBy("at").collect()
+    out = sg.drawdown(df, ["run"], F.col("at").cast("date"), ["at"]).orderBy("event_bar").collect()
     assert [r["peak"] for r in out] == [100.0, 120.0, 120.0, 130.0, 130.0]
     assert out[2]["drawdown"] == -0.25 and out[4]["drawdown"] == pytest.approx(-0.2)

@@ -96,6 +96,10 @@ def test_position_save_keeps_other_symbols(spark):
     stored = spark.createDataFrame([("A", "open", 1), ("A", "closed", 2), ("B", "open", 3)], cols)
     cur = spark.createDataFrame([("A", "open", 4)], cols)
     assert sorted(r["trade_id"] for r in st.save_positions(stored, cur).collect()) == [2, 3, 4]
+    # the last open trade of a managed symbol was closed: its old row goes
+    managed = spark.createDataFrame([("A",), ("B",)], "symbol string")
+    kept = st.save_positions(stored, cur, managed)
+    assert sorted(r["trade_id"] for r in kept.collect()) == [2, 4]
 
 
 def test_manifest(spark):
