@@ -11,6 +11,7 @@ older weighs under 1e-17 of the result, less than a double can hold.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -98,7 +99,18 @@ def span(n: int) -> float:
     return 2.0 / (n + 1.0)
 
 
+def check_block(alpha: float, block: int) -> None:
+    """A block must outlast the memory of the mean and stay within doubles."""
+    left = block * math.log1p(-alpha)
+    if left > math.log(1e-15):
+        raise ValueError(f"alpha {alpha} remembers more than the {block} rows before a block")
+    if left < math.log(1e-300):
+        raise ValueError(f"weights of alpha {alpha} leave the range of doubles in {block} rows")
+
+
 def add_ewm(df: DataFrame, specs: Sequence[Ewm], block: int) -> DataFrame:
+    for s in specs:
+        check_block(s.alpha, block)
     pos = F.col("idx") % block
     here = (
         Window.partitionBy(*_PART, "_blk")

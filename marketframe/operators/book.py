@@ -104,8 +104,13 @@ def book_intervals(
 
 
 def count_samples(msgs: DataFrame, every: int = 50) -> DataFrame:
-    """Every ``every``-th message by its line number ``seq``."""
-    return msgs.filter(F.col("seq") % every == 0).select("symbol", "seq", "ts")
+    """Messages on every ``every``-th line of their file.
+
+    ``line`` counts all lines of a file from 1, bad ones included; messages without a
+    file have their position in ``seq``.
+    """
+    number = "line" if "line" in msgs.columns else "seq"
+    return msgs.filter(F.col(number) % every == 0).select("symbol", "seq", "ts")
 
 
 def time_samples(msgs: DataFrame, step: str = "1 second") -> DataFrame:

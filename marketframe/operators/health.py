@@ -10,21 +10,25 @@ from ..functions.scan import Running, running
 from ..functions.timeutil import ntz_micros
 
 # Text that marks a line as critical.
-CRITICAL = """!!! GAP DETECTED !!!
-!!! STALE/EMPTY SPREAD !!!
-!!! LOW LIQUIDITY/FROZEN
-(HIGH LATENCY)
-Traceback (most recent call last):
-ConnectionError
-Rate limit hit
-[ERROR]""".splitlines()
+CRITICAL = [
+    "!!! GAP DETECTED !!!",
+    "!!! STALE/EMPTY SPREAD !!!",
+    "!!! LOW LIQUIDITY/FROZEN",
+    "(HIGH LATENCY)",
+    "Traceback (most recent call last):",
+    "ConnectionError",
+    "Rate limit hit",
+    "[ERROR]",
+]
 
 # Text that makes a line harmless whatever else it holds.
-IGNORED = """WinError 10054
-Connection reset
-Connection aborted
-RemoteDisconnected
-Authorization for Unified V5 (Auth) failed""".splitlines()
+IGNORED = [
+    "WinError 10054",
+    "Connection reset",
+    "Connection aborted",
+    "RemoteDisconnected",
+    "Authorization for Unified V5 (Auth) failed",
+]
 
 SERVICE_SILENCE = 600
 FEED_SILENCE = 60

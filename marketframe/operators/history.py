@@ -12,16 +12,20 @@ from ..functions.timeutil import micros_to_ntz, ntz_micros, timeframe_seconds
 # Limits of the live checks.
 MAX_LAG_MS = 5000
 MIN_UPDATES = 5
-BACKFILL_BARS = 1000
+REQUEST_BARS = 1000
 
 
 def merge_history(parts: Sequence[DataFrame]) -> DataFrame:
-    """Union of histories; of equal bars the one from the earliest part stays."""
+    """Union of histories; of equal bars the one from the earliest part stays.
+
+    Bars repeated inside a part resolve by a hash of their cells, the same in every run.
+    """
     stacked = None
     for rank, part in enumerate(parts):
         tagged = part.withColumn("_rank", F.lit(rank))
         stacked = tagged if stacked is None else stacked.unionByName(tagged, allowMissingColumns=True)
-    w = Window.partitionBy("symbol", "bar").orderBy("_rank")
+    cells = [c for c in stacked.columns if c not in ("symbol", "bar", "_rank")]
+    w = Window.partitionBy("symbol", "bar").orderBy("_rank", F.xxhash64(*cells), *cells)
     return (
         stacked.withColumn("_rn", F.row_number().over(w))
         .filter(F.col("_rn") == 1)
@@ -30,9 +34,12 @@ def merge_history(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def update_cells(base: DataFrame, changes: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Base rows with non-NULL cells of ``changes`` written over them."""
+    """Base rows with non-NULL cells of ``changes`` written over them.
+
+    Where changes repeat a bar, the largest value of each cell counts.
+    """
     keys = ["symbol", "bar"]
-    new = changes.select(*keys, *[F.col(c).alias(f"_n_{c}") for c in columns])
+    new = changes.groupBy(*keys).agg(*[F.max(c).alias(f"_n_{c}") for c in columns])
     joined = base.join(new, keys, "left")
     return joined.select(
         *[
@@ -114,17 +121,26 @@ def rescue(
     return merge_history([main, backup.join(chosen, "symbol", "left_semi")])
 
 
-def backfill_plan(bars: DataFrame, timeframe: str, now: Column, limit: int = BACKFILL_BARS) -> DataFrame:
-    """Bars missing between the last one and ``now`` where over two are due."""
+def backfill_plan(
+    bars: DataFrame, timeframe: str, now: Column, request_bars: int = REQUEST_BARS
+) -> DataFrame:
+    """All bars missing between the last one and ``now`` where over two are due.
+
+    ``request`` numbers the pages of ``request_bars`` bars that a venue is asked for.
+    """
     step = timeframe_seconds(timeframe) * 1_000_000
     last = bars.groupBy("symbol").agg(F.max("bar").alias("last_bar"))
     start = ntz_micros(F.col("last_bar")) + step
     due = ntz_micros(now) - ntz_micros(F.col("last_bar"))
-    count = F.least(F.floor((ntz_micros(now) - start) / step) + 1, F.lit(limit))
+    count = F.floor((ntz_micros(now) - start) / step) + 1
     return (
         last.filter(due > 2 * step)
         .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-        .select("symbol", micros_to_ntz(start + F.col("_i") * step).alias("bar"))
+        .select(
+            "symbol",
+            micros_to_ntz(start + F.col("_i") * step).alias("bar"),
+            F.floor(F.col("_i") / request_bars).alias("request"),
+        )
     )
 
 

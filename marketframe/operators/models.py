@@ -40,10 +40,11 @@ class ModelParams:
 
 @dataclass
 class ScoreModels:
-    """One fitted pipeline per target and the inputs they share."""
+    """One fitted pipeline per target, the inputs they share and their scaler table."""
 
     features: list[str]
     models: dict[str, PipelineModel]
+    scaler: DataFrame | None = None
 
     @property
     def context(self) -> list[str]:
@@ -51,8 +52,9 @@ class ScoreModels:
 
 
 def with_weights(df: DataFrame, target: str) -> DataFrame:
-    """Positive rows weigh negatives/positives, so both classes count the same."""
-    c = df.agg(
+    """Positive rows weigh negatives/positives of the training rows."""
+    train = df.filter(~F.col("held_out")) if "held_out" in df.columns else df
+    c = train.agg(
         F.sum(F.when(F.col(target) == 1, 1).otherwise(0)).alias("p"), F.count(F.lit(1)).alias("n")
     ).first()
     up = (c["n"] - c["p"]) / c["p"] if c["p"] else 1.0
@@ -173,19 +175,24 @@ def evaluate_folds(
 
 
 def save_bundle(bundle: ScoreModels, path: str) -> None:
-    """Models and the ordered feature list under one folder."""
+    """Models, the ordered feature list and the scaler under one folder."""
+    if bundle.scaler is not None:
+        bundle.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
     for target, model in bundle.models.items():
         model.write().overwrite().save(f"{path}/{target}")
     spark = SparkSession.getActiveSession()
     rows = [(i, f) for i, f in enumerate(bundle.features)]
-    names = spark.createDataFrame(rows, "pos int, feature string")
+    scaled = bundle.scaler is not None
+    names = spark.createDataFrame(rows, "pos int, feature string").withColumn("scaled", F.lit(scaled))
     names.coalesce(1).write.mode("overwrite").json(f"{path}/features")
 
 
 def load_bundle(spark: SparkSession, path: str, targets: Sequence[str] = tuple(SCORES)) -> ScoreModels:
-    names = spark.read.schema("pos int, feature string").json(f"{path}/features").orderBy("pos")
-    features = [r["feature"] for r in names.collect()]
-    return ScoreModels(features, {t: PipelineModel.load(f"{path}/{t}") for t in targets})
+    schema = "pos int, feature string, scaled boolean"
+    names = spark.read.schema(schema).json(f"{path}/features").orderBy("pos").collect()
+    scaler = spark.read.parquet(f"{path}/scaler") if names and names[0]["scaled"] else None
+    models = {t: PipelineModel.load(f"{path}/{t}") for t in targets}
+    return ScoreModels([r["feature"] for r in names], models, scaler)
 
 
 def sweep_values(spark: SparkSession, n: int, ranges: dict[str, tuple[float, float, str]], seed: int = 42) -> DataFrame:

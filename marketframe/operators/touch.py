@@ -45,6 +45,9 @@ def first_touch(bars: DataFrame, queries: DataFrame, width: int, chunk: int = CH
     plus any other columns.  ``hit_*`` is NULL without a touch; ``end_*`` is
     the bar ``stop - 1``, NULL if the series ends before it.
     """
+    if width > chunk:
+        # a chunk is extended by the bars of the next one only
+        chunk = width
     prices = ["open", "high", "low", "close"]
     # fresh names: a cogroup of two plans over one table must not share columns
     spread = chunk_with_future(bars.select("symbol", "bar", "idx", "n", *prices), chunk, width)

@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     catalog_bars,
     catalog_features,
     catalog_feeds,
+    catalog_files,
     catalog_history,
     catalog_labels,
     catalog_ledger,

@@ -59,9 +59,8 @@ def ts_units(spark, d):
     return v.table(spark, d, "events").select("event_id", epoch_number_to_ntz(raw).alias("ts"))
 
 
-def book_lines(spark, d):
-    """Book messages as JSON text; some lines are cut off, some hold no data."""
-    m = v.book_msgs(spark, d)
+def book_text():
+    """A book message as JSON text; some lines are cut off, some hold no data."""
     data = F.struct(F.col("symbol").alias("s"), "b", "a")
     text = F.to_json(
         F.struct(
@@ -70,8 +69,11 @@ def book_lines(spark, d):
             F.col("seq").alias("u"), "seq", _ms().alias("cts"),
         )
     )
-    cut = F.when(F.col("seq") % 11 == 5, F.substring(text, 1, 40)).otherwise(text)
-    return m.select(F.col("seq").alias("line"), cut.alias("value"))
+    return F.when(F.col("seq") % 11 == 5, F.substring(text, 1, 40)).otherwise(text)
+
+
+def book_lines(spark, d):
+    return v.book_msgs(spark, d).select(F.col("seq").alias("line"), book_text().alias("value"))
 
 
 @query(

@@ -116,7 +116,7 @@ def gaps(spark, d):
 @query(
     "backfill",
     f"""WITH {HIST}, l AS (SELECT symbol, max(bar) AS lb FROM ha GROUP BY 1),
-    plan AS (SELECT symbol, unnest(generate_series(lb + INTERVAL '1 hour', least(TIMESTAMP '{NOW}', lb + INTERVAL '1000 hours'), INTERVAL '1 hour')) AS bar
+    plan AS (SELECT symbol, unnest(generate_series(lb + INTERVAL '1 hour', TIMESTAMP '{NOW}', INTERVAL '1 hour')) AS bar
       FROM l WHERE TIMESTAMP '{NOW}' - lb > INTERVAL '2 hours')
     SELECT symbol, bar, close, ob_spread_mean FROM ha UNION ALL
     SELECT symbol, bar, hb.close, 0.0 FROM plan JOIN hb USING (symbol, bar)""",
@@ -130,11 +130,11 @@ def backfill(spark, d):
 @query(
     "backfill_plan",
     f"""WITH {HIST}, l AS (SELECT symbol, max(bar) AS lb FROM ha GROUP BY 1)
-    SELECT symbol, unnest(generate_series(lb + INTERVAL '1 hour', least(TIMESTAMP '{NOW}', lb + INTERVAL '1000 hours'), INTERVAL '1 hour')) AS bar
+    SELECT symbol, unnest(generate_series(lb + INTERVAL '1 hour', TIMESTAMP '{NOW}', INTERVAL '1 hour')) AS bar
     FROM l WHERE TIMESTAMP '{NOW}' - lb > INTERVAL '2 hours'""",
 )
 def backfill_plan(spark, d):
-    return hs.backfill_plan(halves(spark, d)[0], TF, _now())
+    return hs.backfill_plan(halves(spark, d)[0], TF, _now()).drop("request")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.parse import expand
 from ..functions.timeutil import epoch_number_to_ntz
@@ -44,10 +44,35 @@ def parse_book_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """``value, file, line`` of text files; ``line`` counts from 1 in each file.
+
+    Every block of a file counts its lines, the counts of the blocks before it are
+    added, and no file is read by one task alone.
+    """
+    lines = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+    )
+    blocks = lines.groupBy("file", "block").agg(
+        F.min("id").alias("first"), F.count(F.lit(1)).alias("n")
+    )
+    before = (
+        Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = blocks.select(
+        "file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift")
+    )
+    return lines.join(starts, ["file", "block"]).select(
+        "value", "file", (F.col("id") + F.col("shift")).alias("line")
+    )
+
+
 def read_book_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """Book files with the file path kept; order inside a file is ``seq``."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    return parse_book_lines(lines)
+    """Book files with file and line number kept; bad lines count but give no row."""
+    return parse_book_lines(numbered_lines(spark, paths))
 
 
 def _message(kind: str, s: Column, ts: Column, b: Column, a: Column, u: Column, seq: Column, cts: Column):
@@ -73,7 +98,7 @@ def normalise_depth(raw: DataFrame) -> DataFrame:
     """
     m = F.col("m")
     levels = lambda k: F.from_json(m[k], LEVELS)
-    number = lambda k: m[k].cast("long")
+    number = lambda k: m[k].try_cast("long")
     return (
         expand(raw, F.struct(F.from_json("value", "map<string,string>").alias("m")))
         .filter(m["e"] == "depthUpdate")
@@ -108,7 +133,7 @@ def normalise_snapshots(raw: DataFrame, now_ms: Column) -> DataFrame:
 def sanitise_levels(levels: Column, allow_zero_size: bool) -> Column:
     """Keep positive prices with positive (for deltas also zero) sizes."""
     def good(x):
-        price, size = x[0].cast("double"), x[1].cast("double")
+        price, size = x[0].try_cast("double"), x[1].try_cast("double")
         return (price > 0) & ((size >= 0) if allow_zero_size else (size > 0))
 
     return F.filter(levels, good)

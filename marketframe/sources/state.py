@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.parse import expand
 
@@ -90,6 +90,33 @@ def stale_files(files: DataFrame, manifest: DataFrame, timeframe: str, levels: i
     )
 
 
+def manifest_rows(built: DataFrame, timeframe: str, levels: int, built_at: Column) -> DataFrame:
+    """Manifest entries of files just computed, to be appended once their results are written."""
+    return built.select(
+        "path", F.lit(timeframe).alias("timeframe"), F.lit(levels).alias("levels"), built_at.alias("built_at")
+    )
+
+
+def build_stale(
+    spark: SparkSession, paths, manifest: DataFrame, timeframe: str, levels: int, compute, root: str
+) -> DataFrame:
+    """Compute the stale files among ``paths`` and record them; returns the manifest.
+
+    ``compute(paths)`` gives rows with a ``path`` column.  Results replace the file's
+    own partition under ``root/results`` before the manifest grows, so a build that
+    breaks off is repeated and one that is recorded is complete.
+    """
+    stale = stale_files(file_listing(spark, paths), manifest, timeframe, levels)
+    found = [r["path"] for r in stale.select("path").collect()]
+    if not found:
+        return manifest
+    write_partitions(compute(found), f"{root}/results", ["path"])
+    names = spark.createDataFrame([(p,) for p in found], "path string")
+    rows = manifest_rows(names, timeframe, levels, F.current_timestamp())
+    rows.write.mode("append").parquet(f"{root}/manifest")
+    return spark.read.parquet(f"{root}/manifest")
+
+
 def file_listing(spark: SparkSession, paths) -> DataFrame:
     """Path and modification time of text sources."""
     return (

@@ -24,14 +24,14 @@ def normalise_klines(payloads: DataFrame) -> DataFrame:
     rows = payloads.select("symbol", "batch", F.explode("list").alias("k")).select(
         "symbol",
         "batch",
-        F.col("k")[0].cast("long").alias("timestamp"),
+        F.col("k")[0].try_cast("long").alias("timestamp"),
         *[
-            F.element_at("k", i + 2).cast("double").alias(name)
+            F.element_at("k", i + 2).try_cast("double").alias(name)
             for i, name in enumerate(["open", "high", "low", "close", "volume"])
         ],
     )
     return (
-        _first_by(rows, ["symbol", "timestamp"], "batch")
+        _first_by(rows.filter("timestamp is not null"), ["symbol", "timestamp"], "batch")
         .drop("batch")
         .withColumn("bar", epoch_number_to_ntz(F.col("timestamp").cast("double")))
     )
@@ -55,9 +55,9 @@ def normalise_positions(payloads: DataFrame) -> DataFrame:
             *keep,
             "p.symbol",
             "p.side",
-            F.col("p.size").cast("double").alias("size"),
-            F.col("p.avgPrice").cast("double").alias("entry_price"),
-            F.col("p.unrealisedPnl").cast("double").alias("unrealized_pnl"),
+            F.col("p.size").try_cast("double").alias("size"),
+            F.col("p.avgPrice").try_cast("double").alias("entry_price"),
+            F.col("p.unrealisedPnl").try_cast("double").alias("unrealized_pnl"),
             F.col("p.positionIdx").alias("position_idx"),
         )
         .filter(F.col("size") > 0)
@@ -78,10 +78,10 @@ def normalise_instruments(payloads: DataFrame) -> DataFrame:
     lot = m["lotSizeFilter"]
     return payloads.select(F.from_json("value", schema).alias("m")).select(
         m["symbol"].alias("symbol"),
-        m["priceFilter"]["tickSize"].cast("double").alias("tick_size"),
-        lot["qtyStep"].cast("double").alias("qty_step"),
-        lot["minOrderQty"].cast("double").alias("min_qty"),
-        F.coalesce(lot["minNotionalValue"].cast("double"), F.lit(0.0)).alias("min_notional"),
+        m["priceFilter"]["tickSize"].try_cast("double").alias("tick_size"),
+        lot["qtyStep"].try_cast("double").alias("qty_step"),
+        lot["minOrderQty"].try_cast("double").alias("min_qty"),
+        F.coalesce(lot["minNotionalValue"].try_cast("double"), F.lit(0.0)).alias("min_notional"),
     )
 
 
@@ -89,7 +89,7 @@ def normalise_book_payload(payloads: DataFrame) -> DataFrame:
     """Full-book JSON to numeric level arrays."""
     schema = "struct<s:string,ts:long,b:array<array<string>>,a:array<array<string>>>"
     m = F.col("m")
-    pair = lambda x: F.array(x[0].cast("double"), x[1].cast("double"))
+    pair = lambda x: F.array(x[0].try_cast("double"), x[1].try_cast("double"))
     return payloads.select(F.from_json("value", schema).alias("m")).select(
         m["s"].alias("symbol"),
         F.transform(m["b"], pair).alias("bids"),
@@ -104,7 +104,7 @@ def last_prices(payloads: DataFrame) -> DataFrame:
     first = F.get(F.from_json("value", schema)["list"], F.lit(0))
     keep = [c for c in payloads.columns if c != "value"]
     return payloads.select(
-        *keep, F.coalesce(first["lastPrice"].cast("double"), F.lit(0.0)).alias("price")
+        *keep, F.coalesce(first["lastPrice"].try_cast("double"), F.lit(0.0)).alias("price")
     )
 
 
@@ -116,7 +116,7 @@ def wallet_balance(payloads: DataFrame, coin: str = "USDT") -> DataFrame:
     """
     schema = "struct<coin:array<struct<coin:string,walletBalance:string>>>"
     held = F.filter(F.from_json("value", schema)["coin"], lambda c: c["coin"] == coin)
-    amount = F.get(held, F.lit(0))["walletBalance"].cast("double")
+    amount = F.get(held, F.lit(0))["walletBalance"].try_cast("double")
     return (
         payloads.withColumn("_a", amount)
         .groupBy("account")

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.num import zero_fill_live
 from ..functions.scan import with_row_index
 from ..functions.timeutil import ntz_micros, timeframe_seconds
+from ..functions.windows import HALO
 from ..operators.features import add_features
 from ..operators.history import MAX_LAG_MS, MIN_UPDATES, continuity
 from ..operators.signals import last_rows
 
-# Fixed value: bars of history behind live features.
-LIVE_WINDOW = 10_000
+#: Bars behind live features: as many as the batch operator looks back, so beyond the
+#: reach of every rolling window and of what an exponential mean can remember.
+LIVE_WINDOW = HALO + 1
 
 
 @dataclass
