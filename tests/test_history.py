@@ -75,7 +75,7 @@ def test_backfill_ten_plus_twelve(spark):
     out = hs.backfill(old, bars(spark, range(5, 40), 3.0).drop("ob_spread_mean"), plan, ["ob_spread_mean"])
     assert out.count() == 22 and out.filter("ob_spread_mean = 0 and close = 3.0").count() == 12
     assert hs.backfill_plan(old, "5m", now(11)).count() == 0
-    assert hs.backfill_plan(old, "5m", now(5000)).count() == 1000
+    assert hs.backfill_plan(old, "5m", now(5000)).count() == 4991
 
 
 def test_update_keeps_old_where_new_is_null(spark):
