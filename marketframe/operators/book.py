@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.storage import materialise
 from ..functions.timeutil import bar_of
 
 # Fixed value: keeps size-weighted quotients finite.
@@ -68,16 +69,15 @@ def with_epochs(
     seq = F.col("seq")
     at_or_before = F.array_max(F.filter("_snaps", lambda s: s <= seq))
     later = F.array_min(F.filter("_snaps", lambda s: s > seq))
+    found = F.struct(
+        F.coalesce(at_or_before, "_prev", F.lit(-1).cast("long")).alias("epoch"),
+        F.coalesce(later, "_next").alias("epoch_end"),
+    )
+    # a one-row generator: a filter on its fields stays above the join
     marked = (
         msgs.withColumn("_eb", bucket)
         .join(lookup, ["symbol", "_eb"])
-        .withColumns(
-            {
-                "epoch": F.coalesce(at_or_before, "_prev", F.lit(-1).cast("long")),
-                "epoch_end": F.coalesce(later, "_next"),
-            }
-        )
-        .drop("_eb", "_snaps", "_prev", "_next")
+        .select(*msgs.columns, "last_seq", F.inline(F.array(found)))
     )
     return marked.filter(F.col("epoch") >= 0) if require_snapshot else marked
 
@@ -122,31 +122,72 @@ def time_samples(msgs: DataFrame, step: str = "1 second") -> DataFrame:
     )
 
 
+def _sample_ranks(
+    intervals: DataFrame, samples: DataFrame, bucket_seqs: int
+) -> tuple[DataFrame, DataFrame]:
+    """Samples numbered per symbol, and a lookup of numbers by bucket of sequences.
+
+    A lookup row lists the samples of one bucket and how many lie before it; buckets
+    without samples that an interval starts or ends in have a row too.
+    """
+    of = lambda c: F.floor(c / bucket_seqs)
+    held = samples.groupBy("symbol", of(F.col("seq")).alias("_sb")).agg(
+        F.array_sort(F.collect_set("seq")).alias("_seqs")
+    )
+    ends = intervals.select("symbol", of(F.col("seq_from")).alias("_sb")).union(
+        intervals.select("symbol", of(F.col("_end")).alias("_sb"))
+    )
+    empty = F.array().cast("array<bigint>")
+    buckets = (
+        ends.withColumn("_seqs", empty)
+        .unionByName(held)
+        .groupBy("symbol", "_sb")
+        .agg(F.flatten(F.collect_set("_seqs")).alias("_seqs"))
+    )
+    before = (
+        Window.partitionBy("symbol").orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    lookup = buckets.withColumn("_base", F.coalesce(F.sum(F.size("_seqs")).over(before), F.lit(0)))
+    numbered = lookup.select("symbol", "_base", F.posexplode("_seqs").alias("_p", "seq")).select(
+        "symbol", "seq", (F.col("_base") + F.col("_p")).alias("bucket")
+    )
+    return samples.join(numbered, ["symbol", "seq"]), lookup
+
+
 def book_at(
     intervals: DataFrame,
     samples: DataFrame,
-    bucket: int = 50,
+    bucket_seqs: int = 10_000,
 ) -> DataFrame:
-    """Live levels at each sample: an interval join as an equi-join on buckets.
+    """Live levels at each sample: an interval join as an equi-join on sample numbers.
 
-    An interval is copied to each bucket of sequence numbers it overlaps.  With
-    ``bucket`` near the sampling step the copies are about the output itself.
-    The bucket stays as a column: later steps that name it reuse the join's
-    partitioning.
+    Samples of a symbol are numbered, every interval finds the first and the last
+    sample it is live at, and is copied to those only, so copies are output rows
+    however far apart sequence numbers lie.  The sample's number stays as ``bucket``:
+    later steps that name it reuse the join's partitioning.
     """
-    first = F.floor(F.col("seq_from") / bucket)
-    end = F.coalesce("seq_to", F.col("last_seq") + 1)
-    cut = intervals.withColumn(
-        "bucket", F.explode(F.sequence(first, F.floor((end - 1) / bucket)))
+    # read once for the lookup and once for the copies
+    ended = materialise(
+        intervals.withColumn("_end", F.coalesce("seq_to", F.col("last_seq") + 1)), "book-intervals"
     )
-    at = samples.withColumn("bucket", F.floor(F.col("seq") / bucket))
-    inside = (F.col("seq") >= F.col("seq_from")) & (
-        F.col("seq_to").isNull() | (F.col("seq") < F.col("seq_to"))
+    at, lookup = _sample_ranks(ended, samples, bucket_seqs)
+    lookup = materialise(lookup, "sample-lookup")
+    ranked = ended
+    for name, seq in (("_first", "seq_from"), ("_stop", "_end")):
+        found = lookup.select("symbol", "_sb", "_seqs", "_base")
+        bound = F.col(seq)
+        below = F.size(F.filter("_seqs", lambda x: x < bound))
+        ranked = (
+            ranked.withColumn("_sb", F.floor(F.col(seq) / bucket_seqs))
+            .join(found, ["symbol", "_sb"])
+            .withColumn(name, F.col("_base") + below)
+            .drop("_sb", "_seqs", "_base")
+        )
+    cut = ranked.filter(F.col("_first") < F.col("_stop")).withColumn(
+        "bucket", F.explode(F.sequence(F.col("_first"), F.col("_stop") - 1))
     )
-    return (
-        at.join(cut, ["symbol", "bucket"])
-        .filter(inside)
-        .select("symbol", "bucket", "seq", "ts", "side", "price", "size")
+    return at.join(cut, ["symbol", "bucket"]).select(
+        "symbol", "bucket", "seq", "ts", "side", "price", "size"
     )
 
 

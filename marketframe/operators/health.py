@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scan import Running, running
+from ..functions.storage import materialise
 from ..functions.timeutil import ntz_micros
 
 # Text that marks a line as critical.
@@ -66,15 +67,19 @@ def silences(
     """
     keys = list(keys)
     slot = F.floor(ntz_micros(F.col("ts")) / (limit_seconds * 1_000_000))
-    slots = messages.groupBy(*keys, slot.alias("_slot")).agg(
-        F.min("ts").alias("_from"), F.max("ts").alias("_to")
+    # written once: the log is read once, whatever follows
+    slots = materialise(
+        messages.groupBy(*keys, slot.alias("_slot")).agg(
+            F.min("ts").alias("_from"), F.max("ts").alias("_to")
+        ),
+        "slots",
     )
     seen = running(
         slots, keys, F.col("_from").cast("date"), ["_slot"],
         [Running("silent_from", "last", F.col("_to"), inclusive=False)],
     ).select(*keys, "silent_from", F.col("_from").alias("silent_to"))
     if until is not None:
-        tail = messages.groupBy(*keys).agg(F.max("ts").alias("silent_from")).withColumn(
+        tail = slots.groupBy(*keys).agg(F.max("_to").alias("silent_from")).withColumn(
             "silent_to", until
         )
         seen = seen.unionByName(tail)

@@ -222,41 +222,37 @@ def admit_trades(
     """Requests that open a trade: at least ``debounce`` seconds after the last
     admitted one and while a slot is free.
 
-    ``requests``: keys, ``id`` and ``ts``.  Requests at least ``debounce``
-    apart cannot influence each other, so every key splits into independent
-    runs; a run holds at most one entry per second and is folded in order.
+    ``requests``: keys, ``id`` and ``ts``.  At most ``max_open`` requests of a key can
+    be admitted, so that many rounds find them: each takes the first second at least
+    ``debounce`` after the one before.  Rounds aggregate map-side and hand on one row
+    per key.
     """
     keys = list(keys)
     second = F.floor(ntz_micros(F.col("ts")) / 1_000_000)
     seconds = materialise(
         requests.groupBy(*keys, second.alias("sec")).agg(F.min("id").alias("id")), "requests"
     )
-    runs = islands(
-        seconds, keys, F.floor(F.col("sec") / 3600), "sec", lambda a, b: b - a >= debounce
-    )
-    fold = F.aggregate(
-        F.array_sort(F.collect_list("sec")),
-        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept")),
-        lambda s, x: F.when(
-            s["last"].isNull() | (x - s["last"] >= debounce),
-            F.struct(x.alias("last"), F.concat(s["kept"], F.array(x)).alias("kept")),
-        ).otherwise(s),
-        lambda s: s["kept"],
-    )
-    kept = runs.groupBy(*keys, "island").agg(fold.alias("kept")).select(
-        *keys, F.explode("kept").alias("sec")
-    )
+    first = lambda df: df.groupBy(*keys).agg(
+        F.min("sec").alias("sec"), F.min_by("id", "sec").alias("id")
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    admitted = None
+    last = materialise(first(seconds).withColumn("slot", F.lit(1)), "admitted")
+    for slot in range(1, max_open + 1):
+        admitted = last if admitted is None else admitted.unionByName(last)
+        if slot == max_open:
+            break
+        before = last.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("sec").alias("_sec"))
+        later = seconds.join(before, same & (F.col("sec") >= F.col("_sec") + debounce))
+        last = materialise(first(later).withColumn("slot", F.lit(slot + 1)), "admitted")
     slots = F.lit(max_open)
-    accepted = seconds.join(kept, [*keys, "sec"])
     if open_counts is not None:
-        accepted = accepted.join(open_counts, keys, "left")
+        counts = open_counts.select(*[F.col(k).alias(f"_{k}") for k in keys], "open_count")
+        admitted = admitted.join(counts, same, "left")
         slots = F.lit(max_open) - F.coalesce("open_count", F.lit(0))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("sec"))
-    return (
-        accepted.withColumn("slot", rank)
-        .filter((F.col("slot") <= max_open) & (F.col("slot") <= slots))
-        .select(*keys, "id", "sec", "slot")
-    )
+    return admitted.filter(F.col("slot") <= slots).select(*keys, "id", "sec", "slot")
 
 
 # --- reconciliation -------------------------------------------------------

@@ -240,8 +240,8 @@ def net_consistency(spark, d):
 
 
 def open_orders(spark, d):
-    """Protective orders on the venue: stops slightly off, targets exact."""
-    pos = open_positions(spark, d).filter(F.col("entry_price") > 100_000)
+    """Protective orders on the venue: stops slightly off, targets exact, some too large."""
+    pos = open_positions(spark, d)
     off = 1 + (F.col("trade_id") % 7 - 3) * 0.0002
     leg = lambda i, price: F.struct(
         (F.col("trade_id") * 2 + i).alias("order_id"), price.alias("trigger_price")
@@ -249,7 +249,8 @@ def open_orders(spark, d):
     legs = F.array(leg(0, F.col("stop_loss") * off), leg(1, F.col("take_profit")))
     return pos.withColumn("o", F.explode(legs)).select(
         "account", "symbol", F.when(lg.is_buy(), "Sell").otherwise("Buy").alias("side"),
-        F.col("size").cast("double").alias("qty"), "o.order_id", "o.trigger_price",
+        (F.col("size") + F.when(F.col("trade_id") % 3 == 0, 5).otherwise(0)).cast("double").alias("qty"),
+        "o.order_id", "o.trigger_price",
     )
 
 
@@ -257,10 +258,11 @@ MATCH = f"""WITH RECURSIVE {POSITIONS}, {EXECUTIONS}, {STOPS},
   can AS (SELECT s.*, row_number() OVER (PARTITION BY s.account, s.symbol, s.side ORDER BY entry_time, trade_id, type) AS k
     FROM stops s JOIN sides v ON v.account = s.account AND v.symbol = s.symbol
     AND CASE WHEN s.side = 'Sell' THEN actual_long ELSE actual_short END > 0),
-  ords AS (SELECT account, symbol, CASE side WHEN 'Buy' THEN 'Sell' ELSE 'Buy' END AS side, size::DOUBLE AS qty,
-      trade_id * 2 AS order_id, stop_loss * (1 + (trade_id % 7 - 3) * 0.0002::DOUBLE) AS trigger_price FROM open_pos WHERE entry_price > 100000
-    UNION ALL SELECT account, symbol, CASE side WHEN 'Buy' THEN 'Sell' ELSE 'Buy' END, size, trade_id * 2 + 1, take_profit
-      FROM open_pos WHERE entry_price > 100000),
+  ords AS (SELECT account, symbol, CASE side WHEN 'Buy' THEN 'Sell' ELSE 'Buy' END AS side,
+      (size + CASE WHEN trade_id % 3 = 0 THEN 5 ELSE 0 END)::DOUBLE AS qty, trade_id * 2 AS order_id,
+      stop_loss * (1 + (trade_id % 7 - 3) * 0.0002::DOUBLE) AS trigger_price FROM open_pos
+    UNION ALL SELECT account, symbol, CASE side WHEN 'Buy' THEN 'Sell' ELSE 'Buy' END,
+      (size + CASE WHEN trade_id % 3 = 0 THEN 5 ELSE 0 END)::DOUBLE, trade_id * 2 + 1, take_profit FROM open_pos),
   pairs AS (SELECT c.account, c.symbol, c.side, c.k, list(o.order_id ORDER BY o.order_id) AS fits FROM can c JOIN ords o
     ON o.account = c.account AND o.symbol = c.symbol AND o.side = c.side AND abs(o.qty - c.qty) < 0.001
     AND abs(o.trigger_price - c.trigger_price) < c.trigger_price * 0.0005 GROUP BY 1, 2, 3, 4),
@@ -326,15 +328,15 @@ def exec_enrich(spark, d):
     "prune_orphans",
     f"""WITH {POSITIONS}, {EXECUTIONS}, tr AS (SELECT *, CASE WHEN account % 9 = 0 THEN NULL ELSE trade_id END AS order_id FROM open_pos)
     SELECT trade_id, account, symbol, side FROM tr WHERE order_id IS NOT NULL
-    AND order_id NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice < 100000)
+    AND order_id NOT IN (SELECT o_orderkey + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1000000000 END FROM orders)
     AND NOT EXISTS (SELECT 1 FROM venue v WHERE v.account = tr.account AND v.symbol = tr.symbol AND v.side = tr.side AND v.size > 0)""",
 )
 def prune_orphans(spark, d):
     linked = F.when(F.col("account") % 9 != 0, F.col("trade_id"))
     trades = open_positions(spark, d).withColumn("order_id", linked)
-    pending = v.table(spark, d, "orders").filter(F.col("o_totalprice") < 100_000).select(
-        F.col("o_orderkey").alias("order_id")
-    )
+    # pending entries of a third of the trades, the others belong to trades not in the ledger
+    other = F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(1_000_000_000)
+    pending = v.table(spark, d, "orders").select((F.col("o_orderkey") + other).alias("order_id"))
     return lg.prune_orphans(trades, pending, venue_positions(spark, d)).select(
         "trade_id", "account", "symbol", "side"
     )

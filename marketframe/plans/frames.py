@@ -21,10 +21,9 @@ BOOK_COLUMNS = [
 
 
 def sampled_book(spark: SparkSession, d: str) -> DataFrame:
-    msgs = v.book_msgs(spark, d)
-    return bk.book_at(
-        bk.book_intervals(msgs), bk.count_samples(msgs, SAMPLE_EVERY), bucket=SAMPLE_EVERY
-    )
+    # parsed and gathered once, then read as columns
+    msgs = materialise(v.book_msgs(spark, d), "book-messages")
+    return bk.book_at(bk.book_intervals(msgs), bk.count_samples(msgs, SAMPLE_EVERY))
 
 
 def book_metrics(spark: SparkSession, d: str) -> DataFrame:

@@ -86,3 +86,25 @@ def test_live_bars_keep_unset_timestamps(spark):
     )
     out = bk.book_bars_live(df, "5m").first()
     assert out["ob_update_count"] == 1 and out["ob_spread_mean"] == 1.0
+
+
+def test_copies_are_output_rows_on_sparse_sequences(spark):
+    """Three levels over fifty million sequence numbers and four samples."""
+    far = 50_000_000
+    levels = spark.createDataFrame(
+        [("X", 0, "b", 9.0, 1.0, 0, None, far), ("X", 0, "a", 11.0, 1.0, 0, far // 2, far),
+         ("X", 0, "a", 12.0, 2.0, far // 2, None, far), ("X", 0, "b", 8.0, 1.0, 5, 6, far)],
+        "symbol string, epoch long, side string, price double, size double, seq_from long,"
+        " seq_to long, last_seq long",
+    )
+    times = [datetime(2024, 1, 1, 0, 0, i) for i in range(4)]
+    seqs = [0, far // 2 - 1, far // 2, far]
+    samples = spark.createDataFrame(
+        [("X", q, t) for q, t in zip(seqs, times)], "symbol string, seq long, ts timestamp_ntz"
+    )
+    got = sorted((r.seq, r.side, r.price) for r in bk.book_at(levels, samples).collect())
+    assert got == sorted(
+        [(q, "b", 9.0) for q in seqs]
+        + [(q, "a", 11.0) for q in seqs[:2]] + [(q, "a", 12.0) for q in seqs[2:]]
+    )
+    assert bk.book_at(levels, samples.filter("false")).count() == 0
