@@ -54,14 +54,15 @@ STRONG = set(
     "cookie cookies consent gdpr newsletter subscribe subscription signup login comment comments "
     "commentlist disqus respond reply replies related recommended recommendations share sharing "
     "social breadcrumb breadcrumbs pagination pager popup modal overlay footer nav navbar "
-    "navigation menu form paywall skip trending popular outbrain taboola".split()
+    "navigation menu form paywall skip trending popular feedback reactions outbrain taboola".split()
 )
-#: ... and unless a word of content stands beside them.
+#: ... and unless it is a layout's modifier ("with-sidebar") or an article's own header.
 WEAK = set(
     "sidebar header masthead banner side aside notice notices alert alerts warning widget widgets "
     "search toolbar topbar bottom rail tags meta copyright legal disclaimer".split()
 )
-CONTENT = set("content main article post entry story body text page wrapper container".split())
+MODIFIER = set("with has no without".split())
+ARTICLE = set("article post entry story".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -94,7 +95,10 @@ def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
     words = {w.lower() for w in _NAME.findall(named)}
     if words & STRONG:
         return True
-    return bool(words & WEAK) and not words & CONTENT and not (in_article and "header" in words)
+    weak = words & WEAK
+    if not weak or words & MODIFIER:
+        return False
+    return not (weak == {"header"} and (in_article or words & ARTICLE))
 
 
 class Lines:
@@ -150,6 +154,9 @@ class Lines:
         self.texts, self.linked = [], 0
 
     def _start(self, name: str, attributes: str) -> None:
+        if self.open and self.open[-1][0] == "head" and (name == "body" or name in BLOCK):
+            # the end tag of the head may be left out
+            self._pop(len(self.open) - 1)
         if name in BLOCK:
             self._close_paragraph(name)
             self._line(name in CONTAINER)

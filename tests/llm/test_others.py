@@ -375,6 +375,12 @@ def test_pages_give_their_articles(spark):
         (f"<p>{PARAGRAPH}<br>next", f"{PARAGRAPH} next"),
         (f"<div role='banner'>{PARAGRAPH}</div><div style='display:none'>{PARAGRAPH}</div><p>{PARAGRAPH}z", f"{PARAGRAPH}z"),
         ("<p>a<p>" * 3, "a\na\na"),
+        (f"<html><head><title>t</title><body><p>{PARAGRAPH}", PARAGRAPH),
+        (f"<head><meta name=x><div><p>{PARAGRAPH}</div>", PARAGRAPH),
+        (f"<div class='content with-sidebar'><p>{PARAGRAPH}</p></div>", PARAGRAPH),
+        (f"<div class='sidebar-container'>{PARAGRAPH}</div><div class='page-header'>{PARAGRAPH}</div><p>{PARAGRAPH}b", f"{PARAGRAPH}b"),
+        (f"<div class='entry-header'><h1>Title</h1></div><p>{PARAGRAPH}", f"Title\n{PARAGRAPH}"),
+        (f"<div id='siteNotice'>{PARAGRAPH}</div><article><header><h1>T</h1></header><p>{PARAGRAPH}</article>", f"T\n{PARAGRAPH}"),
         ("</div></p><", "<"),
     ],
 )
