@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -319,10 +318,19 @@ def train(
 def predictor(model: Model):
     """A column function: text -> struct of ``lang`` and ``score``."""
 
-    @F.pandas_udf("lang string, score double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            yield pd.DataFrame([model.predict(t) for t in part], columns=["lang", "score"])
+            found = []
+            for at in range(0, len(part), 256):
+                found += [model.predict(t) for t in part.slice(at, 256).to_pylist()]
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.array([lang for lang, _ in found], pa.string()),
+                    pa.array([score for _, score in found], pa.float64()),
+                ],
+                names=["lang", "score"],
+            )
 
     return predict
 

@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Words and pieces remembered per Python worker; beyond it, words are encoded anew.
-WORD_MEMORY = 800_000
-PIECE_MEMORY = 500_000
+WORD_MEMORY = 400_000
+PIECE_MEMORY = 250_000
 #: Characters below this code need no normalisation (no combining marks, all composed).
 PLAIN = 0x130
 
