@@ -391,13 +391,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")
     )
     nodes = materialise(nodes, "nodes")
-    sketches = signed.filter("node is not null").select("node", "sketch")
+    # copies fold map-side before the join, so a group of them is one row per task
+    sketches = (
+        signed.filter("node is not null").groupBy("node").agg(F.max("sketch").alias("sketch"))
+    )
     keyed = materialise(keyed_nodes(signed), "keyed-nodes")
     held = keyed.select("node").distinct()
-    sketches = materialise(
-        sketches.join(held, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")),
-        "sketches",
-    )
+    sketches = materialise(sketches.join(held, "node", "left_semi"), "sketches")
     stars = keyed.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     stars = materialise(likely(stars.distinct(), sketches), "likely-stars")
 
