@@ -38,7 +38,7 @@ BLOCK_WORDS = 128
 #: Rounds of the permutation; its bits mix well beyond twice the logarithm of the blocks.
 ROUNDS = 24
 #: Documents per offset bucket, and slots generated by one row.
-BUCKET_DOCS = 50_000
+BUCKET_DOCS = 2_000
 SLOT_CHUNK = 4096
 
 
