@@ -6,7 +6,7 @@ may be similar.  Links are verified on the shingle multisets themselves:
 
 1. Every node of a key meets the key's hub (one of few chosen per node group), so a
    key of n nodes gives n - 1 pairs, not n^2.  Verified links give classes by
-   min-label propagation with pointer jumping.
+   contracting the graph of links.
 2. Keys whose nodes are then all in one class are finished; a group of copies ends
    here.  In the other keys, nodes of the hub's class meet the nodes of other
    classes, and those each other, in tiles of bounded size.  Sketches (low bytes of
@@ -207,34 +207,36 @@ def verified_stars(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def classes(links: DataFrame) -> DataFrame:
-    """``node, label`` of all linked nodes: the smallest node reachable.
+    """``node, label`` of all linked nodes: one label, itself a node, per component.
 
-    Each round takes the smallest label among neighbours and then the label's own
-    label; rounds end when nothing changes.  Only written tables carry over.
+    Each round maps every node to the smallest of itself and its neighbours and
+    carries the links over to the images, which keeps components and leaves far
+    fewer nodes; rounds end when no link is left.  The maps are then applied one
+    after the other.  Only written tables carry over.
     """
     # both directions come from one evaluation, so they always belong to the same links
     there = F.struct(F.col("a").alias("node"), F.col("b").alias("near"))
     back = F.struct(F.col("b").alias("node"), F.col("a").alias("near"))
-    both = materialise(
-        links.select(F.inline(F.array(there, back))).distinct(), "links"
-    )
-    labels = materialise(
-        both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("label")), "labels"
-    )
+    edges = materialise(links.select(F.inline(F.array(there, back))).distinct(), "links")
+    labels = None
     while True:
-        near = both.join(labels.toDF("near", "near_label"), "near")
-        reached = near.groupBy("node").agg(F.min("near_label").alias("reached"))
-        stepped = labels.join(reached, "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "reached").alias("label")
+        image = materialise(
+            edges.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("label")), "images"
         )
-        jumped = stepped.join(labels.toDF("label", "above"), "label", "left").select(
-            "node", "old", F.least("label", F.coalesce("above", "label")).alias("label")
+        if labels is None:
+            labels = image
+        else:
+            onward = image.toDF("label", "next")
+            labels = labels.join(onward, "label", "left").select(
+                "node", F.coalesce("next", "label").alias("label")
+            )
+        moved = edges.join(image, "node").select("near", F.col("label").alias("a"))
+        moved = moved.join(image.toDF("near", "b"), "near").filter("a != b")
+        edges = materialise(
+            moved.select(F.col("a").alias("node"), F.col("b").alias("near")).distinct(), "links"
         )
-        jumped = materialise(jumped, "labels")
-        moved = jumped.filter("label != old").limit(1).count()
-        labels = jumped.select("node", "label")
-        if not moved:
-            return labels
+        if edges.isEmpty():
+            return materialise(labels, "labels")
 
 
 def unfinished(keyed: DataFrame, labels: DataFrame) -> DataFrame:
