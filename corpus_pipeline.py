@@ -56,8 +56,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class (operator 1)."""
-    return drop_near_duplicates(docs)
+    """One row of each near-duplicate class (operator 1)."""
+    return drop_near_duplicates(docs, repeats=False)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,8 +18,10 @@ at the threshold share none is below 0.1 %, and falls fast above it.
 
 Defined results: texts that are null or have no word are classes of their own; ids
 may be null or repeat (rows with equal words are always in one class; a class's id is
-its smallest document id, null only if it has no other); an empty table gives no rows;
-other columns are ignored; texts of any length are used whole.
+its smallest document id, null only if it has no other); exactly one row of each class
+is kept, so a row is told by its id, its text and a number among equal rows, never by
+its id alone; an empty table gives no rows; other columns are ignored; texts of any
+length are used whole.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketframe.functions.storage import materialise
-from marketframe.llm.common import pick, table
+from marketframe.llm.common import WORD, column, pick, table
 from marketframe.llm.registry import query
 from marketframe.llm.shingles import (
     bag_signatures,
@@ -60,12 +62,13 @@ TILE_BYTES = 16 << 20
 _SIGNED = pa.schema(
     [
         ("doc_id", pa.int64()),
+        ("same", pa.binary()),
         ("node", pa.binary()),
         ("keys", pa.list_(pa.int64())),
         ("sketch", pa.binary()),
     ]
 )
-_SIGNED_DDL = "doc_id long, node binary, keys array<long>, sketch binary"
+_SIGNED_DDL = "doc_id long, same binary, node binary, keys array<long>, sketch binary"
 _PAIR_DDL = "a binary, b binary"
 _PAIR = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
@@ -74,15 +77,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def signed() -> pa.RecordBatch:
-        words = [t for _, t in held if t]
+        words = [t for _, _, t in held if t]
         keys, sketches = iter(()), iter(())
         if words:
             signatures = bag_signatures(words, BANDS * ROWS)
             keys = iter(band_hashes(signatures, BANDS, ROWS).tolist())
             sketches = iter([s.tobytes() for s in (signatures & 0xFF).astype(np.uint8)])
         out = [
-            (i, digest(t), next(keys) if t else None, next(sketches) if t else None)
-            for i, t in held
+            (i, same, digest(t), next(keys) if t else None, next(sketches) if t else None)
+            for i, same, t in held
         ]
         held.clear()
         return pa.RecordBatch.from_arrays(
@@ -90,9 +93,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     size = 0
-    for doc_id, text in rows_of(batches, "doc_id", "text"):
-        held.append((doc_id, normal(text)))
-        size += len(held[-1][1])
+    for doc_id, same, text in rows_of(batches, "doc_id", "same", "text"):
+        held.append((doc_id, same, normal(text)))
+        size += len(held[-1][2])
         if len(held) == SIGNED or size > 4 << 20:
             yield signed()
             size = 0
@@ -100,9 +103,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield signed()
 
 
+def same_row(doc_id: Column, text: Column) -> Column:
+    """Digest of a row's id and text, equal for equal rows; null without a text."""
+    named = F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(named, F.lit(" "), text)))
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, node, keys, sketch`` per document; the last three null without words."""
+    """``doc_id, same, node, keys, sketch`` per document; the last three null without words."""
     rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = rows.withColumn("same", same_row(F.col("doc_id"), F.col("text")))
     return rows.mapInArrow(_sign, _SIGNED_DDL)
 
 
@@ -382,15 +392,17 @@ def texts_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Data
     return found.mapInArrow(_normal_texts, "node binary, text binary").dropDuplicates(["node"])
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, class_id, class_size, kept`` per document.
-
-    ``class_id`` is the smallest document id of the class, ``class_size`` counts its
-    documents, and ``kept`` marks the document that stays.
-    """
-    signed = materialise(signatures(docs, doc_id, text), "signatures")
+def classified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, class_id, class_size, kept, same`` per document; ``same`` as in ``same_row``."""
+    # numbers are given once, in the written table: they tell equal rows apart
+    numbered = signatures(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id())
+    signed = materialise(numbered, "signatures")
+    # ids before nulls, then text, then one of the equal rows
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "same", "row")
     nodes = signed.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")
+        F.min("doc_id").alias("first_id"),
+        F.count(F.lit(1)).alias("copies"),
+        F.min(order).alias("least"),
     )
     nodes = materialise(nodes, "nodes")
     # copies fold map-side before the join, so a group of them is one row per task
@@ -425,26 +437,54 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = labelled.groupBy("label").agg(
-        F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size")
+        F.min("least").alias("least"), F.sum("copies").alias("class_size")
     )
     of_node = materialise(
-        labelled.join(named, "label").select("node", "class_id", "class_size"), "node-classes"
+        labelled.drop("least").join(named, "label").select(
+            "node", F.col("least.doc_id").alias("class_id"), "class_size",
+            F.col("least.row").alias("kept_row"),
+        ),
+        "node-classes",
+    )
+    found = signed.select("doc_id", "same", "node", "row").filter("node is not null")
+    found = found.join(of_node, "node").select(
+        "doc_id", "class_id", "class_size", (F.col("row") == F.col("kept_row")).alias("kept"), "same"
     )
-    found = signed.select("doc_id", "node").filter("node is not null").join(of_node, "node")
     alone = signed.filter("node is null").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
+        F.lit(True).alias("kept"), "same",
     )
-    out = found.select("doc_id", "class_id", "class_size").union(alone)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return found.union(alone)
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class; columns unchanged."""
-    gone = near_duplicates(docs, doc_id, text).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("__gone")
-    )
-    id_column = docs["`" + doc_id.replace("`", "``") + "`"]
-    return docs.join(gone.distinct(), id_column.cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, class_id, class_size, kept`` per document.
+
+    ``class_id`` is the smallest document id of the class, ``class_size`` counts its
+    documents, and ``kept`` marks the one document that stays.
+    """
+    return classified(docs, doc_id, text).drop("same")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repeats: bool = True
+) -> DataFrame:
+    """``docs`` with the kept document of each class; columns unchanged.
+
+    Rows with the id and the text of the kept row stay with it unless ``repeats`` is
+    false; then one row of each class stays.  Rows without words all stay.
+    """
+    stays = classified(docs, doc_id, text).filter("kept").select(F.col("same").alias("__same"))
+    words = F.coalesce(column(docs, text).rlike(WORD), F.lit(False))
+    same = same_row(column(docs, doc_id), column(docs, text)).alias("__same")
+    rows = docs.filter(words).select(same, F.struct(*[column(docs, c) for c in docs.columns]).alias("__doc"))
+    if not repeats:
+        # equal rows fold map-side; other columns decide between rows that differ there
+        others = [F.col("__doc")[c] for c in docs.columns if c not in (doc_id, text)]
+        order = F.to_json(F.struct(F.lit(0), *others))
+        rows = rows.groupBy("__same").agg(F.min_by("__doc", order).alias("__doc"))
+    kept = rows.join(stays, "__same", "left_semi")
+    return kept.select("__doc.*").union(docs.filter(~words))
 
 
 @query("op1_bag_minhash")

@@ -162,6 +162,41 @@ def test_near_duplicates_of_odd_documents(spark, odd_documents):
     ]
 
 
+A, B = "a house by the lake in the hills", "forty ships lay in the old harbour"
+
+
+def kept_texts(spark, rows, **options):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    near = near_dedup.near_duplicates(docs)
+    kept = Counter((r.class_id, r.class_size) for r in near.filter("kept").collect())
+    left = near_dedup.drop_near_duplicates(docs, **options).collect()
+    return kept, sorted(((r.doc_id, r.text) for r in left), key=repr)
+
+
+def test_id_of_a_dropped_row_does_not_drop_another_text(spark):
+    rows = [(10, A, "s"), (10, B, "s"), (3, B, "s"), (12, A.upper(), "s")]
+    for repeats in (True, False):
+        kept, left = kept_texts(spark, rows, repeats=repeats)
+        assert kept == {(10, 2): 1, (3, 2): 1} and left == [(10, A), (3, B)]
+
+
+def test_null_id_copy_does_not_drop_other_null_ids(spark):
+    rows = [(1, A, "s"), (None, A, "s"), (None, B, "s"), (None, None, "s"), (None, " ", "s")]
+    for repeats in (True, False):
+        kept, left = kept_texts(spark, rows, repeats=repeats)
+        assert kept == {(1, 2): 1, (None, 1): 3}
+        assert left == sorted([(1, A), (None, B), (None, None), (None, " ")], key=repr)
+
+
+def test_one_of_equal_rows_is_kept(spark):
+    rows = [(1, A, "s"), (1, A, "t"), (1, A, "s"), (1, A.upper(), "s"), (2, A, "s")]
+    rows += [(None, B, "s"), (None, B, "s"), (5, None, "s"), (5, None, "s")]
+    kept, left = kept_texts(spark, rows, repeats=False)
+    assert kept == {(1, 5): 1, (None, 2): 1, (5, 1): 2}
+    assert left.count((5, None)) == 2 and (None, B) in left and len(left) == 4
+    assert ((1, A) in left) != ((1, A.upper()) in left)
+
+
 def test_bag_signatures_estimate_multiset_similarity():
     rng = random.Random(2)
     errors = []
