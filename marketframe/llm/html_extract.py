@@ -3,10 +3,12 @@
 Markup is stripped to lines, one per block element, with containers left as empty
 lines.  A line counts with its text length, or with nothing if it lies in a
 container that holds no article text (menus, headers, footers, side bars, notices,
-adverts, forms, comments), or if it mostly consists of links.  Where the page names
-its article, lines outside count nothing.  Over the sums of a sliding window of
-lines, a surge opens a run of text and a dive to nothing closes it; the counting
-lines between them are the text.
+adverts, forms, comments), or if it mostly consists of links.  Where <article> or
+<main> holds most of the page's other text, lines outside count nothing.  Over the
+sums of a sliding window of lines, a surge opens a run of text and a dive to nothing
+closes it; the counting lines between them are the text, and so are the other counting
+lines of the container that holds all runs, however short, and headings right before
+the first run.
 
 Defined results: null html counts as empty and gives an empty text; a page without
 a surge gives all its counting lines; broken markup closes where a browser would
@@ -42,6 +44,7 @@ BLOCK = set(
     "ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = BLOCK - set("h1 h2 h3 h4 h5 h6 p li dd dt td th tr caption summary legend".split())
+HEADING = {f"h{i}" for i in range(1, 7)}
 #: Elements that never hold article text.
 ASIDE = set("nav footer aside form menu dialog select button datalist label head".split())
 ROLES = set(
@@ -102,16 +105,25 @@ def _set_aside(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 class Lines:
-    """Lines of a page: text, link characters, set aside or not, inside an article or not."""
+    """Lines of a page: text, link characters, set aside or not, inside an article or not.
+
+    ``places`` has each line's container and whether it is a heading.  Containers are
+    numbered as they open, 0 being the page; ``parents`` has the one around each, and
+    ``last`` the highest number inside it.
+    """
 
     def __init__(self, page: str):
         self.found: list[tuple[str, int, bool, bool]] = []
         self.texts: list[str] = []
         self.linked = 0
-        # open elements as (name, set aside, article), and how many of each kind
-        self.open: list[tuple[str, bool, bool]] = []
-        self.aside = self.articles = self.links = 0
+        self.places: list[tuple[int, bool]] = []
+        self.parents, self.last, self.here = [0], [0], 0
+        # open elements as (name, set aside, article, container), and how many of each kind
+        self.open: list[tuple[str, bool, bool, int]] = []
+        self.aside = self.articles = self.links = self.headings = 0
         self._read(page)
+        self._pop(0)
+        self.last[0] = len(self.parents) - 1
 
     def _read(self, page: str) -> None:
         at, end = 0, len(page)
@@ -151,6 +163,8 @@ class Lines:
             self.found.append((text, self.linked, self.aside > 0, self.articles > 0))
         elif container:
             self.found.append(("", 0, True, self.articles > 0))
+        if len(self.places) < len(self.found):
+            self.places.append((self.here, self.headings > 0))
         self.texts, self.linked = [], 0
 
     def _start(self, name: str, attributes: str) -> None:
@@ -170,7 +184,14 @@ class Lines:
             # text before an inline advert is not part of it
             self._line()
         article = name in ("article", "main")
-        self.open.append((name, aside, article))
+        inside = self.here
+        if name in CONTAINER:
+            inside = len(self.parents)
+            self.parents.append(self.here)
+            self.last.append(inside)
+        self.here = inside
+        self.open.append((name, aside, article, inside))
+        self.headings += name in HEADING
         self.aside += aside
         self.articles += article
         self.links += name == "a"
@@ -201,16 +222,25 @@ class Lines:
     def _pop(self, k: int) -> None:
         if any(x[1] for x in self.open[k:]):
             self._line()
-        for name, aside, article in self.open[k:]:
+        for name, aside, article, inside in self.open[k:]:
+            self.last[inside] = len(self.parents) - 1
+            self.headings -= name in HEADING
             self.aside -= aside
             self.articles -= article
             self.links -= name == "a"
         del self.open[k:]
+        self.here = self.open[-1][3] if self.open else 0
 
 
 def weights(lines: list[tuple[str, int, bool, bool]], linked: float = LINKED) -> list[int]:
     """What each line counts: its length, or nothing where it is no article text."""
+    own = {True: 0, False: 0}
+    for text, links, aside, article in lines:
+        if not aside and links < linked * len(text):
+            own[article] += len(text) - links
+    # teasers or comments may be the only <article>s of a page
     named = any(text and article and not aside for text, _, aside, article in lines)
+    named = named and own[True] >= own[False]
     out = []
     for text, links, aside, article in lines:
         if aside or (named and not article):
@@ -238,12 +268,33 @@ def text_runs(counts: list[int], window: int = WINDOW, surge: int = SURGE) -> li
     return runs or [(0, len(counts))]
 
 
-def main_text(page: str | None) -> str:
-    lines = Lines(page or "").found
-    counts = weights(lines)
-    return "\n".join(
-        lines[i][0] for start, stop in text_runs(counts) for i in range(start, stop) if counts[i]
+def chosen(page: Lines, counts: list[int]) -> list[int]:
+    """Numbers of the lines that are the text."""
+    runs = text_runs(counts)
+    held = [i for start, stop in runs for i in range(start, stop) if counts[i]]
+    if not held:
+        return held
+    first, last = (f(page.places[i][0] for i in held) for f in (min, max))
+    around = first
+    while page.last[around] < last:
+        around = page.parents[around]
+    taken = set(held)
+    taken.update(
+        i
+        for i, (inside, _) in enumerate(page.places)
+        if counts[i] and around <= inside <= page.last[around]
     )
+    for i in range(min(taken) - 1, -1, -1):
+        if counts[i]:
+            if not page.places[i][1]:
+                break
+            taken.add(i)
+    return sorted(taken)
+
+
+def main_text(page: str | None) -> str:
+    lines = Lines(page or "")
+    return "\n".join(lines.found[i][0] for i in chosen(lines, weights(lines.found)))
 
 
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])

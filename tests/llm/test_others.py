@@ -388,6 +388,37 @@ def test_extraction_cases(page, text):
     assert html_extract.main_text(page) == text
 
 
+CLOSING = "The last words of the article are few, and they stay."
+AD = "<div class='ad'>buy</div>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # an article of divs, then teasers in <article>
+        (
+            f"<div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><article><a href=x>More</a><p>Teaser</p></article>",
+            f"{PARAGRAPH}\n{PARAGRAPH}",
+        ),
+        # a short last paragraph and a short first one, cut off by adverts
+        (f"<div><p>{PARAGRAPH}</p>{AD}{AD}<p>{CLOSING}</p></div>", f"{PARAGRAPH}\n{CLOSING}"),
+        (f"<div><p>{CLOSING}</p>{AD}{AD}<p>{PARAGRAPH}</p></div>", f"{CLOSING}\n{PARAGRAPH}"),
+        # a short section between two
+        (
+            f"<div><section><p>{PARAGRAPH}</p></section>{AD}<section><p>{CLOSING}</p></section>{AD}"
+            f"<section><p>{PARAGRAPH}</p></section></div>",
+            f"{PARAGRAPH}\n{CLOSING}\n{PARAGRAPH}",
+        ),
+        # a title in containers of its own
+        (f"<div><div><h1>T</h1></div></div><div><div><p>{PARAGRAPH}</p></div></div>", f"T\n{PARAGRAPH}"),
+        # what lies in other containers still needs a surge, and links never count
+        (f"<div><p>logo</p></div>{AD}{AD}<div><p>{PARAGRAPH}</p><p><a href=x>More</a></p></div>", PARAGRAPH),
+    ],
+)
+def test_short_text_of_pages_without_a_named_article(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_surge_and_dive():
     counts = [0, 5, 0, 0, 0, 200, 10, 0, 300, 0, 0, 0, 4, 0]
     assert html_extract.text_runs(counts) == [(5, 9)]
