@@ -3,12 +3,14 @@
 from marketframe.llm import (  # noqa: F401
     chat_format,
     exact_dedup,
+    hard_negatives,
     html_extract,
     language_id,
     line_dedup,
     mixing,
     near_dedup,
     packing,
+    quality,
     token_files,
     vector_search,
 )
