@@ -194,7 +194,7 @@ def _equations(model: Model, bad: float, good: float):
     return sums
 
 
-def _add(key, rows: pa.Table) -> pa.Table:
+def _add(key, rows):
     parts = rows["part"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
     # sums do not depend on the order in which parts arrive
     parts = parts[np.lexsort(parts.T[::-1])]
