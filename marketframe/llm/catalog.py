@@ -6,6 +6,7 @@ from marketframe.llm import (  # noqa: F401
     hard_negatives,
     html_extract,
     language_id,
+    lexical_search,
     line_dedup,
     mixing,
     near_dedup,
