@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.scan import Running, running
 from ..functions.storage import materialise
 from ..functions.timeutil import bar_of
 
@@ -103,14 +104,25 @@ def book_intervals(
     )
 
 
-def count_samples(msgs: DataFrame, every: int = 50) -> DataFrame:
-    """Messages on every ``every``-th line of their file.
+def count_samples(
+    msgs: DataFrame, every: int = 50, bucket_seqs: int = 10_000
+) -> DataFrame:
+    """Every ``every``-th message.
 
-    ``line`` counts all lines of a file from 1, bad ones included; messages without a
-    file have their position in ``seq``.
+    With a ``line`` column, which counts all lines of a file from 1, bad ones included,
+    those on every ``every``-th line of their file.  Messages without a file are numbered
+    from 1 per symbol in the order of ``seq``, whatever gaps the numbers have; such a
+    frame is read twice, so hand in a scan or a materialised intermediate.
     """
-    number = "line" if "line" in msgs.columns else "seq"
-    return msgs.filter(F.col(number) % every == 0).select("symbol", "seq", "ts")
+    if "line" not in msgs.columns:
+        msgs = running(
+            msgs.select("symbol", "seq", "ts"),
+            ["symbol"],
+            F.floor(F.col("seq") / bucket_seqs),
+            ["seq"],
+            [Running("line", "count", F.lit(1))],
+        )
+    return msgs.filter(F.col("line") % every == 0).select("symbol", "seq", "ts")
 
 
 def time_samples(msgs: DataFrame, step: str = "1 second") -> DataFrame:
@@ -122,38 +134,6 @@ def time_samples(msgs: DataFrame, step: str = "1 second") -> DataFrame:
     )
 
 
-def _sample_ranks(
-    intervals: DataFrame, samples: DataFrame, bucket_seqs: int
-) -> tuple[DataFrame, DataFrame]:
-    """Samples numbered per symbol, and a lookup of numbers by bucket of sequences.
-
-    A lookup row lists the samples of one bucket and how many lie before it; buckets
-    without samples that an interval starts or ends in have a row too.
-    """
-    of = lambda c: F.floor(c / bucket_seqs)
-    held = samples.groupBy("symbol", of(F.col("seq")).alias("_sb")).agg(
-        F.array_sort(F.collect_set("seq")).alias("_seqs")
-    )
-    ends = intervals.select("symbol", of(F.col("seq_from")).alias("_sb")).union(
-        intervals.select("symbol", of(F.col("_end")).alias("_sb"))
-    )
-    empty = F.array().cast("array<bigint>")
-    buckets = (
-        ends.withColumn("_seqs", empty)
-        .unionByName(held)
-        .groupBy("symbol", "_sb")
-        .agg(F.flatten(F.collect_set("_seqs")).alias("_seqs"))
-    )
-    before = (
-        Window.partitionBy("symbol").orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    lookup = buckets.withColumn("_base", F.coalesce(F.sum(F.size("_seqs")).over(before), F.lit(0)))
-    numbered = lookup.select("symbol", "_base", F.posexplode("_seqs").alias("_p", "seq")).select(
-        "symbol", "seq", (F.col("_base") + F.col("_p")).alias("bucket")
-    )
-    return samples.join(numbered, ["symbol", "seq"]), lookup
-
-
 def book_at(
     intervals: DataFrame,
     samples: DataFrame,
@@ -161,32 +141,40 @@ def book_at(
 ) -> DataFrame:
     """Live levels at each sample: an interval join as an equi-join on sample numbers.
 
-    Samples of a symbol are numbered, every interval finds the first and the last
-    sample it is live at, and is copied to those only, so copies are output rows
-    however far apart sequence numbers lie.  The sample's number stays as ``bucket``:
-    later steps that name it reuse the join's partitioning.
+    Samples and both ends of every interval form one stream per symbol and chunk of
+    sequence numbers; the running count of samples numbers the samples and tells each end
+    how many lie before it.  An interval is copied to the samples between its ends only,
+    so copies are output rows however far apart sequence numbers lie.  The sample's number
+    stays as ``bucket``: later steps that name it reuse the join's partitioning.
     """
-    # read once for the lookup and once for the copies
-    ended = materialise(
-        intervals.withColumn("_end", F.coalesce("seq_to", F.col("last_seq") + 1)), "book-intervals"
+    held = ["epoch", "side", "price", "size", "seq_from"]
+    ends = F.array("seq_from", F.coalesce("seq_to", F.col("last_seq") + 1))
+    # an end goes before a sample of its number: starts include it, stops leave it out
+    merged = materialise(
+        samples.select("symbol", F.col("seq").alias("at"), F.lit(1).alias("sample"), "ts").unionByName(
+            intervals.select("symbol", *held, F.explode(ends).alias("at"), F.lit(0).alias("sample")),
+            allowMissingColumns=True,
+        ),
+        "book-merge",
     )
-    at, lookup = _sample_ranks(ended, samples, bucket_seqs)
-    lookup = materialise(lookup, "sample-lookup")
-    ranked = ended
-    for name, seq in (("_first", "seq_from"), ("_stop", "_end")):
-        found = lookup.select("symbol", "_sb", "_seqs", "_base")
-        bound = F.col(seq)
-        below = F.size(F.filter("_seqs", lambda x: x < bound))
-        ranked = (
-            ranked.withColumn("_sb", F.floor(F.col(seq) / bucket_seqs))
-            .join(found, ["symbol", "_sb"])
-            .withColumn(name, F.col("_base") + below)
-            .drop("_sb", "_seqs", "_base")
-        )
-    cut = ranked.filter(F.col("_first") < F.col("_stop")).withColumn(
-        "bucket", F.explode(F.sequence(F.col("_first"), F.col("_stop") - 1))
+    counted = running(
+        merged,
+        ["symbol"],
+        F.floor(F.col("at") / bucket_seqs),
+        ["at", "sample"],
+        [Running("bucket", "sum", F.col("sample"), inclusive=False)],
+    )
+    numbered = counted.filter("sample = 1").select(
+        "symbol", "bucket", F.col("at").alias("seq"), "ts"
+    )
+    live = (
+        counted.filter("sample = 0")
+        .groupBy("symbol", *held)
+        .agg(F.min("bucket").alias("_first"), F.max("bucket").alias("_stop"))
+        .filter(F.col("_first") < F.col("_stop"))
+        .withColumn("bucket", F.explode(F.sequence(F.col("_first"), F.col("_stop") - 1)))
     )
-    return at.join(cut, ["symbol", "bucket"]).select(
+    return numbered.join(live, ["symbol", "bucket"]).select(
         "symbol", "bucket", "seq", "ts", "side", "price", "size"
     )
 

@@ -142,7 +142,7 @@ def fifo_reduce(
     keys, order = ["symbol", "side"], ["ts", "kind", "id"]
     if chunk is None:
         chunk = F.window("ts", "1 hour").getField("start")
-    events = materialise(opens.unionByName(closes), "fifo-events")
+    events = opens.unionByName(closes)
     opened = F.when(F.col("kind") == 0, F.col("q")).otherwise(0)
     executed = F.when(F.col("kind") == 1, F.col("q")).otherwise(0)
     sums = running_peak(
@@ -156,18 +156,24 @@ def fifo_reduce(
     )
     hi = F.when(is_open, F.col("A")).otherwise(F.col("E") - wasted("peak"))
     spans = sums.withColumns({"lo": lo, "hi": hi}).filter(F.col("hi") > F.col("lo"))
-    # every interval end is a cut; zero opens the axis
-    trade = F.max(F.when(is_open, F.struct("id")))
-    execution = F.max(F.when(~is_open, F.struct("id", "ts")))
-    cuts = spans.groupBy(*keys, F.col("hi").alias("cut")).agg(
-        trade.alias("trade"), execution.alias("execution")
-    )
-    zero = cuts.select(
-        *keys, F.lit(0).cast("long").alias("cut"),
-        F.lit(None).cast(cuts.schema["trade"].dataType).alias("trade"),
-        F.lit(None).cast(cuts.schema["execution"].dataType).alias("execution"),
-    ).distinct()
-    cuts = materialise(cuts.unionByName(zero), "fifo-cuts")
+    # every interval end is a cut, and the first trade's start, zero, opens the axis
+    trade, execution = F.struct("id"), F.struct("id", "ts")
+    none = lambda value: F.when(F.lit(False), value)
+    end = F.struct(
+        F.col("hi").alias("cut"), F.when(is_open, trade).alias("trade"),
+        F.when(~is_open, execution).alias("execution"),
+    )
+    zero = F.struct(
+        F.lit(0).cast("long").alias("cut"), none(trade).alias("trade"),
+        none(execution).alias("execution"),
+    )
+    opens_axis = is_open & (F.col("lo") == 0)
+    cuts = materialise(
+        spans.select(*keys, F.inline(F.when(opens_axis, F.array(end, zero)).otherwise(F.array(end))))
+        .groupBy(*keys, "cut")
+        .agg(F.max("trade").alias("trade"), F.max("execution").alias("execution")),
+        "fifo-cuts",
+    )
     widths = cuts.groupBy(*keys).agg(
         F.greatest(F.max("cut") / F.ceil(F.count(F.lit(1)) / chunk_rows), F.lit(1.0)).alias("width")
     )

@@ -108,9 +108,13 @@ def book_intervals(spark, d):
     return bk.book_intervals(v.book_msgs(spark, d)).drop("last_seq")
 
 
-@query("book_samples", f"WITH {q.LEVELS} SELECT symbol, seq, ts FROM msgs WHERE seq % 50 = 0")
+@query(
+    "book_samples",
+    f"""WITH {q.LEVELS} SELECT symbol, seq, ts FROM msgs
+    QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY seq) % 50 = 0""",
+)
 def book_samples(spark, d):
-    return bk.count_samples(v.book_msgs(spark, d))
+    return bk.count_samples(frames.book_messages(spark, d))
 
 
 @query(
@@ -124,7 +128,7 @@ def book_samples_timed(spark, d):
 
 @query("book_at", f"WITH {q.BOOK_AT} SELECT symbol, seq, ts, side, price, size FROM book")
 def book_at(spark, d):
-    return frames.sampled_book(spark, d).drop("bucket")
+    return frames.sampled_book(frames.book_messages(spark, d), frames.SAMPLE_EVERY).drop("bucket")
 
 
 @query(
@@ -132,7 +136,8 @@ def book_at(spark, d):
     f"WITH {q.BOOK_AT} SELECT symbol, seq, side, rank, price, size FROM ranked WHERE rank <= 5",
 )
 def book_topk(spark, d):
-    return bk.top_levels(frames.sampled_book(spark, d), 5).select(
+    book = frames.sampled_book(frames.book_messages(spark, d), frames.SAMPLE_EVERY)
+    return bk.top_levels(book, 5).select(
         "symbol", "seq", "side", F.col("rank").cast("long").alias("rank"), "price", "size"
     )
 
@@ -148,6 +153,17 @@ def book_metrics(spark, d):
     )
 
 
+@query(
+    "book_metrics_timed",
+    f"""WITH {q.metrics(50, q.BOOK_AT_TIMES)} SELECT symbol, seq, ts,
+    {", ".join(f"{R(m, 6)} AS {m}" for m in bk.METRICS)} FROM metrics""",
+)
+def book_metrics_timed(spark, d):
+    return frames.book_metrics(spark, d, every=None, step="30 minutes").select(
+        "symbol", "seq", "ts", *[rnd(m, 6).alias(m) for m in bk.METRICS]
+    )
+
+
 @query(
     "book_bars",
     f"""WITH {q.book_bars('1 hour')} SELECT symbol, bar,
@@ -188,12 +204,13 @@ def book_bars_live(spark, d):
          WHEN pct > 0.002 THEN 'pause_spread' ELSE 'ok' END AS verdict FROM p""",
 )
 def spread_guard(spark, d):
-    book = frames.sampled_book(spark, d)
+    msgs = frames.book_messages(spark, d)
+    book = frames.sampled_book(msgs, frames.SAMPLE_EVERY)
     best = lambda s, f: f(F.when(F.col("side") == s, F.col("price")))
     tops = book.groupBy("symbol", "seq").agg(
         best("b", F.max).alias("best_bid"), best("a", F.min).alias("best_ask")
     )
-    samples = bk.count_samples(v.book_msgs(spark, d), frames.SAMPLE_EVERY).select("symbol", "seq")
+    samples = bk.count_samples(msgs, frames.SAMPLE_EVERY).select("symbol", "seq")
     guarded = bk.spread_guard(samples.join(tops, ["symbol", "seq"], "left"))
     return guarded.withColumn("spread_pct", rnd("spread_pct", 6))
 

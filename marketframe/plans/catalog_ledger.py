@@ -162,9 +162,16 @@ FIFO_SQL = f"""WITH {POSITIONS}, {EXECUTIONS}, ex AS (SELECT order_id AS exec_id
   s3 AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY symbol, side ORDER BY ts, kind, id), 0) AS c0 FROM s2),
   t AS (SELECT symbol, side, id AS trade_id, a - q AS lo, a AS hi FROM s3 WHERE kind = 0),
   x AS (SELECT symbol, side, id AS exec_id, ts AS exec_ts, c0 AS lo, c AS hi FROM s3 WHERE kind = 1 AND c > c0),
-  lots AS (SELECT t.symbol, t.side, trade_id, exec_id, exec_ts,
-    CAST(least(t.hi, x.hi) - greatest(t.lo, x.lo) AS BIGINT) AS closed_qty
-    FROM t JOIN x ON t.symbol = x.symbol AND t.side = x.side AND t.lo < x.hi AND x.lo < t.hi)"""
+  cuts AS (SELECT symbol, side, cut, max(trade_id) AS trade_id, max(ex) AS ex FROM (
+      SELECT symbol, side, hi AS cut, trade_id, NULL AS ex FROM t WHERE hi > lo
+      UNION ALL SELECT symbol, side, hi, NULL, {{'id': exec_id, 'ts': exec_ts}} FROM x
+      UNION ALL SELECT DISTINCT symbol, side, 0, NULL, NULL FROM ev) GROUP BY 1, 2, 3),
+  above AS (SELECT symbol, side, cut, lag(cut) OVER w AS upper,
+    last_value(trade_id IGNORE NULLS) OVER u AS trade_id, last_value(ex IGNORE NULLS) OVER u AS ex FROM cuts
+    WINDOW w AS (PARTITION BY symbol, side ORDER BY cut DESC),
+      u AS (PARTITION BY symbol, side ORDER BY cut DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  lots AS (SELECT symbol, side, trade_id, ex.id AS exec_id, ex.ts AS exec_ts,
+    CAST(upper - cut AS BIGINT) AS closed_qty FROM above WHERE trade_id IS NOT NULL AND ex IS NOT NULL)"""
 
 
 @query("fifo_reduce", f"{FIFO_SQL} SELECT * FROM lots")

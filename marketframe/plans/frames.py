@@ -10,7 +10,9 @@ from ..operators import bars as ob, book as bk
 from ..operators.features import add_features
 from . import views as v
 
+# Messages per sample where a plan samples by count.
 SAMPLE_EVERY = 5
+SAMPLE_STEP = "1 second"
 LEVELS = 50
 TIMEFRAME = "5m"
 BOOK_COLUMNS = [
@@ -20,14 +22,24 @@ BOOK_COLUMNS = [
 ]
 
 
-def sampled_book(spark: SparkSession, d: str) -> DataFrame:
+def book_messages(spark: SparkSession, d: str) -> DataFrame:
     # parsed and gathered once, then read as columns
-    msgs = materialise(v.book_msgs(spark, d), "book-messages")
-    return bk.book_at(bk.book_intervals(msgs), bk.count_samples(msgs, SAMPLE_EVERY))
+    return materialise(v.book_msgs(spark, d), "book-messages")
 
 
-def book_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return bk.book_metrics(bk.top_levels(sampled_book(spark, d), LEVELS))
+def sampled_book(
+    msgs: DataFrame, every: int | None = None, step: str = SAMPLE_STEP
+) -> DataFrame:
+    """The book at the last message of each time step, or at every ``every``-th message."""
+    samples = bk.count_samples(msgs, every) if every else bk.time_samples(msgs, step)
+    return bk.book_at(bk.book_intervals(msgs), samples)
+
+
+def book_metrics(
+    spark: SparkSession, d: str, every: int | None = SAMPLE_EVERY, step: str = SAMPLE_STEP
+) -> DataFrame:
+    book = sampled_book(book_messages(spark, d), every, step)
+    return bk.book_metrics(bk.top_levels(book, LEVELS))
 
 
 def indexed_bars(spark: SparkSession, d: str, timeframe: str = TIMEFRAME) -> DataFrame:

@@ -65,7 +65,9 @@ intervals AS (
 
 # Replay form, independent of intervals: last update at or before the sample.
 BOOK_AT = LEVELS + """,
-samples AS (SELECT symbol, seq, ts FROM msgs WHERE seq % 5 = 0),
+samples AS (
+  SELECT symbol, seq, ts FROM msgs
+  QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY seq) % 5 = 0),
 epochs AS (
   SELECT s.symbol, s.seq, max(m.seq) AS epoch
   FROM samples s JOIN msgs m ON m.symbol = s.symbol AND m.snap AND m.seq <= s.seq
@@ -82,10 +84,20 @@ ranked AS (
   FROM book)"""
 
 
-def metrics(k: int) -> str:
+# The same book at the last message of each time step.
+BOOK_AT_TIMES = BOOK_AT.replace(
+    BOOK_AT[BOOK_AT.index("samples AS") : BOOK_AT.index("epochs AS")],
+    """samples AS (
+  SELECT symbol, max(seq) AS seq, arg_max(ts, seq) AS ts FROM msgs
+  GROUP BY symbol, time_bucket(INTERVAL '30 minutes', ts)),
+""",
+)
+
+
+def metrics(k: int, book: str = BOOK_AT) -> str:
     side = lambda s, e: f"max(CASE WHEN side = '{s}' AND rank = 1 THEN {e} END)"
     dep = lambda s: f"sum(CASE WHEN side = '{s}' THEN size END)"
-    return BOOK_AT + f""",
+    return book + f""",
 agg AS (
   SELECT symbol, seq, ts, {side('b', 'price')} AS bb, {side('b', 'size')} AS bs,
          {side('a', 'price')} AS ba, {side('a', 'size')} AS sa,

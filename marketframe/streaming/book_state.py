@@ -16,21 +16,25 @@ OUTPUT = (
 class BookProcessor(StatefulProcessor):
     """Keeps price -> size per side; emits the book at every ``every``-th message.
 
-    A snapshot replaces both sides, a delta sets or (size 0) deletes levels,
-    and deltas before the first snapshot are ignored.
+    Messages are counted from 1 per symbol in order of arrival.  A snapshot replaces both
+    sides, a delta sets or (size 0) deletes levels, and deltas before the first snapshot
+    are counted and otherwise ignored.
     """
 
     def __init__(self, every: int):
         self.every = every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long")
         self.ready = handle.getValueState("ready", "flag boolean")
         self.levels = handle.getMapState("levels", "side string, price double", "size double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         messages = pd.concat(list(rows), ignore_index=True).sort_values("seq")
         out = []
-        for msg in messages.itertuples(index=False):
+        before = self.seen.get()[0] if self.seen.exists() else 0
+        self.seen.update((before + len(messages),))
+        for number, msg in enumerate(messages.itertuples(index=False), before + 1):
             if msg.type == "snapshot":
                 self.levels.clear()
                 self.ready.update((True,))
@@ -43,7 +47,7 @@ class BookProcessor(StatefulProcessor):
                         self.levels.updateValue(slot, (size,))
                     elif self.levels.containsKey(slot):
                         self.levels.removeKey(slot)
-            if msg.seq % self.every == 0:
+            if number % self.every == 0:
                 out += [
                     (key[0], msg.seq, msg.ts, s[0], s[1], v[0]) for s, v in self.levels.iterator()
                 ]

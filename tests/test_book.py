@@ -27,8 +27,9 @@ def messages(n=300, seed=0, first_snapshot=3):
 
 
 def replay(rows, every, require_snapshot):
-    out, books, ready = [], {}, set()
+    out, books, ready, numbers = [], {}, set(), {}
     for symbol, seq, ts, kind, b, a in sorted(rows, key=lambda r: r[:2]):
+        numbers[symbol] = numbers.get(symbol, 0) + 1
         book = books.setdefault(symbol, {"b": {}, "a": {}})
         if kind == "snapshot":
             book["b"].clear()
@@ -42,7 +43,7 @@ def replay(rows, every, require_snapshot):
                     book[s].pop(float(p), None)
                 else:
                     book[s][float(p)] = float(z)
-        if seq % every == 0:
+        if numbers[symbol] % every == 0:
             out += [(symbol, seq, s, p, z) for s in "ba" for p, z in book[s].items()]
     return sorted(out)
 
@@ -57,6 +58,29 @@ def test_intervals_equal_replay(spark, bucket, chunk, require):
     assert sorted(map(tuple, got.collect())) == replay(rows, 7, require)
 
 
+@pytest.mark.parametrize("bucket", [9, 10_000])
+def test_every_nth_message_whatever_its_number(spark, bucket):
+    odd = [(s, 2 * q + 1, ts, *rest) for s, q, ts, *rest in messages(n=120, seed=4)]
+    odd += [("Z", 10**12 + q * q, *rest) for s, q, *rest in messages(n=40, seed=5) if s == "X"]
+    df = spark.createDataFrame(odd, SCHEMA)
+    samples = bk.count_samples(df, 6, bucket)
+    want = []
+    for symbol in ("X", "Y", "Z"):
+        want += [(symbol, q) for q in sorted(r[1] for r in odd if r[0] == symbol)[5::6]]
+    assert sorted((r.symbol, r.seq) for r in samples.collect()) == want
+    got = bk.book_at(bk.book_intervals(df, bucket), samples, bucket)
+    assert sorted(map(tuple, got.select("symbol", "seq", "side", "price", "size").collect())) == replay(
+        odd, 6, True
+    )
+
+
+def test_book_plan_holds_no_list_of_samples(spark):
+    df = spark.createDataFrame(messages(n=50), SCHEMA)
+    plan = bk.book_at(bk.book_intervals(df), bk.count_samples(df, 5))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in text and "collect_list" not in text
+
+
 def test_metrics_by_hand(spark):
     levels = spark.createDataFrame(
         [("X", 1, s, p, z) for s, p, z in
