@@ -148,25 +148,26 @@ def book_at(
     stays as ``bucket``: later steps that name it reuse the join's partitioning.
     """
     held = ["epoch", "side", "price", "size", "seq_from"]
-    ends = F.array("seq_from", F.coalesce("seq_to", F.col("last_seq") + 1))
+    # read for the numbers, the chunks' counts and the merge
+    samples = materialise(samples.select("symbol", F.col("seq").alias("at"), "ts"), "samples")
+    intervals = materialise(
+        intervals.select("symbol", *held, F.coalesce("seq_to", F.col("last_seq") + 1).alias("_end")),
+        "book-intervals",
+    )
+    chunk = F.floor(F.col("at") / bucket_seqs)
+    numbered = running(
+        samples, ["symbol"], chunk, ["at"],
+        [Running("bucket", "count", F.lit(1), inclusive=False)],
+    ).select("symbol", "bucket", F.col("at").alias("seq"), "ts")
     # an end goes before a sample of its number: starts include it, stops leave it out
-    merged = materialise(
-        samples.select("symbol", F.col("seq").alias("at"), F.lit(1).alias("sample"), "ts").unionByName(
-            intervals.select("symbol", *held, F.explode(ends).alias("at"), F.lit(0).alias("sample")),
-            allowMissingColumns=True,
-        ),
-        "book-merge",
+    ends = intervals.select(
+        "symbol", *held, F.explode(F.array("seq_from", "_end")).alias("at"), F.lit(0).alias("sample")
     )
     counted = running(
-        merged,
-        ["symbol"],
-        F.floor(F.col("at") / bucket_seqs),
-        ["at", "sample"],
+        ends.unionByName(samples.withColumn("sample", F.lit(1)).drop("ts"), allowMissingColumns=True),
+        ["symbol"], chunk, ["at", "sample"],
         [Running("bucket", "sum", F.col("sample"), inclusive=False)],
     )
-    numbered = counted.filter("sample = 1").select(
-        "symbol", "bucket", F.col("at").alias("seq"), "ts"
-    )
     live = (
         counted.filter("sample = 0")
         .groupBy("symbol", *held)
