@@ -1,10 +1,10 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a table of one row per distinct text, bucketed and sorted by its
+The index is a table of one row per batch and distinct text, bucketed and sorted by its
 SHA-256 digest.  A batch of documents is reduced to distinct digests (partial
 aggregation, so a group of copies of any size is one row per map task), joined
-to the index by a sort-merge anti-join that reads the buckets in place, and the
-unseen digests are appended.  Labelling all rows with the outcome is an ordinary
+to the index by sort-merge joins that read the buckets in place (an anti-join leaves
+out what the batch has added before), and the rest is appended.  Labelling all rows with the outcome is an ordinary
 equi-join of two shuffled sides, which adaptive execution splits where a group
 of copies is large.
 
@@ -21,7 +21,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketframe.functions.storage import materialise, shared_dir
+from marketframe.functions.storage import materialise, new_folder
 from marketframe.llm.common import parts_for, pick, table, text_or_empty
 from marketframe.llm.registry import query
 
@@ -30,8 +30,10 @@ ROWS_PER_BUCKET = 2_000_000
 
 
 class DigestIndex:
-    """Table ``digest, keep_id, group_size, batch`` under ``path``, bucketed by digest.
+    """Table ``digest, keep_id, group_size, batch, first`` under ``path``, bucketed by digest.
 
+    Each batch adds a row per text it holds: how many of its documents have it, the one
+    that would stay, and whether no other batch held the text before.
     The files outlive the session: opening the same path with the same number of
     buckets in another session continues the index.
     """
@@ -41,7 +43,7 @@ class DigestIndex:
         self.name = "digest_index_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} "
-            f"(digest BINARY, keep_id {id_type}, group_size BIGINT, batch STRING) USING parquet "
+            f"(digest BINARY, keep_id {id_type}, group_size BIGINT, batch STRING, first BOOLEAN) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
@@ -52,7 +54,7 @@ class DigestIndex:
     def append(self, rows: DataFrame) -> None:
         """Each task writes one bucket; the job's commit makes all files visible together."""
         (
-            rows.select("digest", "keep_id", "group_size", "batch")
+            rows.select("digest", "keep_id", "group_size", "batch", "first")
             .repartition(self.buckets, "digest")
             .write.insertInto(self.name)
         )
@@ -61,13 +63,20 @@ class DigestIndex:
         """Forget the session's table entry; the files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-    def deduplicate(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def deduplicate(
+        self, docs: DataFrame, batch: str | None = None, doc_id: str = "doc_id", text: str = "text"
+    ) -> DataFrame:
         """One row per document: ``doc_id, digest, keep_id, group_size, kept``.
 
-        ``keep_id`` is the document that stays for this text.  A text the index
-        already holds keeps its earlier document, and no row of the batch stays.
+        ``keep_id`` is the document that stays for this text: the largest id of the first
+        batch that held it.  If that was another batch, no row of this one stays.
+        ``group_size`` counts the documents with this text in all batches of the index.
+
+        ``batch`` names the batch.  Handing in a batch again under its name, as after a
+        run whose result was lost, adds nothing twice and decides as before.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
+        own = F.col("batch") == batch
         keys = materialise(
             pick(docs, doc_id=doc_id, text=text).select(
                 "doc_id", F.unhex(F.sha2(text_or_empty(), 256)).alias("digest")
@@ -81,19 +90,31 @@ class DigestIndex:
             "digest-groups",
         )
         known = self.read().hint("merge")
-        fresh = groups.join(known, "digest", "left_anti").withColumn("batch", F.lit(batch))
-        self.append(fresh)
-        index = self.read().hint("merge").withColumnRenamed("group_size", "indexed_size")
+        # what this batch has added before is left out; what others added is not new
+        fresh = groups.join(known.filter(own), "digest", "left_anti")
+        others = known.filter(~own).select("digest", F.lit(False).alias("first")).distinct()
+        self.append(
+            fresh.join(others.hint("merge"), "digest", "left").select(
+                "digest",
+                "keep_id",
+                "group_size",
+                F.lit(batch).alias("batch"),
+                F.coalesce("first", F.lit(True)).alias("first"),
+            )
+        )
+        index = self.read().hint("merge")
+        # with batches added at the same time several may be first; the smallest name counts
+        winner = F.min(F.when(F.col("first"), F.struct("batch", "keep_id")))
         decided = materialise(
-            groups.drop("keep_id")
+            groups.select("digest")
             .join(index, "digest")
+            .groupBy("digest")
+            .agg(winner.alias("winner"), F.sum("group_size").alias("group_size"))
             .select(
                 "digest",
-                "keep_id",
-                (F.col("batch") == batch).alias("fresh"),
-                F.when(F.col("batch") == batch, F.col("group_size"))
-                .otherwise(F.col("group_size") + F.col("indexed_size"))
-                .alias("group_size"),
+                F.col("winner.keep_id").alias("keep_id"),
+                (F.col("winner.batch") == batch).alias("fresh"),
+                "group_size",
             ),
             "digest-decisions",
         )
@@ -120,7 +141,7 @@ WINDOW g AS (PARTITION BY h)
 @query("op9_exact_dedup", SQL)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path = f"{shared_dir(spark)}/marketframe/digest-index-{uuid.uuid4().hex}"
+    path = new_folder(spark, "digest-index")
     index = DigestIndex(spark, path, parts_for(docs.count(), ROWS_PER_BUCKET, least=8))
     out = index.deduplicate(docs).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")

@@ -50,10 +50,26 @@ def test_index_keeps_earlier_documents(spark, tmp_path):
     assert rows_of(index_at(spark, tmp_path).deduplicate(again)) == [
         (10, 10, 1, True), (3, 3, 3, False), (9, 2, 2, False)
     ]
-    assert index.read().count() == 3
+    assert index.read().filter("first").count() == 3
     assert rows_of(index.deduplicate(first.filter("false"))) == []
 
 
+def test_sizes_count_all_batches_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+    index = index_at(spark, tmp_path)
+    batch = lambda *ids: spark.createDataFrame([(i, "a") for i in ids], "doc_id long, text string")
+    one = rows_of(index.deduplicate(batch(1, 2), "one"))
+    assert one == [(1, 2, 2, False), (2, 2, 2, True)]
+    # the result of this batch is lost, and it is handed in again
+    for _ in range(3):
+        assert rows_of(index.deduplicate(batch(1, 2), "one")) == one
+    assert rows_of(index.deduplicate(batch(3, 4, 5), "two")) == [(i, 2, 5, False) for i in (3, 4, 5)]
+    assert rows_of(index.deduplicate(batch(9), "three")) == [(9, 2, 6, False)]
+    assert rows_of(index.deduplicate(batch(1, 2), "one")) == [(1, 2, 6, False), (2, 2, 6, True)]
+    # part of a batch was added before its job broke
+    more = batch(9).unionByName(spark.createDataFrame([(11, "new")], "doc_id long, text string"))
+    assert rows_of(index.deduplicate(more, "three")) == [(11, 11, 1, True), (9, 2, 6, False)]
+
+
 def test_anti_join_reads_buckets_in_place(spark, tmp_path):
     index = index_at(spark, tmp_path)
     index.deduplicate(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect()
