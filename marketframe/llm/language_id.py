@@ -3,7 +3,7 @@
 Texts are lower-cased and everything but letters becomes one space; n-grams of one
 to three characters are hashed to a fixed number of features.  Document frequencies
 are counted over all training texts.  The weights are fitted on a bounded sample
-(``SAMPLE`` texts per language, chosen by a hash of the id) by follow-the-regularised-
+(``SAMPLE`` texts per language, chosen by a hash of id and text) by follow-the-regularised-
 leader with elastic-net penalties: each round, every shard of the sample continues
 from the common state and the states' changes are averaged.  A fifth of the sample is
 left out of the fit and sets the temperature that makes the scores calibrated.
@@ -44,6 +44,9 @@ CALIBRATION = 5
 ALPHA, BETA, L1, L2 = 2.0, 0.1, 2e-3, 1e-3
 TEMPERATURES = np.exp(np.linspace(np.log(0.02), np.log(5.0), 45))
 
+#: What sums over tasks count in: whole numbers add up alike in any order.
+UNIT = float(1 << 32)
+
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 _SALT = np.array([0x27D4EB2F, 0x165667B1, 0x2545F491], dtype=np.uint32)
 _LETTERS: list[np.ndarray] = []
@@ -169,7 +172,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sampled(idf: np.ndarray):
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for text, label, fold in rows_of(batches, "text", "label", "fold"):
+        columns = "text", "label", "fold", "shard", "place"
+        for text, label, fold, shard, place in rows_of(batches, *columns):
             points = letters_of(text)
             if len(points):
                 found, counts = features_of(points)
@@ -177,6 +181,8 @@ def _sampled(idf: np.ndarray):
                     {
                         "label": pa.array([label], pa.int32()),
                         "fold": pa.array([fold], pa.int32()),
+                        "shard": pa.array([shard], pa.int64()),
+                        "place": pa.array([place], pa.int64()),
                         "found": pa.array([found.astype("<i4").tobytes()], pa.binary()),
                         "vals": pa.array(
                             [weighted(found, counts, idf).astype("<f4").tobytes()], pa.binary()
@@ -193,36 +199,39 @@ def _examples(batches: Iterator[pa.RecordBatch]):
 
 
 def _continue(z: np.ndarray, n: np.ndarray):
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fit(rows: pa.Table) -> pa.Table:
         state = Leader(z.shape[1])
         state.z[:], state.n[:] = z, n
-        for label, found, values in _examples(batches):
+        for label, found, values in _examples(rows.sort_by("place").to_batches()):
             state.learn(found, values, label)
         moved = np.flatnonzero((state.n != n).any(axis=1))
-        for at in range(0, len(moved), 10_000):
-            rows = moved[at : at + 10_000]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "feature": pa.array(np.repeat(rows, z.shape[1]), pa.int64()),
-                    "label": pa.array(np.tile(np.arange(z.shape[1]), len(rows)), pa.int32()),
-                    "z": pa.array((state.z[rows] - z[rows]).ravel()),
-                    "n": pa.array((state.n[rows] - n[rows]).ravel()),
-                }
-            )
+        whole = lambda now, before: pa.array(
+            np.rint((now[moved] - before[moved]) * UNIT).astype(np.int64).ravel()
+        )
+        return pa.table(
+            {
+                "feature": pa.array(np.repeat(moved, z.shape[1]), pa.int64()),
+                "label": pa.array(np.tile(np.arange(z.shape[1]), len(moved)), pa.int32()),
+                "z": whole(state.z, z),
+                "n": whole(state.n, n),
+            }
+        )
 
     return fit
 
 
 def _losses(weights: np.ndarray):
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, others, seen = np.zeros(len(TEMPERATURES)), np.zeros(len(TEMPERATURES)), 0
+        own, others = (np.zeros(len(TEMPERATURES), dtype=np.int64) for _ in range(2))
+        seen = 0
         for label, found, values in _examples(batches):
             logits = values @ weights[found]
             losses = -np.log(
                 np.maximum(softmax(logits[None, :] / TEMPERATURES[:, None]), 1e-300)
             )
-            own += losses[:, label]
-            others += np.delete(losses, label, axis=1).sum(axis=1) / max(1, len(logits) - 1)
+            rest = np.delete(losses, label, axis=1).sum(axis=1) / max(1, len(logits) - 1)
+            own += np.rint(losses[:, label] * UNIT).astype(np.int64)
+            others += np.rint(rest * UNIT).astype(np.int64)
             seen += 1
         yield pa.RecordBatch.from_pydict(
             {
@@ -267,40 +276,49 @@ def train(
     frequency[counted["feature"].to_numpy()] = counted["docs"].to_numpy()
     idf = np.log((1.0 + frequency[FEATURES]) / (1.0 + frequency[:FEATURES])) + 1.0
 
-    # a hash of the id, so the sample does not depend on where rows lie
-    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))
+    # hashes of id and text, so the sample does not depend on where rows lie
+    hashed = lambda salt, n: F.pmod(F.xxhash64("doc_id", "text", F.lit(salt)), F.lit(n))
+    place = hashed(1, 1 << 30)
     label, chosen = F.lit(None).cast("int"), F.lit(False)
     for i, name in enumerate(languages):
         share = min(1.0, sample / by_language[name])
         label = F.when(F.col("lang") == name, i).otherwise(label)
         chosen = F.when(F.col("lang") == name, place < int(share * (1 << 30))).otherwise(chosen)
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(CALIBRATION)).cast("int")
-    shard = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SHARDS))
+    fold = hashed(2, CALIBRATION).cast("int")
+    shard, order = hashed(3, SHARDS), F.xxhash64("doc_id", "text", F.lit(4))
     examples = materialise(
         rows.filter(chosen)
-        .select("text", label.alias("label"), fold.alias("fold"), shard.alias("shard"))
-        .repartition(SHARDS, "shard")
-        .mapInArrow(_sampled(idf), "label int, fold int, found binary, vals binary"),
+        .select(
+            "text",
+            label.alias("label"),
+            fold.alias("fold"),
+            shard.alias("shard"),
+            order.alias("place"),
+        )
+        .repartition(SHARDS, "place")
+        .mapInArrow(
+            _sampled(idf), "label int, fold int, shard long, place long, found binary, vals binary"
+        ),
         "language-sample",
     )
     fitted = examples.filter("fold > 0")
     state = Leader(len(languages))
+    shards = max(1, fitted.select("shard").distinct().count())
     for _ in range(ROUNDS):
         moved = (
-            fitted.mapInArrow(
-                _continue(state.z, state.n), "feature long, label int, z double, n double"
-            )
+            fitted.groupBy("shard")
+            .applyInArrow(_continue(state.z, state.n), "feature long, label int, z long, n long")
             .groupBy("feature", "label")
-            .agg((F.sum("z") / SHARDS).alias("z"), (F.sum("n") / SHARDS).alias("n"))
+            .agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
             .toPandas()
         )
         at = moved["feature"].to_numpy(), moved["label"].to_numpy()
-        state.z[at] += moved["z"].to_numpy()
-        state.n[at] += moved["n"].to_numpy()
+        state.z[at] += moved["z"].to_numpy() / (UNIT * shards)
+        state.n[at] += moved["n"].to_numpy() / (UNIT * shards)
     weights = state.weights()
     loss = (
         examples.filter("fold = 0")
-        .mapInArrow(_losses(weights), "place int, own double, others double, seen long")
+        .mapInArrow(_losses(weights), "place int, own long, others long, seen long")
         .groupBy("place")
         .agg(*[F.sum(c).alias(c) for c in ("own", "others", "seen")])
         .orderBy("place")

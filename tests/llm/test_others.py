@@ -52,6 +52,24 @@ def test_language_of_odd_documents(spark, odd_documents):
     assert by_id[1][0] == by_id[1][1] and by_id[6][0].lang in model.languages
 
 
+def test_language_model_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    models = [
+        language_id.train(docs.repartition(n).sortWithinPartitions(order), F.lit(True), sample=20)
+        for n, order in ((1, "doc_id"), (2, "text"), (8, "source"))
+    ]
+    for other in models[1:]:
+        assert other.weights.tobytes() == models[0].weights.tobytes()
+        assert other.idf.tobytes() == models[0].idf.tobytes()
+        assert other.temperature == models[0].temperature
+
+
+def test_language_sample_of_rows_without_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.lit(None).cast("long"))
+    model = language_id.train(docs, F.lit(True), sample=20)
+    assert np.abs(model.weights).sum() > 0
+
+
 def test_language_without_labels(spark, odd_documents):
     model = language_id.train(odd_documents.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
     assert model.predict("some text") == ("und", 0.0)
