@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from marketframe.functions.storage import materialise, shared_dir
+from marketframe.functions.storage import materialise, new_folder
 from marketframe.llm.common import pick, table
 from marketframe.llm.registry import query
 from marketframe.llm.tokens import Rows, encoder, rows_of
@@ -196,7 +196,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = f"{shared_dir(spark)}/marketframe/token-files-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "token-files")
     docs = table(spark, sf_dir, "documents")
     write_token_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_token_files(spark, folder).select(
