@@ -16,12 +16,11 @@ texts, repeated rows and empty tables (see each operator's docstring).
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketframe.functions.storage import shared_dir
+from marketframe.functions.ship import ship
+from marketframe.functions.storage import new_folder, scope
 from marketframe.llm.language_id import UNKNOWN, held_out, predictor, train
 from marketframe.llm.line_dedup import remove_boilerplate
 from marketframe.llm.mixing import mixed_documents
@@ -84,9 +83,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of ``documents``."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/marketframe/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = new_folder(spark, f"pipeline-{name}")
+        # what a stage writes for itself goes when its result is written
+        with scope():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
