@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.joins import small_side_join
 from ..functions.scan import Running, running
 from ..functions.timeutil import micros_to_ntz, ntz_micros, timeframe_seconds
 
@@ -118,7 +119,7 @@ def rescue(
     known = main.select("symbol").distinct()
     absent = backup.select("symbol").distinct().join(known, "symbol", "left_anti")
     chosen = warm.join(cold.select("symbol").unionByName(absent), "symbol", "left_semi")
-    return merge_history([main, backup.join(chosen, "symbol", "left_semi")])
+    return merge_history([main, small_side_join(backup, chosen, ["symbol"], "left_semi")])
 
 
 def backfill_plan(

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, fields
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scan import chunk_with_future
+from .sweeps import SET_BLOCK, Sets, as_sets
 from .touch import CHUNK, walk
 
 
@@ -60,13 +61,13 @@ def _one_side(o, h, lo, i, n_local, limit, atr, sign, p: LabelParams):
     return fill, price, (end >= 0) & ~stopped
 
 
-def _label_chunk(pdf: pd.DataFrame, sets: Sequence[LabelParams]) -> pd.DataFrame:
+def _label_chunk(pdf: pd.DataFrame, sets: Sequence[tuple[int, LabelParams]]) -> pd.DataFrame:
     pdf = pdf.sort_values("idx", ignore_index=True)
     o, h, lo, c, atr = (pdf[x].to_numpy(float) for x in ("open", "high", "low", "close", "atr"))
     idx, n = pdf["idx"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
     own = np.flatnonzero(pdf["_own"].to_numpy(bool))
     parts = []
-    for k, p in enumerate(sets):
+    for k, p in sets:
         usable = own[(idx[own] < n[own] - p.max_hold - 1) & (atr[own] > 0)]
         a, ci = atr[usable], c[usable]
         ahead = c[np.minimum(usable + p.horizon, len(c) - 1)]
@@ -95,21 +96,50 @@ def _label_chunk(pdf: pd.DataFrame, sets: Sequence[LabelParams]) -> pd.DataFrame
 
 
 def label_sweep(
-    bars: DataFrame, sets: Sequence[LabelParams], chunk: int = CHUNK
+    bars: DataFrame, sets: Sequence[LabelParams] | DataFrame | Sets, chunk: int = CHUNK
 ) -> DataFrame:
-    """Labels of every bar for every parameter set (``set_id`` = list position).
+    """Labels of every bar for every parameter set.
 
-    ``bars`` needs ``symbol, bar, idx, n, atr`` and prices.  The last
-    ``max_hold + 1`` bars of a series and bars without ATR are labelled 0.
+    ``sets`` is a list (``set_id`` is the position), a table with ``set_id`` and any of the
+    fields of ``LabelParams``, or such a table in blocks.  A task labels one chunk of a
+    series for one block of sets.  ``bars`` needs ``symbol, bar, idx, n, atr`` and prices.
+    The last ``max_hold + 1`` bars of a series and bars without ATR are labelled 0.
     """
-    reach = max(p.reach for p in sets)
-    chunk = max(chunk, reach)
     needed = ["symbol", "bar", "idx", "n", "open", "high", "low", "close", "atr"]
+    short = isinstance(sets, Sequence) and len(sets) <= SET_BLOCK
+    if not short:
+        held = as_sets(bars.sparkSession, sets, LabelParams)
+        p = F.col("p")
+        reach = held.largest(p["horizon"] + p["max_hold"]) + 1
+    else:
+        reach = max(p.reach for p in sets)
+    chunk = max(chunk, reach)
     rows = chunk_with_future(bars.select(*needed), chunk, reach)
-    params = [LabelParams(**asdict(p)) for p in sets]
-    out = rows.groupBy("symbol", "_chunk").applyInPandas(
-        lambda pdf: _label_chunk(pdf, params), _SCHEMA
-    )
+    if short:
+        given = list(enumerate(LabelParams(**asdict(p)) for p in sets))
+        out = rows.groupBy("symbol", "_chunk").applyInPandas(
+            lambda pdf: _label_chunk(pdf, given), _SCHEMA
+        )
+    else:
+        names = [f.name for f in fields(LabelParams)]
+        chunks = held.beside(rows.select("symbol", "_chunk").distinct()).select(
+            F.col("symbol").alias("s_symbol"), F.col("_chunk").alias("s_chunk"),
+            F.col("set_block").alias("s_block"), F.inline("sets"),
+        )
+
+        def per_block(params: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+            given = [
+                (r.set_id, LabelParams(**{n: getattr(r, n) for n in names}))
+                for r in params.sort_values("set_id").itertuples(index=False)
+            ]
+            return _label_chunk(pdf, given)
+
+        copies = rows.withColumn("set_block", F.explode(held.numbers))
+        out = (
+            chunks.groupBy("s_symbol", "s_chunk", "s_block")
+            .cogroup(copies.groupBy("symbol", "_chunk", "set_block"))
+            .applyInPandas(per_block, _SCHEMA)
+        )
     # missing fills leave Python as NaN
     return out.withColumns(
         {f"fill_{s}_price": F.nanvl(f"fill_{s}_price", F.lit(None)) for s in ("long", "short")}

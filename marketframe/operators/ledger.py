@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.joins import small_side_join
 from ..functions.num import to_step
 from ..functions.scan import Running, islands, running, running_peak
 from ..functions.storage import materialise
@@ -62,7 +63,7 @@ def price_exits(trades: DataFrame, prices: DataFrame) -> DataFrame:
     hit_stop = F.when(is_buy(), p <= F.col("stop_loss")).otherwise(p >= F.col("stop_loss"))
     hit_goal = F.when(is_buy(), p >= F.col("take_profit")).otherwise(p <= F.col("take_profit"))
     return (
-        trades.join(prices.filter(p > 0), "symbol")
+        small_side_join(trades, prices.filter(p > 0), ["symbol"])
         .withColumn("reason", F.when(hit_stop, "stop").when(hit_goal, "target"))
         .filter(F.col("reason").isNotNull())
     )

@@ -195,15 +195,23 @@ def load_bundle(spark: SparkSession, path: str, targets: Sequence[str] = tuple(S
     return ScoreModels([r["feature"] for r in names], models, scaler)
 
 
+def sequence_step(position: int, seed: int) -> tuple[float, float]:
+    """Step and start of the additive sequence of one parameter, in [0, 1)."""
+    primes = [p for p in range(2, 400) if all(p % d for d in range(2, int(p**0.5) + 1))]
+    return math.sqrt(primes[position]) % 1.0, math.sqrt(primes[position] * (seed + 1)) % 1.0
+
+
 def sweep_values(spark: SparkSession, n: int, ranges: dict[str, tuple[float, float, str]], seed: int = 42) -> DataFrame:
     """``n`` parameter rows drawn from ranges: ``lin``, ``log`` or ``int`` scale.
 
-    Values depend on row number and seed only, so a sweep can be repeated and
-    extended.
+    Each parameter follows an additive sequence with an irrational step, which covers its
+    range evenly at any ``n``.  Values depend on row number and seed only, so a sweep can
+    be repeated and extended.
     """
     cols = [F.col("id").cast("int").alias("set_id")]
-    for name, (lo, hi, scale) in ranges.items():
-        u = F.pmod(F.xxhash64(F.col("id"), F.lit(name), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    for position, (name, (lo, hi, scale)) in enumerate(ranges.items()):
+        step, start = sequence_step(position, seed)
+        u = (F.lit(start) + F.col("id") * F.lit(step)) % 1.0
         if scale == "log":
             low, high = math.log(lo), math.log(hi)
             value = F.exp(F.lit(low) + u * (high - low))
@@ -215,6 +223,17 @@ def sweep_values(spark: SparkSession, n: int, ranges: dict[str, tuple[float, flo
     return spark.range(n).select(*cols)
 
 
+#: Names of the search and of the strategy's fields.
+STRATEGY_NAMES = {
+    "limit_offset_atr": "offset",
+    "take_profit_atr": "take_profit",
+    "stop_loss_atr": "stop_loss",
+    "model_threshold": "threshold",
+    "direction_threshold": "direction",
+    "aggressive_threshold": "aggressive",
+}
+
+
 # Ranges of the parameter search.
 SEARCH_RANGES = {
     "limit_offset_atr": (0.5, 2.0, "lin"),

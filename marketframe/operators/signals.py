@@ -7,12 +7,16 @@ signal to the equity left by another, so outcomes are relational.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.joins import small_side_join
 from ..functions.num import ratio_or_null, to_step, to_tick
 from ..functions.scan import Running, running, running_peak
+from ..functions.storage import materialise
+from ..functions.timeutil import bar_of
+from .sweeps import Sets, as_sets, beside
 from .touch import first_touch
 
 START_EQUITY = 10_000.0
@@ -41,25 +45,13 @@ class Strategy:
         return max(self.horizon, self.max_hold) + 1
 
 
-_PARAMS = [f.name for f in fields(Strategy)]
-
-
-def strategy_sets(sets: Sequence[Strategy]) -> Column:
-    """Array of parameter structs, to be exploded onto rows."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("set_id"),
-                *[F.lit(getattr(s, p)).alias(p) for p in _PARAMS],
-            )
-            for k, s in enumerate(sets)
-        ]
-    )
-
-
-def signals(scored: DataFrame, sets: Sequence[Strategy] = (Strategy(),)) -> DataFrame:
+def signals(
+    scored: DataFrame, sets: Sequence[Strategy] | DataFrame | Sets = (Strategy(),)
+) -> DataFrame:
     """Market and limit signals of both sides for each parameter set.
 
+    ``sets`` is a list, a table with ``set_id`` and any of the fields of ``Strategy``, or
+    such a table in blocks; ``set_block`` is the block a signal's set belongs to.
     A direction score above ``aggressive`` enters at market; else a score above
     ``threshold`` with direction above ``direction`` places a limit away from
     the close.  Missing direction scores count as 1.  A ``threshold`` over 1
@@ -84,12 +76,12 @@ def signals(scored: DataFrame, sets: Sequence[Strategy] = (Strategy(),)) -> Data
             (F.col("close") - sign * away).alias("price"),
         )
 
+    rows, _ = beside(scored.filter(F.col("atr") > 0), sets, Strategy)
     return (
-        scored.filter(F.col("atr") > 0)
-        .withColumn("p", F.explode(strategy_sets(sets)))
+        rows.withColumn("p", F.explode("sets"))
         .withColumn("s", F.explode(F.array(side("long", 1), side("short", -1))))
         .filter(F.col("s.kind").isNotNull())
-        .select("p.*", "symbol", "bar", "idx", "close", "atr", "s.*")
+        .select("p.*", "set_block", "symbol", "bar", "idx", "close", "atr", "s.*")
     )
 
 
@@ -110,7 +102,7 @@ _HITS = ["hit_idx", "hit_bar", "hit_open", "hit_high", "hit_low", "hit_close",
 _INF = float("inf")
 
 
-def fills(bars: DataFrame, sigs: DataFrame, width: int) -> DataFrame:
+def fills(bars: DataFrame, sigs: DataFrame, width: int, blocks: int = 1) -> DataFrame:
     """Entry bar and price: market at the close, limits at the first touching bar.
 
     Limits are live for ``horizon`` bars after the signal and fill at the open
@@ -126,7 +118,7 @@ def fills(bars: DataFrame, sigs: DataFrame, width: int) -> DataFrame:
             "ceiling": F.when(long, _INF).otherwise(F.col("price")),
         }
     )
-    found = first_touch(bars, asked, width)
+    found = first_touch(bars, asked, width, blocks=blocks)
     gap = F.when(long, F.least("hit_open", "price")).otherwise(F.greatest("hit_open", "price"))
     market = F.col("kind") == "market"
     return found.withColumns(
@@ -138,7 +130,7 @@ def fills(bars: DataFrame, sigs: DataFrame, width: int) -> DataFrame:
     ).drop("start", "stop", "floor", "ceiling", *_HITS)
 
 
-def exits(bars: DataFrame, entered: DataFrame, width: int) -> DataFrame:
+def exits(bars: DataFrame, entered: DataFrame, width: int, blocks: int = 1) -> DataFrame:
     """First bar after entry that touches a barrier, else the last bar of the hold."""
     long = F.col("sign") > 0
     asked = entered.withColumns(
@@ -149,7 +141,7 @@ def exits(bars: DataFrame, entered: DataFrame, width: int) -> DataFrame:
             "ceiling": F.when(long, F.col("tp")).otherwise(F.col("sl")),
         }
     )
-    return first_touch(bars, asked, width).drop("start", "stop", "floor", "ceiling")
+    return first_touch(bars, asked, width, blocks=blocks).drop("start", "stop", "floor", "ceiling")
 
 
 def _booked(df: DataFrame) -> DataFrame:
@@ -173,13 +165,14 @@ _LEDGER = [
 ]
 
 
-def outcomes(bars: DataFrame, sigs: DataFrame, reach: int) -> DataFrame:
+def outcomes(bars: DataFrame, sigs: DataFrame, reach: int, blocks: int = 1) -> DataFrame:
     """Ledger row per filled signal; a stop wins inside the touching bar.
 
-    ``exit_kind`` is stop, target or time, NULL while the series ends first.
+    ``reach`` covers the longest horizon and hold of all sets, ``blocks`` is their number
+    of blocks.  ``exit_kind`` is stop, target or time, NULL while the series ends first.
     """
-    entered = _barriers(fills(bars, sigs, reach).filter(F.col("entry_idx").isNotNull()))
-    done = exits(bars, entered, reach)
+    filled = fills(bars, sigs, reach, blocks).filter(F.col("entry_idx").isNotNull())
+    done = exits(bars, _barriers(filled), reach, blocks)
     stopped = F.when(F.col("sign") > 0, F.col("hit_low") <= F.col("sl")).otherwise(
         F.col("hit_high") >= F.col("sl")
     )
@@ -192,6 +185,14 @@ def outcomes(bars: DataFrame, sigs: DataFrame, reach: int) -> DataFrame:
     return _booked(_decide(done, kind)).select(*_LEDGER)
 
 
+def sweep(bars: DataFrame, sets: Sequence[Strategy] | DataFrame | Sets) -> DataFrame:
+    """Ledger of all parameter sets of a table; ``bars`` carry scores and are read twice."""
+    held = as_sets(bars.sparkSession, sets, Strategy)
+    p = F.col("p")
+    reach = held.largest(F.greatest(p["horizon"], p["max_hold"])) + 1
+    return outcomes(bars, signals(bars, held), reach, held.blocks)
+
+
 def _decide(done: DataFrame, kind: Column) -> DataFrame:
     touched = F.col("exit_kind").isin("stop", "target")
     timed = F.col("exit_kind") == "time"
@@ -206,51 +207,92 @@ def _decide(done: DataFrame, kind: Column) -> DataFrame:
     )
 
 
-def _crossing(ticks: Column, sign: Column, sl: Column, tp: Column) -> Column:
-    """``stop`` or ``target`` by the first tick that reaches either, else NULL."""
-    at = F.get(
-        F.filter(ticks, lambda x: (sign * (x - sl) <= 0) | (sign * (x - tp) >= 0)), F.lit(0)
-    )
-    return F.when(at.isNotNull(), F.when(sign * (at - sl) <= 0, "stop").otherwise("target"))
+#: What tells signals apart.
+SIGNAL_KEY = ["set_id", "symbol", "idx", "side"]
 
 
-def outcomes_tick(bars: DataFrame, paths: DataFrame, sigs: DataFrame, reach: int) -> DataFrame:
+def _first_tick(ticks: DataFrame, asked: DataFrame, crossed: Column, found: Column) -> DataFrame:
+    """Per signal of ``asked``: the first tick of its ``bar`` that fulfils ``crossed``.
+
+    ``asked`` is the side measured for a broadcast: trades stay where they are, only those
+    of asked bars go on, and the first crossing is a minimum, combined before the shuffle.
+    ``found`` is what is kept of a tick; it starts with the tick's place.
+    """
+    met = small_side_join(ticks, asked, ["symbol", "bar"]).filter(crossed)
+    return met.groupBy(*SIGNAL_KEY).agg(F.min(found).alias("_tick"))
+
+
+def outcomes_tick(
+    bars: DataFrame,
+    trades: DataFrame,
+    sigs: DataFrame,
+    reach: int,
+    timeframe: str,
+    order: Sequence[str] = ("ts", "seq"),
+    blocks: int = 1,
+) -> DataFrame:
     """Outcomes decided by the trades inside bars.
 
-    ``paths``: ``symbol, idx, price_path``.  Only entry bars and touching bars
-    meet their path.  A limit fills at the first trade at or through it; later
-    trades of the same bar may already close the position; in a touching bar
-    the first trade beyond a barrier decides.
+    ``trades``: ``symbol, ts, price`` and the columns of ``order``, which must be unique
+    per symbol.  Only trades of entry bars and touching bars are looked at.  A limit fills
+    at the first trade at or through it; later trades of the same bar may already close
+    the position; in a touching bar the first trade beyond a barrier decides.
     """
-    p1 = paths.select("symbol", F.col("idx").alias("entry_idx"), F.col("price_path").alias("_path"))
-    touched = fills(bars, sigs, reach).filter(F.col("entry_idx").isNotNull())
-    sign, limit = F.col("sign"), F.col("price")
-    path = F.when(F.col("kind") == "limit", F.col("_path"))
-    reached = F.transform(path, lambda x: sign * (x - limit) <= 0)
-    first = F.array_position(reached, F.lit(True)).cast("int")
-    entered = touched.join(p1, ["symbol", "entry_idx"], "left").withColumn("_at", first)
-    at_tick = F.when(F.col("_at") > 0, F.get("_path", F.col("_at") - 1))
-    entered = _barriers(
-        entered.withColumn("entry_price", F.coalesce(at_tick, F.col("entry_price")))
+    sign, price = F.col("sign"), F.col("price")
+    tick = F.col("tick_price")
+    ticks = trades.filter(price.isNotNull()).select(
+        "symbol", bar_of(F.col("ts"), timeframe).alias("bar"),
+        F.struct(*order).alias("at"), price.cast("double").alias("tick_price"),
+    )
+    stopped = sign * (tick - F.col("sl")) <= 0
+    either = stopped | (sign * (tick - F.col("tp")) >= 0)
+    ends = F.struct("at", F.when(stopped, "stop").otherwise("target").alias("kind"))
+
+    touched = materialise(
+        fills(bars, sigs, reach, blocks).filter(F.col("entry_idx").isNotNull()), "touched"
+    )
+    limits = touched.filter(F.col("kind") == "limit").select(
+        *SIGNAL_KEY, F.col("entry_bar").alias("bar"), "sign", "price"
+    )
+    filled = _first_tick(ticks, limits, sign * (tick - price) <= 0, F.struct("at", "tick_price"))
+    entered = materialise(
+        _barriers(
+            touched.join(filled, SIGNAL_KEY, "left").withColumns(
+                {
+                    "_at": F.col("_tick.at"),
+                    "entry_price": F.coalesce("_tick.tick_price", "entry_price"),
+                }
+            )
+        ).drop("_tick"),
+        "entered",
+    )
+    open_ = entered.filter(F.col("_at").isNotNull()).select(
+        *SIGNAL_KEY, F.col("entry_bar").alias("bar"), "sign", "sl", "tp", "_at"
+    )
+    early = _first_tick(ticks, open_, (F.col("at") > F.col("_at")) & either, ends)
+    done = materialise(
+        exits(
+            bars,
+            entered.drop("_at")
+            .join(early, SIGNAL_KEY, "left")
+            .withColumn("_early", F.col("_tick.kind"))
+            .drop("_tick"),
+            reach,
+            blocks,
+        ),
+        "exits",
     )
-    rest = F.when(
-        F.col("_at") > 0, F.slice("_path", F.col("_at") + 1, F.greatest(F.size("_path") - F.col("_at"), F.lit(0)))
+    held = done.filter(F.col("_early").isNull() & F.col("hit_idx").isNotNull()).select(
+        *SIGNAL_KEY, F.col("hit_bar").alias("bar"), "sign", "sl", "tp"
     )
-    entered = entered.withColumn(
-        "_early", _crossing(rest, sign, F.col("sl"), F.col("tp"))
-    ).drop("_path", "_at")
-    done = exits(bars, entered, reach)
-    p2 = paths.select("symbol", F.col("idx").alias("hit_idx"), F.col("price_path").alias("_path"))
-    done = done.join(p2, ["symbol", "hit_idx"], "left")
-    later = _crossing(F.col("_path"), sign, F.col("sl"), F.col("tp"))
-    early = F.col("_early").isNotNull()
-    kind = F.coalesce(F.col("_early"), later).alias("k")
-    decided = _decide(
-        done, F.coalesce(kind, F.when(F.col("end_idx").isNotNull(), F.lit("time")))
-    ).withColumns(
+    later = _first_tick(ticks, held, either, ends)
+    done = done.join(later, SIGNAL_KEY, "left").withColumn("_later", F.col("_tick.kind"))
+    timed = F.when(F.col("end_idx").isNotNull(), F.lit("time"))
+    is_early = F.col("_early").isNotNull()
+    decided = _decide(done, F.coalesce("_early", "_later", timed)).withColumns(
         {
-            "exit_idx": F.when(early, F.col("entry_idx")).otherwise(F.col("exit_idx")),
-            "exit_bar": F.when(early, F.col("entry_bar")).otherwise(F.col("exit_bar")),
+            "exit_idx": F.when(is_early, F.col("entry_idx")).otherwise(F.col("exit_idx")),
+            "exit_bar": F.when(is_early, F.col("entry_bar")).otherwise(F.col("exit_bar")),
         }
     )
     return _booked(decided).select(*_LEDGER)

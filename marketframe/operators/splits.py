@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.joins import small_side_join
 from ..functions.scan import chunk_with_past
 
 
@@ -70,7 +71,7 @@ def apply_scaler(
     df: DataFrame, scaler: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol",)
 ) -> DataFrame:
     """Standardised copies ``<c>_scaled``; the scaler has one row per key."""
-    joined = df.join(scaler, list(keys))
+    joined = small_side_join(df, scaler, list(keys))
     scaled = {f"{c}_scaled": (F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__scale") for c in columns}
     return joined.withColumns(scaled).drop(
         *[f"{c}__{part}" for c in columns for part in ("mean", "scale")]

@@ -36,13 +36,16 @@ def walk(low, high, start, stop, floor, ceiling) -> np.ndarray:
     return found
 
 
-def first_touch(bars: DataFrame, queries: DataFrame, width: int, chunk: int = CHUNK) -> DataFrame:
+def first_touch(
+    bars: DataFrame, queries: DataFrame, width: int, chunk: int = CHUNK, blocks: int = 1
+) -> DataFrame:
     """Queries with the bar that touches first and the last bar of their window.
 
     ``bars``: ``symbol, bar, idx, n`` and prices, dense ``idx``.  ``queries``:
     ``symbol``, ``start``, ``stop`` (bar numbers, end exclusive, at most
     ``width`` apart), ``floor`` and ``ceiling`` prices (infinite when unused),
-    plus any other columns.  ``hit_*`` is NULL without a touch; ``end_*`` is
+    plus any other columns.  With more than one of ``blocks``, ``set_block`` numbers the
+    block of a query from 0, and a task holds the queries of one chunk and block.  ``hit_*`` is NULL without a touch; ``end_*`` is
     the bar ``stop - 1``, NULL if the series ends before it.
     """
     if width > chunk:
@@ -54,6 +57,10 @@ def first_touch(bars: DataFrame, queries: DataFrame, width: int, chunk: int = CH
     series = spread.select(
         *[F.col(c).alias(f"b_{c}") for c in ("symbol", "_chunk", "bar", "idx", *prices)]
     )
+    key = ["symbol", "_chunk"]
+    if blocks > 1:
+        key.append("set_block")
+        series = series.withColumn("b_set_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.withColumn("_chunk", F.floor(F.col("start") / chunk))
     schema = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields
@@ -87,7 +94,7 @@ def first_touch(bars: DataFrame, queries: DataFrame, width: int, chunk: int = CH
         return q
 
     return (
-        asked.groupBy("symbol", "_chunk")
-        .cogroup(series.groupBy("b_symbol", "b__chunk"))
+        asked.groupBy(*key)
+        .cogroup(series.groupBy(*[f"b_{k}" for k in key]))
         .applyInPandas(per_chunk, schema + ", " + ", ".join(HIT))
     )

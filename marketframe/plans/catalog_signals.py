@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialise
-from ..operators import bars as ob, signals as sg
+from ..operators import bars as ob, models as md, signals as sg, sweeps
 from . import frames, sqltext as q, views as v
 from .catalog_labels import BARS_ATR
 from .registry import query
@@ -39,15 +39,16 @@ SCORED = f"""{BARS_ATR}, sc AS (SELECT *, {_mix(37, 11)} AS pred_long, {_mix(53,
   {_mix(29, 13)} AS pred_dir_long, {_mix(41, 17)} AS pred_dir_short FROM fa)"""
 
 
-def signals_sql(sets) -> str:
-    rows = ", ".join(
+def signals_sql(sets=(), rows: str = "") -> str:
+    """Signals of listed sets, or of those that a query gives as ``rows``."""
+    listed = ", ".join(
         f"({k}, {s.offset}, {s.horizon}, {s.max_hold}, {s.stop_loss}, {s.take_profit}, {s.threshold}, {s.direction}, {s.aggressive})"
         for k, s in enumerate(sets)
     )
     side = lambda n, name, sign: f"""SELECT set_id, symbol, bar, idx, n, close, atr, '{name}' AS side, {sign} AS sgn,
       CASE WHEN pred_dir_{n} > aggr THEN 'market' WHEN pred_{n} > thr AND pred_dir_{n} > dirn THEN 'limit' END AS kind,
       off, hor, hold, slm, tpm FROM sc, params WHERE atr > 0"""
-    return f"""{SCORED}, params(set_id, off, hor, hold, slm, tpm, thr, dirn, aggr) AS (VALUES {rows}),
+    return f"""{SCORED}, params(set_id, off, hor, hold, slm, tpm, thr, dirn, aggr) AS ({rows or f"VALUES {listed}"}),
     sig0 AS ({side('long', 'Buy', 1)} UNION ALL {side('short', 'Sell', -1)}),
     sig AS (SELECT *, close - sgn * CASE WHEN kind = 'limit' THEN atr * off ELSE 0 END AS price,
       row_number() OVER () AS sid FROM sig0 WHERE kind IS NOT NULL)"""
@@ -63,8 +64,8 @@ def signals(spark, d):
     )
 
 
-def outcomes_sql(sets) -> str:
-    return f"""{signals_sql(sets)},
+def outcomes_sql(sets=(), rows: str = "") -> str:
+    return f"""{signals_sql(sets, rows)},
     e1 AS (SELECT s.sid, min(b.idx) AS eidx FROM sig s JOIN fa b ON b.symbol = s.symbol
       AND b.idx BETWEEN s.idx + 1 AND s.idx + s.hor AND s.kind = 'limit'
       AND CASE WHEN sgn > 0 THEN b.low <= s.price ELSE b.high >= s.price END GROUP BY 1),
@@ -109,8 +110,9 @@ def _shown(ledger):
 
 def ledger(spark, d, sets):
     bars = materialise(scored(spark, d), "scored")
-    reach = max(s.reach for s in sets)
-    return sg.outcomes(bars, sg.signals(bars, sets), reach)
+    if len(sets) > 1:
+        return sg.sweep(bars, sweeps.table_of(spark, sets))
+    return sg.outcomes(bars, sg.signals(bars, sets), sets[0].reach)
 
 
 @query("outcomes", f"WITH {outcomes_sql(ONE)}, {LEDGER_SQL} {SHOWN_SQL}")
@@ -141,10 +143,9 @@ TICK_SQL = f"""{signals_sql(ONE)},
 @query("outcomes_tick", f"WITH {TICK_SQL}, {LEDGER_SQL} {SHOWN_SQL}")
 def outcomes_tick(spark, d):
     bars = materialise(scored(spark, d), "scored")
-    paths = ob.price_paths(v.trades(spark, d), frames.TIMEFRAME, order=("seq",)).join(
-        bars.select("symbol", "bar", "idx"), ["symbol", "bar"]
+    out = sg.outcomes_tick(
+        bars, v.trades(spark, d), sg.signals(bars, ONE), ONE[0].reach, frames.TIMEFRAME, order=("seq",)
     )
-    out = sg.outcomes_tick(bars, paths, sg.signals(bars, ONE), ONE[0].reach)
     return _shown(out)
 
 
@@ -224,6 +225,48 @@ def sweep(spark, d):
     )
 
 
+# A search of drawn sets: every one trades hourly bars that look at most eight bars ahead.
+DRAWN, DRAWN_REACH = 200, 8
+
+
+def drawn_values(spark):
+    """Drawn parameters under the names of the strategy."""
+    drawn = md.sweep_values(spark, DRAWN, md.SEARCH_RANGES)
+    return sweeps.renamed(drawn, md.STRATEGY_NAMES).withColumns(
+        {"horizon": F.lit(DRAWN_REACH), "max_hold": F.lit(DRAWN_REACH)}
+    )
+
+
+def _drawn_sql() -> str:
+    names = list(md.SEARCH_RANGES)
+
+    def value(name):
+        lo, hi, _ = md.SEARCH_RANGES[name]
+        step, start = md.sequence_step(names.index(name), 42)
+        return f"{float(lo)!r}::DOUBLE + (({start!r}::DOUBLE + k * {step!r}::DOUBLE) % 1.0::DOUBLE) * {hi - lo!r}::DOUBLE"
+
+    order = ["stop_loss_atr", "take_profit_atr", "model_threshold", "direction_threshold", "aggressive_threshold"]
+    return f"""SELECT k, {value("limit_offset_atr")}, {DRAWN_REACH}, {DRAWN_REACH},
+      {", ".join(map(value, order))} FROM range({DRAWN}) r(k)"""
+
+
+@query(
+    "sweep_drawn",
+    f"""WITH {outcomes_sql(rows=_drawn_sql())}, {LEDGER_SQL} SELECT CAST(set_id AS INTEGER) AS set_id, symbol,
+    count(*) AS trades, count_if(pnl > 0) AS wins, count_if(exit_kind = 'stop') AS stops,
+    {R('sum(pnl)', 2)} AS pnl FROM ledger WHERE exit_kind IS NOT NULL GROUP BY 1, 2""",
+)
+def sweep_drawn(spark, d):
+    bars = materialise(scored(spark, d), "scored")
+    done = sg.sweep(bars, drawn_values(spark)).filter(F.col("exit_kind").isNotNull())
+    return done.groupBy("set_id", "symbol").agg(
+        F.count("*").alias("trades"),
+        F.count_if(F.col("pnl") > 0).alias("wins"),
+        F.count_if(F.col("exit_kind") == "stop").alias("stops"),
+        rnd(F.sum("pnl"), 2).alias("pnl"),
+    )
+
+
 SCORE_SQL = """sco AS (SELECT set_id, count(*) AS folds, avg(score) - 0.5 * stddev_pop(score) AS score FROM
     (SELECT set_id, (CASE WHEN trades >= 3 THEN sortino * ln(trades) ELSE -0.1 END) / (1 + max_drawdown * 5) AS score
      FROM stats) GROUP BY 1)"""

@@ -101,10 +101,17 @@ def test_bar_outcomes(spark, data):
 def test_tick_outcomes(spark, data):
     pdf, paths = data
     bars = frame(spark, pdf)
-    table = spark.createDataFrame(
-        [("A", i, p) for i, p in enumerate(paths)], "symbol string, idx long, price_path array<double>"
+    trades = spark.createDataFrame(
+        [
+            ("A", r.bar.to_pydatetime() + timedelta(seconds=k), 1000 * i + k, p)
+            for i, r in enumerate(pdf.itertuples())
+            for k, p in enumerate(paths[i])
+        ],
+        "symbol string, ts timestamp_ntz, seq long, price double",
     )
-    got = sg.outcomes_tick(bars, table, sg.signals(bars, [S]), S.reach)
+    got = sg.outcomes_tick(bars, trades, sg.signals(bars, [S]), S.reach, "5m")
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in text
     assert rounded(got) == loop(pdf, paths, True)
 
 
