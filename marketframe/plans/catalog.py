@@ -9,6 +9,7 @@ from . import (  # noqa: F401
     catalog_labels,
     catalog_ledger,
     catalog_signals,
+    catalog_streams,
 )
 from .registry import ORACLES, QUERIES
 

@@ -162,12 +162,12 @@ LOGS = """logs AS (SELECT user_id % 10 AS service, event_id AS line_no, ts,
     || CASE WHEN event_id % 4 = 0 THEN ' Connection reset' ELSE '' END AS text FROM events)"""
 
 
-@query(
-    "log_alerts",
-    f"""WITH {LOGS} SELECT service, line_no, text,
+ALERT_SQL = f"""WITH {LOGS} SELECT service, line_no, text,
     CASE WHEN contains(text, '(HIGH LATENCY)') THEN '(HIGH LATENCY)' ELSE '[ERROR]' END AS pattern
-    FROM logs WHERE (contains(text, '(HIGH LATENCY)') OR contains(text, '[ERROR]')) AND NOT contains(text, 'Connection reset')""",
-)
+    FROM logs WHERE (contains(text, '(HIGH LATENCY)') OR contains(text, '[ERROR]')) AND NOT contains(text, 'Connection reset')"""
+
+
+@query("log_alerts", ALERT_SQL)
 def log_alerts(spark, d):
     return hl.alerts(v.log_lines(spark, d)).select("service", "line_no", "text", "pattern")
 
