@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     catalog_history,
     catalog_labels,
     catalog_ledger,
+    catalog_models,
     catalog_signals,
     catalog_streams,
 )

@@ -6,7 +6,11 @@ over all earlier bars) and rolling statistics with plain frames.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions.storage import materialise
 from ..operators import features as ft
+from ..operators.features import add_features
 from . import frames, sqltext as q
 from .registry import query
 from .rounding import rnd, sql_rnd as R
@@ -187,3 +191,25 @@ BOOK_SQL = (
 @query("feat_book", BOOK_SQL)
 def feat_book(spark, d):
     return _shown(spark, d, ("book",), [*ft.BOOK, *ft.SLOPE, *ft.INTEGRITY])
+
+
+@query(
+    "feat_optional",
+    f"""WITH {q.TRADES}, {q.bars()}, c AS (SELECT count(*) AS rows FROM bars),
+    g(left_out, flow, book) AS (VALUES ('none', 6, 18), ('taker_buy_ratio', 5, 18), ('dollar_val', 6, 18),
+      ('ob_imbalance_mean', 6, 0), ('ob_bid_slope_mean', 6, 14), ('ob_bid_integrity_mean', 6, 15))
+    SELECT left_out, rows, CAST(flow AS INTEGER) AS flow, CAST(book AS INTEGER) AS book FROM g, c""",
+)
+def feat_optional(spark, d):
+    """Features that a missing input column takes away; the rows stay."""
+    bars = materialise(frames.joined_bars(spark, d), "optional-bars")
+    found = None
+    left_out = ("none", "taker_buy_ratio", "dollar_val", "ob_imbalance_mean", "ob_bid_slope_mean", "ob_bid_integrity_mean")
+    for name in left_out:
+        rows = add_features(bars.drop(name), ("flow", "book"))
+        count = lambda names: F.lit(len(set(names) & set(rows.columns)))
+        one = rows.agg(F.count("*").alias("rows")).select(
+            F.lit(name).alias("left_out"), "rows", count(ft.FLOW).alias("flow"), count(ft.BOOK + ft.SLOPE + ft.INTEGRITY).alias("book")
+        )
+        found = one if found is None else found.unionByName(one)
+    return found

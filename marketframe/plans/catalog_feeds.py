@@ -228,6 +228,98 @@ def norm_positions(spark, d):
     return vn.normalise_positions(payloads)
 
 
+def _json(**fields):
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("value")
+
+
+@query(
+    "norm_instruments",
+    """SELECT 'P' || p_partkey AS symbol, CAST((p_partkey % 9 + 1) / 100.0 AS DOUBLE) AS tick_size,
+    CASE WHEN p_partkey % 5 > 0 THEN CAST(p_size / 1000.0 AS DOUBLE) END AS qty_step, CAST(p_size AS DOUBLE) AS min_qty,
+    CASE WHEN p_partkey % 4 = 0 THEN 0.0::DOUBLE ELSE CAST(p_partkey % 7 AS DOUBLE) END AS min_notional FROM part""",
+)
+def norm_instruments(spark, d):
+    """Instruments with text numbers; some steps are no number, some minimums are missing."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    lot = F.struct(
+        F.when(key % 5 > 0, (size / 1000.0).cast("string")).otherwise("n/a").alias("qtyStep"),
+        size.cast("string").alias("minOrderQty"),
+        F.when(key % 4 != 0, (key % 7).cast("string")).alias("minNotionalValue"),
+    )
+    tick = F.struct(((key % 9 + 1) / 100.0).cast("string").alias("tickSize"))
+    payloads = v.table(spark, d, "part").select(
+        _json(symbol=F.concat(F.lit("P"), key), priceFilter=tick, lotSizeFilter=lot)
+    )
+    return vn.normalise_instruments(payloads)
+
+
+@query(
+    "norm_book_payload",
+    f"""WITH {q.LEVELS} SELECT symbol, epoch_us(max(ts)) // 1000 AS timestamp, count(*) FILTER (side = 'b') AS bids,
+    count(*) FILTER (side = 'a') AS asks, CAST(coalesce(sum(price) FILTER (side = 'b'), 0) AS DOUBLE) AS bid_prices,
+    {R("coalesce(sum(size) FILTER (side = 'a'), 0)", 3)} AS ask_sizes FROM levels GROUP BY symbol, seq""",
+)
+def norm_book_payload(spark, d):
+    """Full books as text numbers."""
+    ms = F.floor(ntz_micros(F.col("ts")) / 1000)
+    payloads = v.book_msgs(spark, d).select(_json(s=F.col("symbol"), ts=ms, b=F.col("b"), a=F.col("a")))
+    books = vn.normalise_book_payload(payloads)
+    total = lambda c, i: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x[i])
+    return books.select(
+        "symbol", "timestamp", F.size("bids").cast("long").alias("bids"), F.size("asks").cast("long").alias("asks"),
+        total("bids", 0).alias("bid_prices"), rnd(total("asks", 1), 3).alias("ask_sizes"),
+    )
+
+
+@query(
+    "norm_prices",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 IN (0, 1) THEN 0.0::DOUBLE ELSE o_totalprice END AS price FROM orders""",
+)
+def norm_prices(spark, d):
+    """Tickers; some lists are empty and some prices are no number."""
+    key = F.col("o_orderkey")
+    price = F.when(key % 6 == 1, "-").otherwise(F.col("o_totalprice").cast("string"))
+    item = F.struct(F.col("o_orderpriority").alias("symbol"), price.alias("lastPrice"))
+    listed = F.when(key % 6 == 0, F.slice(F.array(item), 1, 0)).otherwise(F.array(item, item))
+    return vn.last_prices(v.table(spark, d, "orders").select(key.alias("id"), _json(list=listed)))
+
+
+@query(
+    "norm_balance",
+    """SELECT c_custkey AS account, CASE c_custkey % 3 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN c_acctbal ELSE c_acctbal + 1 END AS balance
+    FROM customer""",
+)
+def norm_balance(spark, d):
+    """Balances by account type: of those that hold the coin the first counts."""
+    key, amount = F.col("c_custkey"), F.col("c_acctbal")
+    coin = lambda name, value: F.struct(F.lit(name).alias("coin"), value.cast("string").alias("walletBalance"))
+    other = F.array(coin("BTC", amount * 2))
+    held = lambda value: F.array(coin("BTC", amount * 2), coin("USDT", value))
+    ranks = F.array(
+        F.struct(F.lit(2).alias("rank"), F.when(key % 3 == 0, other).otherwise(held(amount + 1)).alias("coin")),
+        F.struct(F.lit(1).alias("rank"), F.when(key % 3 == 1, held(amount)).otherwise(other).alias("coin")),
+    )
+    rows = v.table(spark, d, "customer").select(key.alias("account"), F.inline(ranks))
+    return vn.wallet_balance(rows.select("account", "rank", _json(coin=F.col("coin"))))
+
+
+@query(
+    "norm_open_orders",
+    """SELECT o_orderkey AS order_id, o_orderpriority AS symbol, o_totalprice AS price,
+    CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 END AS trigger_price FROM orders""",
+)
+def norm_open_orders(spark, d):
+    """Active orders have no trigger, conditional ones do."""
+    rows = v.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("symbol"),
+        F.col("o_totalprice").alias("price"), "o_orderstatus",
+    )
+    stop = F.col("o_orderstatus") == "F"
+    active = rows.filter(~stop).drop("o_orderstatus")
+    conditional = rows.filter(stop).drop("o_orderstatus").withColumn("trigger_price", F.col("price") * 2)
+    return vn.open_orders(active, conditional)
+
+
 P = st.PARAM_DEFAULTS
 
 

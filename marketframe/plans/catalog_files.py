@@ -77,21 +77,46 @@ def trade_store(spark, d):
 
 
 def write_book_files(spark, d) -> str:
-    """One file of book messages per symbol, cut and empty lines included."""
+    """Files of book messages per symbol and 1,000 numbers, cut and empty lines included."""
     path = new_folder(spark, "book-files")
-    texts = v.book_msgs(spark, d).select("symbol", "seq", book_text().alias("value"))
-    texts.repartition("symbol").sortWithinPartitions("symbol", "seq").select(
-        "value", "symbol"
-    ).write.partitionBy("symbol").text(path)
+    texts = v.book_msgs(spark, d).select(
+        "symbol", F.floor(F.col("seq") / FILE_SEQS).alias("part"), "seq", book_text().alias("value")
+    )
+    texts.repartition("symbol", "part").sortWithinPartitions("symbol", "part", "seq").select(
+        "value", "symbol", "part"
+    ).write.partitionBy("symbol", "part").text(path)
     return path
 
 
+FILE_SEQS = 1000
+
+
 @query(
     "book_files",
-    f"""WITH {q.LEVELS}, n AS (SELECT symbol, seq, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS line FROM msgs)
-    SELECT symbol, line, seq FROM n WHERE seq % 11 <> 5 AND seq % 7 <> 3 AND line % {SAMPLE_LINES} = 0""",
+    f"""WITH {q.LEVELS}, n AS (SELECT symbol, seq, ts,
+      row_number() OVER (PARTITION BY symbol, seq // {FILE_SEQS} ORDER BY seq) AS line FROM msgs),
+    l AS (SELECT symbol, seq, count(*) AS levels, count(*) FILTER (side = 'b') AS bids,
+      sum(price) AS prices, {R('sum(size)', 3)} AS sizes FROM levels GROUP BY 1, 2)
+    SELECT symbol, line, seq, date_trunc('millisecond', ts) AS ts, levels, bids, CAST(prices AS DOUBLE) AS prices, sizes FROM n JOIN l USING (symbol, seq)
+    WHERE seq % 11 <> 5 AND seq % 7 <> 3""",
 )
 def book_files(spark, d):
+    """All messages of the files with their lines and what their levels add up to."""
+    msgs = sb.read_book_lines(spark, write_book_files(spark, d))
+    levels = F.concat("b", "a")
+    total = lambda i: F.aggregate(levels, F.lit(0.0), lambda acc, x: acc + x[i].cast("double"))
+    return msgs.select(
+        "symbol", "line", "seq", "ts", F.size(levels).cast("long").alias("levels"),
+        F.size("b").cast("long").alias("bids"), total(0).alias("prices"), rnd(total(1), 3).alias("sizes"),
+    )
+
+
+@query(
+    "book_file_samples",
+    f"""WITH {q.LEVELS}, n AS (SELECT symbol, seq, row_number() OVER (PARTITION BY symbol, seq // {FILE_SEQS} ORDER BY seq) AS line FROM msgs)
+    SELECT symbol, line, seq FROM n WHERE seq % 11 <> 5 AND seq % 7 <> 3 AND line % {SAMPLE_LINES} = 0""",
+)
+def book_file_samples(spark, d):
     """Messages on every seventh line of their file; lines that do not parse count."""
     msgs = materialise(sb.read_book_lines(spark, write_book_files(spark, d)), "book-messages")
     samples = bk.count_samples(msgs, SAMPLE_LINES)
@@ -144,6 +169,43 @@ def stale_files(spark, d):
     return stale.join(again.select("path"), "path", "left_anti").select(number.alias("id"))
 
 
+@query(
+    "build_stale",
+    f"""WITH {q.TRADES}, r AS (SELECT symbol || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS path,
+      count(*) AS trades FROM trades GROUP BY 1)
+    SELECT path, trades, 1 + CASE WHEN ascii(path) % 2 = 0 THEN 1 ELSE 0 END AS builds FROM r""",
+)
+def build_stale(spark, d):
+    """Three builds of a day's trades per file: one that breaks off, one that mends, one idle.
+
+    The first writes all results but records only the files it got to; the second builds
+    the others again, the third finds nothing to do.
+    """
+    root = new_folder(spark, "stale-build")
+    path = F.concat_ws("/", "symbol", F.col("ts").cast("date").cast("string"))
+    trades = materialise(v.trades(spark, d).withColumn("path", path), "file-trades")
+    files = trades.groupBy("path").agg(F.lit("2024-06-01").cast("timestamp").alias("mtime"))
+    done = F.ascii("path") % 2 == 1
+    runs = []
+
+    def compute(stale):
+        runs.append(stale)
+        return trades.join(stale.select("path"), "path").groupBy("path").agg(F.count("*").alias("trades"))
+
+    st.write_partitions(compute(files), f"{root}/results", ["path"])
+    reached = files.filter(done)
+    rows = st.manifest_rows(reached, "5m", 50, F.current_timestamp())
+    rows.write.mode("append").parquet(f"{root}/manifest")
+    for _ in range(2):
+        st.build_stale(files, st.load_manifest(spark, root), "5m", 50, compute, root)
+    every = runs[0].select("path")
+    for again in runs[1:]:
+        every = every.unionByName(again.select("path"))
+    counts = every.groupBy("path").agg(F.count("*").cast("int").alias("builds"))
+    results = spark.read.schema("trades long, path string").parquet(f"{root}/results")
+    return results.join(counts, "path").select("path", "trades", "builds")
+
+
 @query(
     "history_version",
     f"""WITH {q.TRADES} SELECT symbol, count(*) + 1 AS rows FROM trades GROUP BY 1""",

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.parse import expand
+from ..functions.storage import materialise
 
 # Strategy and model defaults a parameter set may override.
 PARAM_DEFAULTS = {
@@ -74,6 +75,9 @@ def save_positions(
     return stored.join(symbols, ["symbol", "status"], "left_anti").unionByName(current)
 
 
+MANIFEST = "path string, timeframe string, levels int, built_at timestamp"
+
+
 def stale_files(files: DataFrame, manifest: DataFrame, timeframe: str, levels: int) -> DataFrame:
     """Source files that must be recomputed.
 
@@ -98,23 +102,29 @@ def manifest_rows(built: DataFrame, timeframe: str, levels: int, built_at: Colum
 
 
 def build_stale(
-    spark: SparkSession, paths, manifest: DataFrame, timeframe: str, levels: int, compute, root: str
+    files: DataFrame, manifest: DataFrame, timeframe: str, levels: int, compute, root: str
 ) -> DataFrame:
-    """Compute the stale files among ``paths`` and record them; returns the manifest.
+    """Compute the stale ones of ``files`` and record them; returns the manifest.
 
-    ``compute(paths)`` gives rows with a ``path`` column.  Results replace the file's
-    own partition under ``root/results`` before the manifest grows, so a build that
-    breaks off is repeated and one that is recorded is complete.
+    ``files``: ``path``, ``mtime``, as ``file_listing`` gives them.  ``compute(stale)`` gets
+    the stale rows as a table and gives rows with a ``path`` column.  Results replace their
+    file's own partition under ``root/results`` before the manifest under ``root/manifest``
+    grows, so a build that breaks off is repeated and one that is recorded is complete.
+    Paths stay on the executors.
     """
-    stale = stale_files(file_listing(spark, paths), manifest, timeframe, levels)
-    found = [r["path"] for r in stale.select("path").collect()]
-    if not found:
-        return manifest
-    write_partitions(compute(found), f"{root}/results", ["path"])
-    names = spark.createDataFrame([(p,) for p in found], "path string")
-    rows = manifest_rows(names, timeframe, levels, F.current_timestamp())
-    rows.write.mode("append").parquet(f"{root}/manifest")
-    return spark.read.parquet(f"{root}/manifest")
+    spark = files.sparkSession
+    stale = materialise(stale_files(files, manifest, timeframe, levels), "stale-files")
+    if not stale.isEmpty():
+        write_partitions(compute(stale), f"{root}/results", ["path"])
+        rows = manifest_rows(stale, timeframe, levels, F.current_timestamp())
+        rows.write.mode("append").parquet(f"{root}/manifest")
+    return load_manifest(spark, root)
+
+
+def load_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The manifest under ``root``; empty before the first build."""
+    spark.createDataFrame([], MANIFEST).write.mode("append").parquet(f"{root}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
 
 def file_listing(spark: SparkSession, paths) -> DataFrame:

@@ -120,3 +120,58 @@ def test_json_round_trip_of_raw_feed(spark, tmp_path):
     run(tr.normalise_agg_trades(raw), tmp_path, "raw_trades")
     r = spark.table("raw_trades").first()
     assert (r["side"], r["grossValue"], r["timestamp"]) == ("Sell", 6.0, 1704067200.0)
+
+
+def closed(spark, days, first=0, symbol="A"):
+    """One bar an hour, all day."""
+    rows = [(symbol, T0 + timedelta(hours=24 * first + h), 1.0 + h) for h in range(24 * days)]
+    bars = spark.createDataFrame(rows, "symbol string, bar timestamp_ntz, close double")
+    return bars.withColumns({c: F.col("close") for c in ("open", "high", "low", "volume", "taker_buy_ratio")})
+
+
+def test_history_reads_only_the_days_of_the_window(spark, tmp_path):
+    sink = BarClose(str(tmp_path), "1h", groups=(), window=30)
+    sink._store(closed(spark, 40).withColumn("batch", F.lit(0).cast("long")), "b0")
+    closed(spark, 1).select("symbol", F.col("bar").cast("date").alias("began")).write.parquet(f"{tmp_path}/symbols")
+    past = sink.recent(closed(spark, 1, first=40))
+    plan = past._jdf.queryExecution().executedPlan().toString()
+    scans = [line.split("PartitionFilters") for line in plan.splitlines() if "PartitionFilters" in line]
+    days = [filters for columns, filters in scans if "dt#" in columns]
+    assert days and all("dt#" in filters.split("]")[0] for filters in days)
+    dates = past.agg(F.min("bar")).first()[0]
+    assert (T0 + timedelta(days=40)) - dates <= timedelta(days=4)
+    # a symbol whose bars have gaps gets the older days too
+    sparse = closed(spark, 40, symbol="B").filter("dayofyear(bar) % 5 = 1")
+    sink._store(sparse.withColumn("batch", F.lit(1).cast("long")), "b1")
+    sparse.select("symbol", F.col("bar").cast("date").alias("began")).write.mode("append").parquet(f"{tmp_path}/symbols")
+    new = closed(spark, 1, first=40, symbol="B")
+    assert sink.recent(new).filter("symbol = 'B'").count() >= 30
+
+
+def test_retries_and_compaction_keep_every_bar_once(spark, tmp_path):
+    sink = BarClose(str(tmp_path), "1h", groups=(), window=30, compact_parts=3)
+    hours = closed(spark, 1)
+    for k in range(6):
+        part = hours.filter(F.hour("bar") % 6 == k)
+        sink(part, k)
+        if k % 2:
+            sink(part, k)
+    sink(hours.filter("false"), 6)
+    day = sink._folders(spark, f"{tmp_path}/history/dt=2024-01-01")
+    assert 0 < len(day) <= 4
+    got = sink.history(hours).orderBy("bar").collect()
+    assert [(r.bar, r.close) for r in got] == [(r.bar, r.close) for r in hours.orderBy("bar").collect()]
+    assert {r.batch: 0 for r in got} == dict.fromkeys(range(6), 0)
+    assert spark.read.parquet(f"{tmp_path}/features").count() == 24
+
+
+def test_replay_runs_arrival_by_arrival(spark):
+    from marketframe.streaming import replay
+
+    rows = closed(spark, 2).withColumn("seq", F.hour("bar"))
+    feed = replay.arrivals(rows, "bar", 4, late=F.col("seq") == 3, repeated=F.col("seq") == 5)
+    seen = []
+    replay.run_batches(spark, feed, lambda df, k: seen.append((k, df.count())))
+    assert sum(n for _, n in seen) == 48 + 2 and len(seen) == 5 - 1
+    assert feed.filter("seq = 3 and dayofyear(bar) = 1").first()["arrival"] == 1
+    assert replay.arrivals(rows.filter("false"), "bar", 4).count() == 0
