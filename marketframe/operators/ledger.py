@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.joins import small_side_join
 from ..functions.num import to_step
-from ..functions.scan import Running, islands, running, running_peak
+from ..functions.scan import Running, running, running_peak
 from ..functions.storage import materialise
 from ..functions.timeutil import ntz_micros
 
@@ -352,60 +354,130 @@ def conditional_orders(orders: DataFrame, pending: DataFrame) -> DataFrame:
     )
 
 
+def _take_first(rows: pd.DataFrame) -> list[tuple]:
+    """``(stop, order)`` for each own stop of a chunk that can be decided; order None if not yet.
+
+    Stops come in ledger order.  A stop of another chunk is not decided here, and neither is
+    one that waits for it: whatever it might take is blocked for later stops.
+    """
+    stops = rows[rows["src"] == 0].sort_values("rank_no")
+    orders = rows[rows["src"] == 1].sort_values(["price", "no"])
+    price, qty = orders["price"].to_numpy(float), orders["qty"].to_numpy(float)
+    numbers = orders["no"].to_numpy()
+    place = np.empty(len(orders), dtype=np.int64)
+    place[np.argsort(orders["order_id"].to_numpy(), kind="stable")] = np.arange(len(orders))
+    used, blocked = np.zeros(len(orders), dtype=bool), np.zeros(len(orders), dtype=bool)
+    out = []
+    for s in stops.itertuples(index=False):
+        lo, hi = np.searchsorted(price, [s.price * (1 - 2 * PRICE_TOLERANCE), s.price * (1 + 2 * PRICE_TOLERANCE)])
+        near = np.arange(lo, hi)
+        fits = near[
+            ~used[near]
+            & (np.abs(qty[near] - s.qty) < QTY_TOLERANCE)
+            & (np.abs(price[near] - s.price) < s.price * PRICE_TOLERANCE)
+        ]
+        if not len(fits):
+            continue
+        first = fits[np.argmin(place[fits])]
+        if s.own and not blocked[first]:
+            used[first] = True
+            out.append((s.no, numbers[first]))
+            continue
+        blocked[fits] = True
+        if s.own:
+            out.append((s.no, None))
+    return out
+
+
 def match_stops(
-    stops: DataFrame, orders: DataFrame, keys: Sequence[str] = ("account", "symbol")
+    stops: DataFrame,
+    orders: DataFrame,
+    keys: Sequence[str] = ("account", "symbol"),
+    chunk_rows: int = 20_000,
 ) -> DataFrame:
     """Greedy one-to-one cover of required stops by existing orders.
 
-    Stops take, in ledger order, the first unused order of their side within
-    the quantity and price tolerances.  Prices further apart than the tolerance
-    cannot meet, so each (key, side) falls into independent price clusters;
-    the ordered fold runs inside one cluster.
+    Stops take, in ledger order, the first unused order of their side within the quantity
+    and price tolerances.  The rows of a key and side are cut by price into chunks of
+    ``chunk_rows``; a chunk also sees the rows of others within reach of its prices.  Rounds
+    decide in each chunk all stops that do not depend on undecided stops of another one, so
+    their number is that of the chunk borders that a chain of dependent stops crosses, most
+    often one.  Rows with a null price or quantity match nothing.  Rows at one price lie in
+    reach of each other and meet in one task: a venue bounds the open stops of an account
+    at a price.
     """
     k = [*keys, "side"]
     order_type = orders.schema["order_id"].dataType
-    a = stops.select(
-        *k, F.lit(0).alias("src"), F.col("trigger_price").cast("double").alias("price"),
-        F.col("qty").cast("double").alias("qty"),
-        F.struct("entry_time", "trade_id", "type").alias("rank"), F.lit(None).cast(order_type).alias("order_id"),
+    type_type = stops.schema["type"].dataType
+    ranked = running(
+        materialise(
+            stops.select(
+                *k, F.col("trigger_price").cast("double").alias("price"),
+                F.col("qty").cast("double").alias("qty"), "entry_time", "trade_id", "type",
+            ),
+            "required-stops",
+        ),
+        k, F.col("entry_time").cast("date"), ["entry_time", "trade_id", "type"],
+        [Running("rank_no", "count", F.lit(1))],
+    )
+    a = ranked.select(
+        *k, F.lit(0).alias("src"), "price", "qty", "rank_no", "trade_id", "type",
+        F.lit(None).cast(order_type).alias("order_id"),
     )
     b = orders.select(
         *k, F.lit(1).alias("src"), F.col("trigger_price").cast("double").alias("price"),
-        F.col("qty").cast("double").alias("qty"),
-        F.lit(None).cast(a.schema["rank"].dataType).alias("rank"), "order_id",
-    )
-    rows = materialise(a.unionByName(b), "stop-rows")
-    clusters = islands(
-        rows, k, F.floor(F.ln("price") * 100), "price",
-        lambda a, b: b - a > b * PRICE_TOLERANCE * 1.01,
-    )
-    want = F.array_sort(
-        F.collect_list(F.when(F.col("src") == 0, F.struct("rank", "price", "qty")))
-    )
-    have = F.array_sort(
-        F.collect_list(F.when(F.col("src") == 1, F.struct("order_id", "price", "qty")))
-    )
-    grouped = clusters.groupBy(*k, "island").agg(want.alias("want"), have.alias("have"))
-    pair = f"array<struct<rank:{a.schema['rank'].dataType.simpleString()},order_id:{order_type.simpleString()}>>"
-
-    def take(state, stop):
-        used = F.transform(state, lambda m: m["order_id"])
-        fits = lambda o: (
-            ~F.array_contains(used, o["order_id"])
-            & (F.abs(o["qty"] - stop["qty"]) < QTY_TOLERANCE)
-            & (F.abs(o["price"] - stop["price"]) < stop["price"] * PRICE_TOLERANCE)
+        F.col("qty").cast("double").alias("qty"), F.lit(None).cast("long").alias("rank_no"),
+        F.lit(None).cast(a.schema["trade_id"].dataType).alias("trade_id"),
+        F.lit(None).cast(type_type).alias("type"), "order_id",
+    )
+    rows = materialise(
+        a.unionByName(b)
+        .filter((F.col("price") > 0) & F.col("qty").isNotNull())
+        .withColumn("no", F.monotonically_increasing_id()),
+        "stop-rows",
+    )
+    placed = materialise(
+        running(
+            rows, k, F.floor(F.ln("price") * 100), ["price", "no"],
+            [Running("at", "count", F.lit(1), inclusive=False)],
+        ).withColumn("chunk", F.floor(F.col("at") / chunk_rows)),
+        "stop-chunks",
+    )
+    reach = 1 + 4 * PRICE_TOLERANCE
+    borders = placed.groupBy(*k, "chunk").agg(
+        (F.min("price") / reach).alias("lo"), (F.max("price") * reach).alias("hi")
+    ).groupBy(*k).agg(F.collect_list(F.struct("chunk", "lo", "hi")).alias("chunks"))
+    borders = borders.select(*[F.col(c).alias(f"_{c}") for c in k], "chunks")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in k]
+    price = F.col("price")
+    seen_by = F.filter("chunks", lambda c: (c["lo"] <= price) & (price <= c["hi"]))
+    seen = materialise(
+        placed.join(borders, same)
+        .withColumn("seen", F.explode(F.transform(seen_by, lambda c: c["chunk"])))
+        .select(*k, "src", "price", "qty", "rank_no", "order_id", "no", "seen",
+                (F.col("seen") == F.col("chunk")).alias("own")),
+        "stop-reach",
+    )
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame(_take_first(pdf), columns=["stop", "order"], dtype=object)
+        return found.astype({"stop": "Int64", "order": "Int64"})
+
+    pairs = None
+    while True:
+        found = materialise(
+            seen.groupBy(*k, "seen").applyInPandas(decide, "stop long, order long"), "stop-round"
         )
-        first = F.get(F.filter(F.col("have"), fits), F.lit(0))["order_id"]
-        return F.when(
-            first.isNotNull(),
-            F.concat(state, F.array(F.struct(stop["rank"].alias("rank"), first.alias("order_id")))),
-        ).otherwise(state)
-
-    folded = F.aggregate("want", F.array().cast(pair), take)
+        taken = found.filter(F.col("order").isNotNull())
+        pairs = taken if pairs is None else pairs.unionByName(taken)
+        if found.filter(F.col("order").isNull()).isEmpty():
+            break
+        gone = taken.select(F.explode(F.array("stop", "order")).alias("no"))
+        seen = materialise(seen.join(gone, "no", "left_anti"), "stop-reach")
     return (
-        grouped.filter((F.size("want") > 0) & (F.size("have") > 0))
-        .select(*k, F.explode(folded).alias("m"))
-        .select(*k, "m.rank.trade_id", "m.rank.type", "m.order_id")
+        pairs.join(rows.select(*k, "trade_id", "type", F.col("no").alias("stop")), "stop")
+        .join(rows.select("order_id", F.col("no").alias("order")), "order")
+        .select(*k, "trade_id", "type", "order_id")
     )
 
 

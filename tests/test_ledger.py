@@ -141,6 +141,45 @@ def test_stop_matching_equals_greedy(spark, seed):
     assert got == greedy(stops, orders) and got
 
 
+STOPS = "account long, symbol string, side string, trade_id long, type string, qty double, trigger_price double, entry_time timestamp_ntz"
+ORDERS = "account long, symbol string, side string, order_id long, qty double, trigger_price double"
+
+
+@pytest.mark.parametrize("chunk", [3, 7, 1000])
+def test_stop_matching_over_chunk_borders(spark, chunk):
+    """A chain of prices in which every stop reaches its neighbours' orders."""
+    rng = np.random.default_rng(chunk)
+    ladder = [100.0 * (1 + 0.0004) ** i for i in range(40)]
+    stops = [(i, "sl", 1.0, p) for i, p in enumerate(ladder)]
+    orders = [(int(100 + j), 1.0, ladder[i] * 1.00005) for j, i in enumerate(rng.permutation(40))]
+    orders += [(200 + i, 1.0, ladder[20]) for i in range(6)]
+    extra = [(1, "X", "Sell", 900, "sl", None, 100.0, T0), (1, None, "Sell", 901, "sl", 1.0, 100.0, T0)]
+    s = spark.createDataFrame([(1, "X", "Sell", i, t, q, p, T0) for i, t, q, p in stops] + extra, STOPS)
+    o = spark.createDataFrame(
+        [(1, "X", "Sell", i, q, p) for i, q, p in orders] + [(1, None, "Sell", 950, 1.0, 100.0)], ORDERS
+    )
+    got = sorted((r["trade_id"], r["type"], r["order_id"]) for r in lg.match_stops(s, o, chunk_rows=chunk).collect())
+    assert got == sorted([*greedy(stops, orders), (901, "sl", 950)])
+    assert lg.match_stops(s.filter("false"), o).count() == 0
+    assert lg.match_stops(s, o.filter("false")).count() == 0
+
+
+def test_long_ladder_of_chained_prices(spark):
+    """100,000 prices of which each is within reach of the next, one order for each."""
+    n = 100_000
+    rows = spark.range(n).withColumn("p", 100.0 * F.pow(F.lit(1.0002), F.col("id") % 50_000))
+    side = F.when(F.col("id") < 50_000, "Sell").otherwise("Buy")
+    s = rows.select(
+        F.lit(1).alias("account"), F.lit("X").alias("symbol"), side.alias("side"), F.col("id").alias("trade_id"),
+        F.lit("sl").alias("type"), F.lit(1.0).alias("qty"), F.col("p").alias("trigger_price"),
+        F.lit(T0).alias("entry_time"),
+    )
+    o = s.select("account", "symbol", "side", F.col("trade_id").alias("order_id"), "qty", "trigger_price")
+    got = lg.match_stops(s, o, chunk_rows=10_000)
+    assert got.count() == n and got.filter("trade_id <> order_id").count() == 0
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stop_sync_keeps_one_cancels_one_places_one(spark):
     trades = spark.createDataFrame([trade(1, sl=90.0, tp=110.0)], TRADE)
     venue = spark.createDataFrame([(1, "X", "Buy", 1.0, 1)], "account long, symbol string, side string, size double, position_idx int")
