@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -354,41 +354,55 @@ def conditional_orders(orders: DataFrame, pending: DataFrame) -> DataFrame:
     )
 
 
-def _take_first(rows: pd.DataFrame) -> list[tuple]:
+def _take_first(stops: list[tuple], orders: list[tuple]) -> list[tuple]:
     """``(stop, order)`` for each own stop of a chunk that can be decided; order None if not yet.
 
+    ``stops``: ``(rank_no, no, price, qty, own)``; ``orders``: ``(price, no, qty, order_id)``.
     Stops come in ledger order.  A stop of another chunk is not decided here, and neither is
     one that waits for it: whatever it might take is blocked for later stops.
     """
-    stops = rows[rows["src"] == 0].sort_values("rank_no")
-    orders = rows[rows["src"] == 1].sort_values(["price", "no"])
-    price, qty = orders["price"].to_numpy(float), orders["qty"].to_numpy(float)
-    numbers = orders["no"].to_numpy()
-    place = np.empty(len(orders), dtype=np.int64)
-    place[np.argsort(orders["order_id"].to_numpy(), kind="stable")] = np.arange(len(orders))
-    used, blocked = np.zeros(len(orders), dtype=bool), np.zeros(len(orders), dtype=bool)
+    orders = sorted(orders, key=lambda o: o[:2])
+    prices = [o[0] for o in orders]
+    used, blocked = [False] * len(orders), [False] * len(orders)
     out = []
-    for s in stops.itertuples(index=False):
-        lo, hi = np.searchsorted(price, [s.price * (1 - 2 * PRICE_TOLERANCE), s.price * (1 + 2 * PRICE_TOLERANCE)])
-        near = np.arange(lo, hi)
-        fits = near[
-            ~used[near]
-            & (np.abs(qty[near] - s.qty) < QTY_TOLERANCE)
-            & (np.abs(price[near] - s.price) < s.price * PRICE_TOLERANCE)
+    for _, no, price, qty, own in sorted(stops):
+        lo = bisect_left(prices, price * (1 - 2 * PRICE_TOLERANCE))
+        hi = bisect_right(prices, price * (1 + 2 * PRICE_TOLERANCE))
+        fits = [
+            i
+            for i in range(lo, hi)
+            if not used[i]
+            and abs(orders[i][2] - qty) < QTY_TOLERANCE
+            and abs(prices[i] - price) < price * PRICE_TOLERANCE
         ]
-        if not len(fits):
+        if not fits:
             continue
-        first = fits[np.argmin(place[fits])]
-        if s.own and not blocked[first]:
+        first = min(fits, key=lambda i: orders[i][3])
+        if own and not blocked[first]:
             used[first] = True
-            out.append((s.no, numbers[first]))
+            out.append((no, orders[first][1]))
             continue
-        blocked[fits] = True
-        if s.own:
-            out.append((s.no, None))
+        for i in fits:
+            blocked[i] = True
+        if own:
+            out.append((no, None))
     return out
 
 
+def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All chunks of a bucket, one after the other."""
+    chunks: dict[int, tuple[list, list]] = {}
+    for r in pdf.itertuples(index=False):
+        stops, orders = chunks.setdefault(r.group, ([], []))
+        if r.src == 0:
+            stops.append((r.rank_no, r.no, r.price, r.qty, r.own))
+        else:
+            orders.append((r.price, r.no, r.qty, r.order_id))
+    out = [pair for stops, orders in chunks.values() if orders for pair in _take_first(stops, orders)]
+    found = pd.DataFrame(out, columns=["stop", "order"], dtype=object)
+    return found.astype({"stop": "Int64", "order": "Int64"})
+
+
 def match_stops(
     stops: DataFrame,
     orders: DataFrame,
@@ -454,19 +468,21 @@ def match_stops(
     seen = materialise(
         placed.join(borders, same)
         .withColumn("seen", F.explode(F.transform(seen_by, lambda c: c["chunk"])))
-        .select(*k, "src", "price", "qty", "rank_no", "order_id", "no", "seen",
-                (F.col("seen") == F.col("chunk")).alias("own")),
+        .select(
+            "src", "price", "qty", "rank_no", "order_id", "no",
+            F.xxhash64(*k, "seen").alias("group"), (F.col("seen") == F.col("chunk")).alias("own"),
+        ),
         "stop-reach",
     )
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(_take_first(pdf), columns=["stop", "order"], dtype=object)
-        return found.astype({"stop": "Int64", "order": "Int64"})
-
+    # small chunks share a task: a bucket holds about ``chunk_rows`` rows, or one chunk
+    buckets = seen.count() // chunk_rows + 1
+    bucket = F.pmod("group", F.lit(buckets))
     pairs = None
     while True:
         found = materialise(
-            seen.groupBy(*k, "seen").applyInPandas(decide, "stop long, order long"), "stop-round"
+            seen.groupBy(bucket.alias("bucket")).applyInPandas(_decide, "stop long, order long"),
+            "stop-round",
         )
         taken = found.filter(F.col("order").isNotNull())
         pairs = taken if pairs is None else pairs.unionByName(taken)
