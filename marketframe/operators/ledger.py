@@ -357,7 +357,7 @@ def conditional_orders(orders: DataFrame, pending: DataFrame) -> DataFrame:
 def _take_first(stops: list[tuple], orders: list[tuple]) -> list[tuple]:
     """``(stop, order)`` for each own stop of a chunk that can be decided; order None if not yet.
 
-    ``stops``: ``(rank_no, no, price, qty, own)``; ``orders``: ``(price, no, qty, order_id)``.
+    ``stops``: ``(rank, no, price, qty, own)``; ``orders``: ``(price, no, qty, order_id)``.
     Stops come in ledger order.  A stop of another chunk is not decided here, and neither is
     one that waits for it: whatever it might take is blocked for later stops.
     """
@@ -395,7 +395,7 @@ def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
     for r in pdf.itertuples(index=False):
         stops, orders = chunks.setdefault(r.group, ([], []))
         if r.src == 0:
-            stops.append((r.rank_no, r.no, r.price, r.qty, r.own))
+            stops.append(((r.entered, r.trade_id, r.type), r.no, r.price, r.qty, r.own))
         else:
             orders.append((r.price, r.no, r.qty, r.order_id))
     out = [pair for stops, orders in chunks.values() if orders for pair in _take_first(stops, orders)]
@@ -423,26 +423,20 @@ def match_stops(
     k = [*keys, "side"]
     order_type = orders.schema["order_id"].dataType
     type_type = stops.schema["type"].dataType
-    ranked = running(
-        materialise(
-            stops.select(
-                *k, F.col("trigger_price").cast("double").alias("price"),
-                F.col("qty").cast("double").alias("qty"), "entry_time", "trade_id", "type",
-            ),
-            "required-stops",
-        ),
-        k, F.col("entry_time").cast("date"), ["entry_time", "trade_id", "type"],
-        [Running("rank_no", "count", F.lit(1))],
-    )
-    a = ranked.select(
-        *k, F.lit(0).alias("src"), "price", "qty", "rank_no", "trade_id", "type",
-        F.lit(None).cast(order_type).alias("order_id"),
+    id_type = stops.schema["trade_id"].dataType
+    # rows of the other source get values that are never read; nulls would turn ids to doubles
+    none = lambda kind: F.lit(0).cast(kind)
+    # an unknown entry time comes first
+    entered = F.coalesce(F.unix_micros(F.col("entry_time").cast("timestamp")), F.lit(-(1 << 52)))
+    a = stops.select(
+        *k, F.lit(0).alias("src"), F.col("trigger_price").cast("double").alias("price"),
+        F.col("qty").cast("double").alias("qty"), entered.alias("entered"), "trade_id", "type",
+        none(order_type).alias("order_id"),
     )
     b = orders.select(
         *k, F.lit(1).alias("src"), F.col("trigger_price").cast("double").alias("price"),
-        F.col("qty").cast("double").alias("qty"), F.lit(None).cast("long").alias("rank_no"),
-        F.lit(None).cast(a.schema["trade_id"].dataType).alias("trade_id"),
-        F.lit(None).cast(type_type).alias("type"), "order_id",
+        F.col("qty").cast("double").alias("qty"), none("long").alias("entered"),
+        none(id_type).alias("trade_id"), none(type_type).alias("type"), "order_id",
     )
     rows = materialise(
         a.unionByName(b)
@@ -469,7 +463,7 @@ def match_stops(
         placed.join(borders, same)
         .withColumn("seen", F.explode(F.transform(seen_by, lambda c: c["chunk"])))
         .select(
-            "src", "price", "qty", "rank_no", "order_id", "no",
+            "src", "price", "qty", "entered", "trade_id", "type", "order_id", "no",
             F.xxhash64(*k, "seen").alias("group"), (F.col("seen") == F.col("chunk")).alias("own"),
         ),
         "stop-reach",
