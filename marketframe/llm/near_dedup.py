@@ -386,9 +386,13 @@ def _normal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``node, text`` (normalised) of the nodes in ``wanted`` (``node, first_id``)."""
-    rows = pick(docs, first_id=doc_id, text=text).withColumn("first_id", F.col("first_id").cast("long"))
-    found = wanted.join(rows, wanted["first_id"].eqNullSafe(rows["first_id"])).select("node", "text")
+    """``node, text`` (normalised) of the nodes in ``wanted`` (``node, same``).
+
+    ``same`` names one row of the node, so many texts of one id, or of none, do not meet.
+    """
+    rows = pick(docs, first_id=doc_id, text=text)
+    rows = rows.select(same_row(F.col("first_id"), F.col("text")).alias("same"), "text")
+    found = wanted.join(rows, "same").select("node", "text")
     return found.mapInArrow(_normal_texts, "node binary, text binary").dropDuplicates(["node"])
 
 
@@ -400,9 +404,7 @@ def classified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     # ids before nulls, then text, then one of the equal rows
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "same", "row")
     nodes = signed.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"),
-        F.count(F.lit(1)).alias("copies"),
-        F.min(order).alias("least"),
+        F.count(F.lit(1)).alias("copies"), F.min(order).alias("least")
     )
     nodes = materialise(nodes, "nodes")
     # copies fold map-side before the join, so a group of them is one row per task
@@ -416,7 +418,8 @@ def classified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     stars = materialise(likely(stars.distinct(), sketches), "likely-stars")
 
     def read_texts(wanted: DataFrame, tag: str) -> DataFrame:
-        return materialise(texts_of(docs, nodes.join(wanted, "node"), doc_id, text), tag)
+        rows = nodes.join(wanted, "node").select("node", F.col("least.same").alias("same"))
+        return materialise(texts_of(docs, rows, doc_id, text), tag)
 
     ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
     links = materialise(verified_stars(stars, read_texts(ends, "star-texts")), "star-links")
