@@ -3,17 +3,18 @@ r"""Line deduplication by the number of distinct sites that carry a line.
 Lines are compared by a 128-bit hash of the trimmed line.  One HyperLogLog sketch
 of sites per line hash is built map-side and merged by aggregation.  Lines whose
 estimate lies clearly below the threshold stay, clearly above it they are
-boilerplate, and only those near it get an exact count of distinct sites.  Of a
-boilerplate line the occurrence in the smallest document id (first position)
-stays, so no text leaves the corpus altogether; all others are removed.
+boilerplate, and only those near it get an exact count of distinct sites.  The
+threshold is a share of all sites of the input, at least ``LEAST_SITES``.  Of a
+boilerplate line the occurrence in the smallest document id (first row, first
+position) stays, so no text leaves the corpus altogether; all others are removed.
 
 A frequent line is one row per map task from the first aggregation on.  Removed
 positions come back as a list per document, no longer than its lines.
 
 Defined results: blank lines are never boilerplate; a null site is one site of its
-own; null text stays null and an empty text has one blank line; repeated rows
-behave alike; an empty table gives no rows; other columns pass through and may
-have any name.
+own; null text stays null and an empty text has one blank line; of different rows
+under one id, or under none, one keeps a line; repeated rows behave alike; an empty
+table gives no rows; other columns pass through and may have any name.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from marketframe.functions.storage import materialise
 from marketframe.llm.common import column, pick, table
 from marketframe.llm.registry import query
 
-#: Distinct sites from which a line counts as boilerplate.
-MIN_SITES = 10
+#: Percentage of all distinct sites from which a line counts as boilerplate, and the
+#: number of sites it has at least.
+SITE_PERCENT = 40
+LEAST_SITES = 3
 #: HyperLogLog precision (2^k registers) and the half width of "near", in standard errors.
 LG_K = 8
 NEAR = 4.0
@@ -62,6 +65,13 @@ def _row_key(doc_id, site, text):
     )
 
 
+def site_threshold(docs: DataFrame, site: str = "source") -> int:
+    """Distinct sites from which a line of ``docs`` counts as boilerplate."""
+    # a null site is a site; one number comes back
+    sites = pick(docs, site=site).distinct().count()
+    return max(LEAST_SITES, (SITE_PERCENT * sites + 99) // 100)
+
+
 def boilerplate_lines(lines: DataFrame, min_sites: int, lg_k: int, near: float) -> DataFrame:
     """``h1, h2, keep`` of lines on at least ``min_sites`` sites; ``keep`` is where one stays."""
     error = near * 1.04 / 2 ** (lg_k / 2)
@@ -69,7 +79,7 @@ def boilerplate_lines(lines: DataFrame, min_sites: int, lg_k: int, near: float)
         lines.groupBy("h1", "h2")
         .agg(
             F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"),
-            F.min(F.struct("doc_id", "pos")).alias("keep"),
+            F.min(F.struct("doc_id", "r1", "pos")).alias("keep"),
         )
         .filter(F.col("sites") >= min_sites * (1 - error)),
         "line-spread",
@@ -90,7 +100,7 @@ def boilerplate_lines(lines: DataFrame, min_sites: int, lg_k: int, near: float)
 
 def remove_boilerplate(
     docs: DataFrame,
-    min_sites: int = MIN_SITES,
+    min_sites: int | None = None,
     lg_k: int = LG_K,
     near: float = NEAR,
     doc_id: str = "doc_id",
@@ -100,10 +110,13 @@ def remove_boilerplate(
     """All documents as ``doc`` (struct of their columns), ``text, n_lines, n_removed, emptied``.
 
     ``emptied``: the document had lines that are not blank and all were removed.
+    ``min_sites`` is ``site_threshold`` of the input unless given.
     """
+    if min_sites is None:
+        min_sites = site_threshold(docs, site)
     lines = _lines(docs, doc_id, text, site)
     flagged = materialise(boilerplate_lines(lines, min_sites, lg_k, near), "line-flags")
-    here = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("pos") == F.col("keep.pos"))
+    here = (F.col("r1") == F.col("keep.r1")) & (F.col("pos") == F.col("keep.pos"))
     removed = (
         lines.join(flagged, ["h1", "h2"])
         .filter(~here)
@@ -146,9 +159,14 @@ WITH line AS (
 trimmed AS (
   SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS k FROM line
 ),
+need AS (
+  SELECT greatest({LEAST_SITES},
+                  ({SITE_PERCENT} * count(DISTINCT coalesce('s' || source, 'n')) + 99) // 100) AS n
+  FROM documents
+),
 spread AS (
   SELECT k, min((doc_id, pos)) AS keep FROM trimmed WHERE k <> ''
-  GROUP BY k HAVING count(DISTINCT coalesce('s' || source, 'n')) >= {MIN_SITES}
+  GROUP BY k HAVING count(DISTINCT coalesce('s' || source, 'n')) >= (SELECT n FROM need)
 ),
 marked AS (
   SELECT t.doc_id, t.pos, t.line, t.k,

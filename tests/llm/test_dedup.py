@@ -150,8 +150,8 @@ def test_tiles_find_links_that_hubs_miss(spark):
     # nobody is linked yet: all keys are open, and tiles alone must find the classes
     none = spark.createDataFrame([], "node binary, label binary")
     rows = near_dedup.unfinished(keyed, none)
-    nodes = signed.filter("node is not null").selectExpr("node", "doc_id first_id")
-    found = near_dedup.texts_of(docs, nodes, "doc_id", "text")
+    nodes = signed.filter("node is not null").selectExpr("node", "doc_id first_id", "same")
+    found = near_dedup.texts_of(docs, nodes.drop("first_id"), "doc_id", "text")
     links = near_dedup._meet(rows.join(found, "node"), near_dedup._link_tile, "a binary, b binary")
     labels = near_dedup.classes(links).join(nodes, "node").collect()
     smallest = {}
@@ -249,6 +249,34 @@ def test_counted_words_and_short_texts():
     assert len(np.unique(shingles.multiset(b" ".join([b"a"] * 30)))) == 26
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_texts_of_many_rows_under_one_id_stay_linear(spark, doc_id):
+    rows = [(doc_id, " ".join(f"w{i}x{k}" for k in range(8))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    signed = near_dedup.signatures(docs, "doc_id", "text").select("node", "same")
+    met = docs.select(near_dedup.same_row(F.col("doc_id"), F.col("text")).alias("same")).join(signed, "same")
+    assert met.count() == 300
+    assert near_dedup.texts_of(docs, signed, "doc_id", "text").count() == 300
+    got = near_dedup.near_duplicates(docs).collect()
+    assert len(got) == 300 and all(r.kept and r.class_size == 1 for r in got)
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_line_dedup_of_rows_under_one_id(spark, doc_id):
+    rows = [(doc_id, f"same line\nown {i}", f"s{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = line_dedup.remove_boilerplate(docs).collect()
+    assert sorted(r.n_removed for r in out) == [0] + [1] * 11
+
+
+@pytest.mark.parametrize(
+    "sites, need", [(0, 3), (1, 3), (5, 3), (7, 3), (8, 4), (20, 8), (100, 40), (1001, 401)]
+)
+def test_line_threshold_is_a_share_of_all_sites(spark, sites, need):
+    docs = spark.range(sites * 2).selectExpr(f"nullif(id % {max(sites, 1)}, 0L) || '' AS source")
+    assert line_dedup.site_threshold(docs) == need
+
+
 def test_line_dedup_near_threshold_counts_exactly(spark):
     rows, doc = [], 0
     for n in range(1, 31):
