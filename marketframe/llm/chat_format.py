@@ -3,8 +3,10 @@ r"""Chat formatting: schema fingerprints choose declarative mappings to canonica
 A record is a VARIANT.  Its fingerprint is a hash of its nested field paths (the
 variant's schema with value types removed).  Each known layout is declared as the
 paths it has and where its turns are; the fingerprint of a record selects the
-declaration, whose expression gives an array of ``role, text`` turns.  A record of
-an unknown layout is kept, with null turns and its fingerprint.
+declaration, whose expression gives an array of ``role, text`` turns.  A record with
+further fields selects the declaration with most paths whose fingerprint equals that
+of the declared paths found in the record; an empty list is a layout of no turns.  A
+record of an unknown layout is kept, with null turns and its fingerprint.
 
 The template writes ``<|im_start|>role\ntext<|im_end|>\n`` per turn.  Inside roles
 and texts ``\`` becomes ``\\`` and ``<|`` becomes ``<\|``, so a control string
@@ -15,7 +17,7 @@ Defined results: null text and null role count as empty; turns are ordered by tu
 number, then role, then text, with null first; repeated rows are repeated turns; rows
 of a null conversation id form one conversation; an empty table gives no rows; other
 columns are ignored.  A conversation is one output string, so its turns meet in one
-row by definition.
+row by definition; the work on it grows with its length and not with its square.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ START, END = "<|im_start|>", "<|im_end|>"
 #: Roles whose text is under the loss mask.
 LEARNED = "assistant"
 
+#: Turns whose lengths are summed in one list.
+BLOCK = 128
+
 _TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -54,6 +59,31 @@ class Layout:
     text_field: str = ""
     roles: Sequence[tuple[str, str]] = ()
 
+    @property
+    def declared(self) -> list[str]:
+        """The JSON paths of the fields that the layout needs."""
+        if self.pairs:
+            return [path for _, path in self.pairs]
+        return [f"{self.list_at}[*].{field}" for field in (self.role_field, self.text_field)]
+
+    def present(self, record: Column) -> Column:
+        """Those of ``declared`` that the record has, whatever other fields it has."""
+        if self.pairs:
+            found = [
+                F.when(F.try_variant_get(record, path, "variant").isNotNull(), F.lit(path))
+                for _, path in self.pairs
+            ]
+            return F.array_compact(F.array(*found))
+        messages = F.try_variant_get(record, self.list_at, "array<variant>")
+
+        def message(m: Column) -> Column:
+            # a message may leave a field out; without both it is none
+            fields = [F.try_variant_get(m, f"$.{f}", "variant") for f in (self.role_field, self.text_field)]
+            return F.coalesce(*fields).isNotNull()
+
+        fits = F.coalesce(F.forall(messages, message), F.lit(False))
+        return F.when(fits, F.array(*map(F.lit, self.declared))).otherwise(F.array().cast("array<string>"))
+
     def turns(self, record: Column) -> Column:
         if self.pairs:
             return F.array(
@@ -65,16 +95,16 @@ class Layout:
                     for role, path in self.pairs
                 ]
             )
-        kind = f"array<struct<{self.role_field}:string,{self.text_field}:string>>"
         names = F.create_map(*[F.lit(x) for pair in self.roles for x in pair]) if self.roles else None
 
         def turn(m: Column) -> Column:
-            role = m[self.role_field]
+            role = F.try_variant_get(m, f"$.{self.role_field}", "string")
             if names is not None:
                 role = F.coalesce(F.try_element_at(names, F.coalesce(role, F.lit(""))), role)
-            return F.struct(role.alias("role"), m[self.text_field].alias("text"))
+            text = F.try_variant_get(m, f"$.{self.text_field}", "string")
+            return F.struct(role.alias("role"), text.alias("text"))
 
-        return F.transform(F.variant_get(record, self.list_at, kind), turn)
+        return F.transform(F.variant_get(record, self.list_at, "array<variant>"), turn)
 
 
 LAYOUTS = (
@@ -128,13 +158,19 @@ def fingerprint(paths: Column) -> Column:
 def canonical_turns(records: DataFrame, record: str, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """Adds ``layout, layout_hash`` and ``turns`` (null where no layout fits) to ``records``."""
     found = records.withColumn("layout_hash", fingerprint(field_paths(F.col(record))))
+    exact, reduced = F.lit(None).cast("string"), F.lit(None).cast("string")
+    # of the layouts that a record with other fields fits, the one with most paths
+    for layout in sorted(reversed(layouts), key=lambda x: len(x.declared)):
+        same = F.col("layout_hash") == fingerprint(F.lit(layout.paths))
+        exact = F.when(same, layout.name).otherwise(exact)
+        declared = fingerprint(F.array(*map(F.lit, layout.declared)))
+        fits = fingerprint(layout.present(F.col(record))) == declared
+        reduced = F.when(fits, layout.name).otherwise(reduced)
+    found = found.withColumn("layout", F.coalesce(exact, reduced))
     turns = F.lit(None).cast(_TURNS)
-    name = F.lit(None).cast("string")
     for layout in layouts:
-        same = F.col("layout_hash") == fingerprint(F.lit(layout.paths))
-        name = F.when(same, layout.name).otherwise(name)
-        turns = F.when(same, layout.turns(F.col(record))).otherwise(turns)
-    return found.withColumns({"layout": name, "turns": turns})
+        turns = F.when(F.col("layout") == layout.name, layout.turns(F.col(record))).otherwise(turns)
+    return found.withColumn("turns", turns)
 
 
 def escape(text: Column) -> Column:
@@ -170,22 +206,96 @@ def format_turns(turns: Column) -> Column:
     )
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def starts(lengths: Column) -> Column:
+    """The sum of all earlier lengths at each place of a list.
+
+    Sums run inside blocks of ``BLOCK`` and over the blocks, so that no list grows
+    element by element to the length of a conversation.
+    """
+
+    def running(values: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("to"))
+        return F.aggregate(
+            values,
+            start,
+            lambda s, x: F.struct(
+                (s["at"] + x).alias("at"), F.array_append(s["to"], s["at"]).alias("to")
+            ),
+        )
+
+    def in_blocks(values: Column) -> Column:
+        count = F.ceil(F.size(values) / BLOCK).cast("int")
+        blocks = F.transform(
+            F.filter(F.sequence(F.lit(0), count), lambda b: b < count),
+            lambda b: running(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))),
+        )
+        return bound(blocks, joined)
+
+    def joined(blocks: Column) -> Column:
+        before = running(F.transform(blocks, lambda b: b["at"]))["to"]
+        return F.flatten(
+            F.zip_with(blocks, before, lambda b, at: F.transform(b["to"], lambda x: x + at))
+        )
+
+    return bound(lengths, in_blocks)
+
+
 def loss_spans(turns: Column) -> Column:
-    """``begin, end`` (characters of the chat text) of each learned turn's text."""
-
-    def step(state: Column, t: Column) -> Column:
-        begin = state["at"] + len(START) + F.char_length(escape_role(t["role"])) + 1
-        end = begin + F.char_length(escape(t["text"]))
-        span = F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end"))
-        spans = F.when(
-            t["role"] == LEARNED, F.array_append(state["spans"], span)
-        ).otherwise(state["spans"])
-        return F.struct((end + len(END) + 1).cast("int").alias("at"), spans.alias("spans"))
-
-    empty = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("spans")
-    )
-    return F.aggregate(turns, empty, step, lambda s: s["spans"])
+    """``turn, begin, end`` of each learned turn: its number, and its text's place in the chat."""
+
+    def measured(t: Column) -> Column:
+        head = len(START) + F.char_length(escape_role(t["role"])) + 1
+        return F.struct(
+            F.coalesce(t["role"] == LEARNED, F.lit(False)).alias("learned"),
+            head.cast("long").alias("head"),
+            F.char_length(escape(t["text"])).cast("long").alias("text"),
+        )
+
+    def spans(sizes: Column) -> Column:
+        at = starts(F.transform(sizes, lambda s: s["head"] + s["text"] + len(END) + 1))
+        begin = F.zip_with(sizes, at, lambda s, x: x + s["head"])
+        placed = F.transform(
+            F.arrays_zip(sizes.alias("s"), begin.alias("b")),
+            lambda z, i: F.struct(
+                i.alias("turn"),
+                z["b"].cast("int").alias("begin"),
+                (z["b"] + z["s"]["text"]).cast("int").alias("end"),
+                z["s"]["learned"].alias("learned"),
+            ),
+        )
+        kept = F.filter(placed, lambda p: p["learned"])
+        return F.transform(kept, lambda p: F.struct(p["turn"], p["begin"], p["end"]))
+
+    return bound(F.transform(turns, measured), spans)
+
+
+def learned_texts(chat: Column, loss: Column) -> Column:
+    """The unescaped texts at the loss spans of a chat text.
+
+    A span is cut out of its turn's part of the chat, so that reading does not start
+    again from the chat's first character for each span.
+    """
+    parts = F.filter(F.split(chat, r"<\|im_start\|>"), lambda x: x != "")
+
+    def read(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p: F.char_length(p).cast("long") + len(START))
+        placed = F.zip_with(parts, starts(sizes), lambda p, at: F.struct(p.alias("p"), at.alias("at")))
+        return bound(placed, cut)
+
+    def cut(placed: Column) -> Column:
+        def text(span: Column) -> Column:
+            part = F.get(placed, span["turn"])
+            skip = span["begin"] - part["at"] - len(START)
+            return unescape(F.substring(part["p"], (skip + 1).cast("int"), span["end"] - span["begin"]))
+
+        return F.transform(loss, text)
+
+    return bound(parts, read)
 
 
 def parse_chat(chat: Column) -> Column:
@@ -244,13 +354,7 @@ def chat_digests(chats: DataFrame) -> DataFrame:
     """Digests of the turns and the learned texts, read back from chat text and spans."""
     read = chats.withColumn("turns", parse_chat(F.col("chat")))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    learned = F.array_join(
-        F.transform(
-            "loss",
-            lambda s: unescape(F.substring(F.col("chat"), s["begin"] + 1, s["end"] - s["begin"])),
-        ),
-        "",
-    )
+    learned = F.array_join(learned_texts(F.col("chat"), F.col("loss")), "")
     read = read.withColumn("learned", learned)
     return read.select(
         "conv_id",
