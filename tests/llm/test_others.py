@@ -169,14 +169,69 @@ def test_shard_counts_are_multinomial(spark):
     targets = spark.createDataFrame(
         [("a", 128 * 2000, 128.0 * 4000)], "source string, source_size long, target double"
     )
-    slots = mixing.draw_slots(targets, shards=16)
-    counts = [r.blocks for r in mixing.shard_counts(slots).collect()]
+    wanted = mixing.wanted_slots(targets)
+    drawn = mixing.draw_counts(wanted, shards=16)
+    ranges = sorted((r.shard, r.first_slot, r["count"]) for r in drawn.collect())
+    counts = [n for _, _, n in ranges]
     assert sum(counts) == 4000 and len(counts) == 16
     # chi-square with 15 degrees of freedom: neither even nor lumped
     chi = sum((c - 250) ** 2 / 250 for c in counts)
     assert 3 < chi < 45
-    times = Counter(r.block for r in slots.collect())
+    slots = mixing.draw_slots(wanted, drawn).collect()
+    times = Counter(r.block for r in slots)
     assert set(times.values()) == {2} and len(times) == 2000
+    # the slots of a shard are its range
+    for shard, first, n in ranges:
+        assert sorted(r.slot for r in slots if r.shard == shard) == list(range(first, first + n))
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 777])
+def test_permutation_runs_backwards(spark, n):
+    key, size = F.lit(5), F.lit(n).cast("long")
+    there = spark.range(n).select("id", mixing.permuted(F.col("id"), size, key).alias("p"))
+    back = there.filter(mixing.permuted(F.col("p"), size, key, inverse=True) != F.col("id"))
+    assert back.count() == 0
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
+def test_small_sources_take_exactly_their_targets(spark, seed):
+    rows, doc = [], 0
+    for source, n in (("a", 350), ("b", 350), ("c", 300), ("d", 1), ("e", 129)):
+        left = n
+        while left:
+            words = min(left, 90)
+            doc, left = doc + 1, left - words
+            rows.append((doc, " ".join(f"{source}{doc}w{i}" for i in range(words)), source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    laid, targets, slots = mixing.mix(docs, shards=4, seed=seed)
+    source = {i: s for i, _, s in rows}
+    taken, want = Counter(), {}
+    for r in mixing.taken_words(laid, targets, slots).collect():
+        taken[source[r.doc_id]] += r.taken
+        want[source[r.doc_id]] = round(r.target)
+        assert 0 <= r.taken <= 3 * r.size
+    assert dict(taken) == want
+    mixed = Counter()
+    texts = {i: t for i, t, _ in rows}
+    for r in mixing.mixed_documents(docs, shards=4, seed=seed).collect():
+        assert r.text in texts[r.doc_id]
+        mixed[r.source] += len(r.text.split())
+    assert dict(mixed) == want
+
+
+def test_shard_files_hold_the_drawn_blocks(spark, documents, tmp_path):
+    path = str(tmp_path / "mix")
+    mixing.write_shards(documents, path, shards=8)
+    _, _, slots = mixing.mix(documents, shards=8)
+    drawn = {(r.key, r.slot): (r.shard, r.take) for r in slots.collect()}
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    found, shard_of = Counter(), {}
+    for r in spark.read.parquet(path).collect():
+        key = ("n" if r.source is None else "s" + r.source, r.slot)
+        found[key] += len(r.text.split())
+        shard_of[key] = r.shard
+        assert r.text in texts[r.doc_id]
+    assert {k: (shard_of[k], found[k]) for k in found} == drawn
 
 
 def test_mixed_documents_are_the_taken_words(spark, documents):
@@ -285,6 +340,57 @@ def test_layouts_are_chosen_by_fingerprint(spark):
     assert len({r.layout_hash for r in got}) == len({x[1] for x in records})
 
 
+def test_layouts_with_other_fields(spark):
+    plain = [("user", "q"), ("assistant", "a")]
+    message = {"role": "user", "content": "q", "name": "n"}
+    records = [
+        ({"messages": []}, "messages", []),
+        ({"messages": [], "id": 4}, "messages", []),
+        ([], "turns", []),
+        ({"id": 5, "prompt": "q", "response": "a"}, "prompt", plain),
+        ({"messages": [message, {"role": "assistant", "content": "a"}]}, "messages", plain),
+        ({"messages": [{"role": "user"}], "x": 1}, "messages", [("user", None)]),
+        ({"instruction": "q", "output": "a", "k": {"input": 1}}, "instruction", plain),
+        (
+            {"instruction": "s", "input": "q", "output": "a", "k": 1},
+            "instruction_input",
+            [("system", "s"), *plain],
+        ),
+        ({"conversations": [{"from": "human", "value": "q", "t": 1}]}, "conversations", plain[:1]),
+        ({"messages": [1, 2]}, None, None),
+        ({"messages": "q"}, None, None),
+        ([[]], None, None),
+        (5, None, None),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame(
+        [(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)], "id long, json string"
+    ).select("id", F.parse_json("json").alias("record"))
+    got = chat_format.canonical_turns(df, "record").orderBy("id").collect()
+    assert [r.layout for r in got] == [x[1] for x in records]
+    assert [r.turns and [tuple(t) for t in r.turns] for r in got] == [x[2] and list(x[2]) for x in records]
+    chats = chat_format.format_conversations(df).orderBy("id").collect()
+    assert chats[0].chat == "" and chats[0].loss == [] and chats[-1].chat is None
+
+
+@pytest.mark.parametrize("n", [1, 127, 128, 129, 20_000])
+def test_spans_of_long_conversations(spark, n):
+    role = F.when(F.col("id") % 3 == 0, "user").otherwise("assistant")
+    rows = spark.range(n).select(
+        F.lit(1).alias("conv_id"),
+        F.col("id").alias("turn"),
+        role.alias("role"),
+        F.concat(F.lit("<|\\é "), F.col("id")).alias("text"),
+    )
+    chats = chat_format.format_conversations(chat_format.conversation_records(rows))
+    read = chats.select("chat", "loss", chat_format.learned_texts(F.col("chat"), F.col("loss")).alias("t"))
+    row = read.first()
+    want = [i for i in range(n) if i % 3]
+    assert row.t == [f"<|\\é {i}" for i in want]
+    assert [s.turn for s in row.loss] == want
+    assert [row.chat[s.begin : s.end] for s in row.loss] == [f"<\\|\\\\é {i}" for i in want]
+
+
 # ---------------------------------------------------------------- vectors
 
 
