@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as html_entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -120,6 +121,9 @@ class Lines:
         self.parents, self.last, self.here = [0], [0], 0
         # open elements as (name, set aside, article, container), and how many of each kind
         self.open: list[tuple[str, bool, bool, int]] = []
+        # where the open elements of a name stand, and the open blocks: no search on any tag
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
         self.aside = self.articles = self.links = self.headings = 0
         self._read(page)
         self._pop(0)
@@ -190,6 +194,9 @@ class Lines:
             self.parents.append(self.here)
             self.last.append(inside)
         self.here = inside
+        self.at[name].append(len(self.open))
+        if name in BLOCK:
+            self.blocks.append(len(self.open))
         self.open.append((name, aside, article, inside))
         self.headings += name in HEADING
         self.aside += aside
@@ -198,26 +205,23 @@ class Lines:
 
     def _close_paragraph(self, name: str) -> None:
         """A block closes an open paragraph, an item its open predecessor."""
-        for k in range(len(self.open) - 1, -1, -1):
+        if self.blocks:
+            k = self.blocks[-1]
             opened = self.open[k][0]
             if opened == "p" or (opened == name and name in ("li", "dd", "dt", "td", "th", "tr")):
                 self._pop(k)
-                return
-            if opened in BLOCK:
-                return
 
     def _end(self, name: str) -> None:
         if name in BLOCK:
             self._line(name in CONTAINER)
-        for k in range(len(self.open) - 1, -1, -1):
-            opened = self.open[k][0]
-            if opened == name:
-                if self.open[k][1]:
-                    self._line()
-                self._pop(k)
-                return
-            if name not in BLOCK and opened in BLOCK:
-                return
+        if not self.at.get(name):
+            return
+        k = self.at[name][-1]
+        if name not in BLOCK and self.blocks and self.blocks[-1] > k:
+            return
+        if self.open[k][1]:
+            self._line()
+        self._pop(k)
 
     def _pop(self, k: int) -> None:
         if any(x[1] for x in self.open[k:]):
@@ -228,6 +232,9 @@ class Lines:
             self.aside -= aside
             self.articles -= article
             self.links -= name == "a"
+            self.at[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
         del self.open[k:]
         self.here = self.open[-1][3] if self.open else 0
 

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -543,6 +544,15 @@ def test_short_text_of_pages_without_a_named_article(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "piece", ["<i>x</b>", "<div>x</p>", "<div><b>x</i>", "<b><div><i>x</b>", "<p><b>x<hr>", "<li><b>x"]
+)
+def test_broken_markup_takes_linear_time(piece):
+    started = time.perf_counter()
+    html_extract.main_text(f"<article>{piece * 40_000}</article>")
+    assert time.perf_counter() - started < 20
+
+
 def test_surge_and_dive():
     counts = [0, 5, 0, 0, 0, 200, 10, 0, 300, 0, 0, 0, 4, 0]
     assert html_extract.text_runs(counts) == [(5, 9)]
