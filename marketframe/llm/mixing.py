@@ -141,6 +141,14 @@ def wanted_slots(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     return rows.withColumn("slots", F.expr("wanted div source_size") * F.col("blocks") + last)
 
 
+def _tasks(rows: DataFrame, slots: str) -> int:
+    """Tasks for generating the slots of ``rows``: few bytes are read, many rows made.
+
+    A number given to ``repartition`` keeps adaptive execution from joining them.
+    """
+    return parts_for(rows.agg(F.sum(slots)).first()[0] or 0, 16 * SLOT_CHUNK)
+
+
 def draw_counts(wanted: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """``key, shard, first_slot, count``: multinomial slot counts and where their ranges start.
 
@@ -150,7 +158,7 @@ def draw_counts(wanted: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     chunks = (
         wanted.filter("slots > 0")
         .select("key", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_CHUNK})")).alias("chunk"))
-        .repartition("key", "chunk")
+        .repartition(_tasks(wanted, "slots"), "key", "chunk")
     )
     last = F.least(F.col("slots"), (F.col("chunk") + 1) * SLOT_CHUNK) - 1
     draws = chunks.select("key", F.explode(F.sequence(F.col("chunk") * SLOT_CHUNK, last)).alias("draw"))
@@ -173,7 +181,7 @@ def draw_slots(
     ranges = (
         counts.join(wanted, "key")
         .withColumn("chunk", F.explode(F.expr(f"sequence(0L, (count - 1) div {SLOT_CHUNK})")))
-        .repartition("key", "shard", "chunk")
+        .repartition(_tasks(counts, "count"), "key", "shard", "chunk")
     )
     first = F.col("first_slot") + F.col("chunk") * SLOT_CHUNK
     last = F.least(F.col("first_slot") + F.col("count"), first + SLOT_CHUNK) - 1
