@@ -72,8 +72,11 @@ def stream_alerts(spark, d):
 
 
 def closed_bars(spark, d, groups):
-    """Bars through the bar-close target, day by day of arrival; the folder it writes."""
-    bars = ob.time_bars(v.trades(spark, d), frames.TIMEFRAME, order=("seq",)).filter("close > 0")
+    """Bars through the bar-close target, day by day of arrival; the folder it writes.
+
+    Bars without a price are part of the history: they raise alerts and count in windows.
+    """
+    bars = ob.time_bars(v.trades(spark, d), frames.TIMEFRAME, order=("seq",))
     late = F.pmod(F.unix_micros(F.col("bar").cast("timestamp")) / 300_000_000, F.lit(7))
     bars = bars.withColumns(
         {
