@@ -27,3 +27,7 @@ def agree(spark, sf_dir, key):
 
 def test_bar_alerts(spark, unpriced):
     agree(spark, unpriced, "bar_alerts")
+
+
+def test_bar_close(spark, unpriced):
+    agree(spark, unpriced, "bar_close")
