@@ -33,6 +33,6 @@ def test_bar_close(spark, unpriced):
     agree(spark, unpriced, "bar_close")
 
 
-@pytest.mark.parametrize("key", ["feat_optional", "model_folds"])
+@pytest.mark.parametrize("key", ["feat_optional", "model_folds", "model_scores"])
 def test_all_bars_count(spark, unpriced, key):
     agree(spark, unpriced, key)
