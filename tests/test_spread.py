@@ -25,3 +25,23 @@ def test_sums_hash_the_summaries(spark):
     assert {(r.id, r.s) for r in out.filter("k = 0").collect()} == {
         (i, sum(range(0, i + 1, 3))) for i in range(0, 100, 3)
     }
+
+
+def test_only_large_keys_are_cut_by_price(spark, monkeypatch):
+    from marketframe.operators import ledger as lg
+
+    cut = []
+    chunks = lg.running
+    monkeypatch.setattr(lg, "running", lambda rows, *a: cut.append(rows.count()) or chunks(rows, *a))
+    few, many = [("few", i) for i in range(4)], [(None, i) for i in range(4, 34)]
+    rows = spark.createDataFrame(few + many, "account string, n long").selectExpr(
+        "account", "'x' AS symbol", "'Sell' AS side", "1.0D AS qty", "100.0D + n AS trigger_price", "n",
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS entry_time",
+    )
+    stops = rows.withColumnRenamed("n", "trade_id").withColumn("type", F.lit("sl"))
+    orders = rows.withColumnRenamed("n", "order_id").drop("entry_time")
+    found = lg.match_stops(stops, orders, chunk_rows=20).collect()
+    assert sorted((r.account or "", r.trade_id, r.order_id) for r in found) == sorted(
+        (a or "", n, n) for a, n in few + many
+    )
+    assert cut == [60]
