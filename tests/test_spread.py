@@ -45,3 +45,37 @@ def test_only_large_keys_are_cut_by_price(spark, monkeypatch):
         (a or "", n, n) for a, n in few + many
     )
     assert cut == [60]
+
+
+def test_fifo_deals_cuts_lots_and_trades(spark, monkeypatch):
+    from marketframe.operators import ledger as lg
+
+    t = spark.range(400).selectExpr(
+        "'x' AS symbol", "'Buy' AS side", "id AS trade_id", "2 + id % 3 AS size", "'open' AS status",
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, id) AS entry_time",
+    )
+    e = spark.range(300).selectExpr(
+        "'x' AS symbol", "'Sell' AS side", "id AS exec_id", "1 + id % 4 AS qty",
+        "TIMESTAMP_NTZ '2024-01-01 00:00:30' + make_dt_interval(0, 0, id) AS ts",
+    )
+    plain = lg.fifo_reduce(t, e, chunk_rows=10)
+    left = lg.apply_reductions(t, plain)
+    monkeypatch.setattr(lg, "spread", lambda df, on, rows: spread(df, on, rows, task_rows=20))
+    lots = lg.fifo_reduce(t, e, chunk_rows=10)
+    after = lg.apply_reductions(t, lots)
+    assert max(lots.rdd.glom().map(len).collect()) < 100
+    assert max(after.rdd.glom().map(len).collect()) < 100
+    assert sorted(lots.collect()) == sorted(plain.collect())
+    assert sorted(after.select("trade_id", "size").collect()) == sorted(left.select("trade_id", "size").collect())
+
+
+def test_fifo_chunks_go_by_rows_not_by_ids(spark, tmp_path):
+    """Ids far apart do not make more chunks, whose summaries meet in one task per key."""
+    from marketframe.plans import catalog_ledger as cl, views as v
+    from tests.conftest import SF
+
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        rows = v.table(spark, SF, name)
+        rows.withColumn(key, F.col(key) * 100_000).write.parquet(f"{tmp_path}/{name}.parquet")
+    last = spark.read.parquet(f"{tmp_path}/orders.parquet").agg(F.max("o_orderkey")).first()[0]
+    assert last > 100_000_000 and cl._ids_a_part(spark, str(tmp_path)) > last
