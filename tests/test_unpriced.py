@@ -36,3 +36,20 @@ def test_bar_close(spark, unpriced):
 @pytest.mark.parametrize("key", ["feat_optional", "model_folds", "model_scores"])
 def test_all_bars_count(spark, unpriced, key):
     agree(spark, unpriced, key)
+
+
+@pytest.fixture(scope="module")
+def untrained(tmp_path_factory):
+    """The given events with a symbol that never has a price and one that has a single bar."""
+    folder = tmp_path_factory.mktemp("untrained")
+    duckdb.sql(
+        f"""COPY (SELECT * REPLACE (CASE WHEN event_id = 500 THEN 'single' ELSE event_type END AS event_type,
+        CASE WHEN event_type = 'signup' THEN 0 ELSE value END AS value)
+        FROM read_parquet('{SF}/events.parquet')) TO '{folder}/events.parquet' (FORMAT parquet)"""
+    )
+    return str(folder)
+
+
+@pytest.mark.parametrize("key", ["model_bundle", "model_scores"])
+def test_symbols_without_training_rows_count(spark, untrained, key):
+    agree(spark, untrained, key)
